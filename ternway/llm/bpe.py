@@ -2,7 +2,7 @@
 
 Every text is cut into pieces by the pattern of the tokenizer; merges never cross pieces, so
 each distinct piece is encoded once per Python worker and remembered. The cutting, the hashing
-of the pieces and the assembly of the ids are array operations over about two megabytes of
+of the pieces and the assembly of the ids are array operations over about a megabyte of
 text at a time.
 
 For each prefix of a piece there is exactly one token with which the encoding of that prefix
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ternway.llm.common import chunks, mixed, span_hashes, texts
 
 #: Pieces that a Python worker remembers before it starts anew.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 400_000
 LETTER, NUMBER, SPACE, OTHER, MARK = range(5)
 
 
