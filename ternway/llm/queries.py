@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, jaccard
+from ternway.llm import bpe, jaccard, langid, toxicity
+from ternway.llm.common import remainder
 
 
 def tokenizer_path() -> str:
@@ -20,6 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the rows that op1 does not hold out."""
+    return langid.fit(docs.where(remainder("doc_id", 4) != 2))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_model(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "share")
+
+
+def toxicity_net(docs: DataFrame, labels: DataFrame) -> toxicity.Net:
+    """Learned from the labels of the rows that op3 does not hold out."""
+    seen = remainder("doc_id", 3) != 1
+    return toxicity.fit(docs.where(seen), labels.where(seen), language_model(docs))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_net(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,7 +95,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard, op7_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_ngram_jaccard, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
