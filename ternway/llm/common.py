@@ -110,7 +110,7 @@ class Powers:
 
 
 _powers = Powers()
-_byte_value = mixed(np.arange(1, 257, dtype=np.uint64))
+BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ class Words:
     """
 
     def __init__(self, letter: np.ndarray, fold: np.ndarray) -> None:
-        self.letter, self.value = letter, _byte_value[fold]
+        self.letter, self.value = letter, BYTE_VALUE[fold]
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and stops of all words; no word crosses the end of a text."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, jaccard, langid, toxicity
+from ternway.llm import bpe, decontaminate, jaccard, langid, toxicity
 from ternway.llm.common import remainder
 
 
@@ -44,6 +44,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,7 +99,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_ngram_jaccard, op7_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
