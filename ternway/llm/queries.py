@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, chat, decontaminate, jaccard, langid, toxicity
+from ternway.llm import bpe, chat, decontaminate, jaccard, langid, toxicity, warc
 from ternway.llm.common import remainder
 
 
@@ -98,6 +98,30 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), k AS (
+  SELECT *, 1704067200 + page_id % 31536000 AS ts,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', ''), '.')), ',') || ')' ||
+    coalesce(nullif(lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '')), ''), '/') AS url_key,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((strpos('0123456789abcdef', substr(hex, 1 + (i * 5) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, 2 + (i * 5) // 4, 1)) - 1) // (8 >> (i % 4)) % 32, 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to,
+  url_key, row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS history_rank
+FROM k WINDOW w AS (PARTITION BY html)
+"""
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -139,8 +163,8 @@ FROM escaped GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": JACCARD_SQL, "op10_chat_format": CHAT_SQL}
+    return {"op6_ngram_jaccard": JACCARD_SQL, "op8_warc": WARC_SQL, "op10_chat_format": CHAT_SQL}
