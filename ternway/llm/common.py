@@ -196,3 +196,43 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
             value = np.uint64((int(value) * 0x9E3779B97F4A7C15 + int(x)) & 0xFFFFFFFFFFFFFFFF)
         out[at[d]] = value
     return mixed(out), at
+
+
+def filter_bits(n: int) -> int:
+    """log2 of the bits of a map for n values: 32 bits for each, from 128 KB to 32 MB in all."""
+    return int(np.clip(np.ceil(np.log2(32 * max(1, n))), 20, 28))
+
+
+def bit_map(values: DataFrame, bits: int) -> bytes:
+    """A bit for each value of a column of longs, modulo 2**bits.
+
+    Each task sends one map and a tree of tasks joins them. With very many values most bits are
+    set, so what it lets through must be joined exactly afterwards.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(1 << bits >> 3, np.uint8)
+        for batch in batches:
+            if pa.types.is_binary(batch.schema.field(0).type):
+                for x in batch.column(0):
+                    have |= np.frombuffer(x.as_buffer(), np.uint8)
+            else:
+                on = np.zeros(1 << bits, bool)
+                on[np.asarray(batch.column(0)) & ((1 << bits) - 1)] = True
+                have |= np.packbits(on)
+        yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()], pa.binary())], ["have"])
+
+    parts, left = values.mapInArrow(merge, "have binary"), max(1, values.rdd.getNumPartitions())
+    while left > 1:
+        left = -(-left // 16)
+        parts = parts.repartition(left).mapInArrow(merge, "have binary")
+    have = np.zeros(1 << bits >> 3, np.uint8)
+    for row in parts.collect():
+        have |= np.frombuffer(row.have, np.uint8)
+    return have.tobytes()
+
+
+def in_bit_map(have: bytes, values: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(have, np.uint8)
+    low = values.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return ((bits[(low >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)

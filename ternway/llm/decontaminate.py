@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import LOWER, BYTE_VALUE, chunks, mixed, span_hashes, texts, written
+from ternway.llm.common import BYTE_VALUE, LOWER, bit_map, chunks, filter_bits, in_bit_map, mixed, span_hashes, texts, written
 
 #: Tokens of a window, and the fewest that an item must have; in between an item is one window.
 WINDOW, LEAST_TOKENS = 8, 5
@@ -138,31 +138,6 @@ def item_windows(items: DataFrame, window: int, least: int) -> DataFrame:
     return items.mapInArrow(run, f"item_id long, h long, b_at int, width int, n_windows int, b_slots {SLOT}")
 
 
-def window_filter(found: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each window hash modulo 2**bits; each task sends one map, and a tree of tasks joins them."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << bits >> 3, np.uint8)
-        for batch in batches:
-            if pa.types.is_binary(batch.schema.field(0).type):
-                for x in batch.column(0):
-                    have |= np.frombuffer(x.as_buffer(), np.uint8)
-            else:
-                on = np.zeros(1 << bits, bool)
-                on[np.asarray(batch.column(0)) & ((1 << bits) - 1)] = True
-                have |= np.packbits(on)
-        yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()], pa.binary())], ["have"])
-
-    parts, left = found.select("h").mapInArrow(merge, "have binary"), max(1, found.rdd.getNumPartitions())
-    while left > 1:
-        left = -(-left // 16)
-        parts = parts.repartition(left).mapInArrow(merge, "have binary")
-    have = np.zeros(1 << bits >> 3, np.uint8)
-    for row in parts.collect():
-        have |= np.frombuffer(row.have, np.uint8)
-    return have
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = LEAST_TOKENS, leak_windows: int = LEAK_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, verbatim): the benchmark items that documents hold.
 
@@ -176,20 +151,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tok
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     bench = written(item_windows(items, window, least_tokens), "items")
     many = bench.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()
-    bits = int(np.clip(np.ceil(np.log2(32 * max(1, many.n))), 20, 28))
-    shared = spark.sparkContext.broadcast((window_filter(bench, bits).tobytes(), sorted(many.widths)))
+    bits = filter_bits(many.n)
+    shared = spark.sparkContext.broadcast((bit_map(bench.select("h"), bits), sorted(many.widths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, widths = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
-        mask = np.uint64((1 << bits) - 1)
+        have, widths = shared.value
         for batch in batches:
             for part in chunks(batch):
                 t = tokens(*texts(part.column(1)))
                 ids = np.asarray(part.column(0))
                 for width in widths:
                     at, h = rolled(t, width)
-                    low = (h & mask).astype(np.int64)
-                    hit = np.flatnonzero((have[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero(in_bit_map(have, h))
                     at, h = at[hit], h[hit]
                     text = np.searchsorted(t.first, at, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array(at - t.first[text]), slots(t, at, width)], ["doc_id", "h", "d_at", "d_slots"])
