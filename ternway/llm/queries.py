@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, chat, decontaminate, jaccard, langid, toxicity, warc
+from ternway.llm import bpe, chat, decontaminate, jaccard, langid, licenses, toxicity, warc
 from ternway.llm.common import remainder
 
 
@@ -32,6 +32,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "share")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def toxicity_net(docs: DataFrame, labels: DataFrame) -> toxicity.Net:
     """Learned from the labels of the rows that op3 does not hold out."""
     seen = remainder("doc_id", 3) != 1
@@ -163,7 +167,7 @@ FROM escaped GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
