@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, chat, decontaminate, jaccard, langid, licenses, toxicity, warc
+from ternway.llm import bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, toxicity, warc
 from ternway.llm.common import remainder
 
 
@@ -126,6 +126,10 @@ FROM k WINDOW w AS (PARTITION BY html)
 """
 
 
+def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -167,7 +171,7 @@ FROM escaped GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op9_embedding_near_dup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
