@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions whose workers have it nowhere on their path. Once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_ternway_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="ternway-")) / "ternway.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(bundle))
+    context._ternway_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

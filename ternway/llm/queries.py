@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, toxicity, warc
-from ternway.llm.common import remainder
+from ternway.llm import bpe, chat, decontaminate, embeddings, huffman, jaccard, langid, licenses, toxicity, warc
+from ternway.llm.common import remainder, ship
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,7 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +49,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -171,7 +176,7 @@ FROM escaped GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op9_embedding_near_dup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_files, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op9_embedding_near_dup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
