@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -252,3 +253,20 @@ def in_bit_map(have: bytes, values: np.ndarray) -> np.ndarray:
     bits = np.frombuffer(have, np.uint8)
     low = values.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
     return ((bits[(low >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key, a long, is not among the one column of ids; rows with a null key stay.
+
+    Rows that a bit map of the ids rules out are not shuffled; only the rest is joined.
+    """
+    name = ids.columns[0]
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.xxhash64(F.col(name).cast("long")).alias("h")), filter_bits(ids.count())))
+
+    @F.pandas_udf("boolean")
+    def listed(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bit_map(shared.value, h.to_numpy()))
+
+    maybe = listed(F.xxhash64(F.col(key).cast("long")))
+    rest = rows.where(maybe).join(ids.select(F.col(name).cast("long").alias("_listed")), F.col(key).cast("long") == F.col("_listed"), "left_anti")
+    return rows.where(~maybe).unionByName(rest)

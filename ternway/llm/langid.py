@@ -165,3 +165,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double, share double")
+
+
+def keep(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and at least `least_share` of the n-grams usual in some language.
+
+    A text too short for an n-gram stays, as nothing speaks against it; without a learned language all texts with a letter do.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column(at))
+            if shared.value.languages:
+                _, _, share = shared.value.predict(data, offsets)
+                batch = batch.filter(pa.array((share >= least_share) | (np.diff(offsets) < 2 * GRAM)))
+            yield batch
+
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -223,3 +223,16 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, net: Net) -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(pa.array(shared.value.score(*texts(part.column(at))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
