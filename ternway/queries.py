@@ -1,17 +1,493 @@
-"""The registered queries of the journey engine and the SQL they must agree with."""
+"""The registered queries of the journey engine and the SQL they must agree with.
+
+The driver's tables stand in for flights and airports: line items with their suppliers' nations
+are first legs, orders with their customers' nations second legs, embeddings and nations
+airports.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ternway.functions import geo, times, values
+from ternway.operators import collection, journeys, legs, network, prices
+from ternway.plans.search import Options
+from ternway.sinks import documents
+from ternway.sources.files import Network, parse_network
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# --- the driver's tables as flights and airports
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _text(ts: str) -> F.Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def _no_texts() -> list[F.Column]:
+    return [F.lit(None).cast("string").alias(c) for c in ("airline", "flight_number", "link", "search_date")]
+
+
+def flights1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(
+        F.col("l_orderkey").alias("pos"),
+        F.lit("HUB").alias("origin"),
+        F.lit("").alias("destination"),
+        _text("l_shipdate").alias("departure_at"),
+        F.lit(None).cast("string").alias("arrival_at"),
+        (F.col("l_quantity") * 30).cast("double").alias("duration"),
+        F.col("l_extendedprice").alias("price"),
+        F.lit(None).cast("double").alias("value"),
+        F.lit("leg1").alias("leg"),
+        F.lit("HUB").alias("search_origin"),
+        F.concat(F.lit("N"), F.col("s_nationkey")).alias("search_destination"),
+        *_no_texts(),
+    )
+
+
+def flights2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(
+        F.col("o_orderkey").alias("pos"),
+        F.concat(F.lit("N"), F.col("c_nationkey")).alias("origin"),
+        F.lit("END").alias("destination"),
+        _text("o_orderdate").alias("departure_at"),
+        F.lit(None).cast("string").alias("arrival_at"),
+        F.lit(None).cast("double").alias("duration"),
+        F.lit(0.0).alias("price"),
+        F.col("o_totalprice").alias("value"),
+        F.lit("leg2").alias("leg"),
+        F.lit(None).cast("string").alias("search_origin"),
+        F.lit("END").alias("search_destination"),
+        *_no_texts(),
+    )
+
+
+def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Airports from embeddings: codes A and vec_id, places from the first two numbers."""
+    at = lambda k, by: (F.col("embedding")[k].cast("double") * by).cast("string")
+    return _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pos"),
+        F.concat(F.lit("A"), F.col("vec_id")).alias("iata_code"),
+        F.concat(at(0, 90), F.lit(", "), at(1, 180)).alias("coordinates"),
+        F.concat(F.lit("Airport "), F.col("vec_id")).alias("name"),
+        F.concat(F.lit("Town "), F.col("vec_id")).alias("municipality"),
+        F.col("label").cast("string").alias("iso_country"),
+    )
+
+
+def nation_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 airports from nations, on a line, five to a country."""
+    key = F.col("n_nationkey")
+    return _table(spark, sf_dir, "nation").select(
+        key.cast("long").alias("pos"),
+        F.concat(F.lit("N"), key).alias("iata_code"),
+        F.concat((key * F.lit(0.3)).cast("string"), F.lit(", "), (key * F.lit(0.2)).cast("string")).alias("coordinates"),
+        F.col("n_name").alias("name"),
+        F.col("n_name").alias("municipality"),
+        F.floor(key / 5).cast("string").alias("iso_country"),
+    )
+
+
+def nations(spark: SparkSession, sf_dir: str) -> Network:
+    return network.build_network(nation_airports(spark, sf_dir))
+
+
+def exact(spark: SparkSession, sf_dir: str, banded: bool = True, **o: object) -> DataFrame:
+    options = Options(**o)
+    first = legs.first_legs(flights1(spark, sf_dir), *options.first_range(), via=options.via)
+    second = legs.second_legs(flights2(spark, sf_dir), *options.second_range())
+    return journeys.journeys(first, second, None, options.min_stay, options.max_stay, banded=banded)
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    return rows.select("leg1_pos", "leg2_pos", "intermediate_city", "stay_days", F.round("total_price", 2).alias("total_price"))
+
+
+LEGS = """
+WITH leg1 AS (
+  SELECT l_orderkey AS pos1, 'N' || s_nationkey AS city, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS dep1,
+    l_shipdate + to_minutes(CAST(l_quantity * 30 AS INTEGER)) AS arr, l_extendedprice AS price1, l_quantity * 30 AS minutes
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1
+), leg2 AS (
+  SELECT o_orderkey AS pos2, 'N' || c_nationkey AS origin, o_orderdate AS dep2, o_totalprice AS price2
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%'
+)"""
+
+
+def pairs(low: int = 1, high: int = 30, where: str = "true", on: str = "city = origin") -> str:
+    return f"""{LEGS}, pairs AS (
+  SELECT *, CAST(floor((epoch_us(dep2) - epoch_us(arr)) / 86400000000.0) AS BIGINT) AS stay_days, price1 + price2 AS total
+  FROM leg1 JOIN leg2 ON {on} WHERE {where}
+), j AS (SELECT * FROM pairs WHERE stay_days BETWEEN {low} AND {high})
+"""
+
+
+FLAT = "SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM j"
+#: round() of a mean differs in the last place where the sums' order does, so means are shown to 1 decimal
+STATS = "count(*) AS total_combinations, coalesce(min(total), 0) AS min_price, coalesce(max(total), 0) AS max_price, coalesce(round(avg(total), 1), 0) AS avg_price, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY total DESC), 0) AS median_price"
+
+
+def shown(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("avg_price", F.round("avg_price", 1))
+
+
+def literals(spark: SparkSession, sql_values: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {sql_values} AS t({names})")
+
+
+# --- scans and generators
+
+
+@query(f"{LEGS} SELECT pos1 AS pos, city, dep1 AS departure_at, strftime(arr, '%Y-%m-%dT%H:%M:%S') AS arrival_at, price1 AS price, minutes AS duration FROM leg1")
+def scan_leg1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legs.first_legs(flights1(spark, sf_dir)).select("pos", "city", "leg.departure_at", "leg.arrival_at", "leg.price", "leg.duration")
+
+
+@query(f"{LEGS} SELECT pos2 AS pos, origin, strftime(dep2, '%Y-%m-%dT%H:%M:%S') AS departure_at, price2 AS price FROM leg2")
+def scan_leg2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legs.second_legs(flights2(spark, sf_dir)).select("pos", "origin", "leg.departure_at", "leg.price")
+
+
+@query("SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-19', TIMESTAMP '2026-03-02', INTERVAL 1 DAY) AS t(d)")
+def date_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.date_series(spark, "2026-02-19", "2026-03-02").unionByName(collection.date_series(spark, "2026-02-19", "2026-02-01"))
+
+
+REQUESTS_SQL = """
+WITH s AS (SELECT unnest(['IST', 'DXB']) AS stop),
+d1 AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-19', TIMESTAMP '2026-02-24', INTERVAL 1 DAY) AS t(d)),
+d2 AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-25', TIMESTAMP '2026-03-05', INTERVAL 1 DAY) AS t(d))
+SELECT 'leg1' AS leg, 'MOW' AS origin, stop AS destination, day AS date FROM s, d1
+UNION ALL SELECT 'leg2', stop, 'BKK', day FROM s, d2
+"""
+
+
+@query(REQUESTS_SQL)
+def route_date_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.requests(spark, "MOW", "BKK", ("2026-02-19", "2026-02-24"), ("2026-02-25", "2026-03-05"), ["IST", "DXB"])
+
+
+@query("SELECT 15 AS requests, 6 AS leg1, 9 AS leg2")
+def request_counts_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = collection.requests(spark, "MOW", "BKK", ("2026-02-19", "2026-02-24"), ("2026-02-25", "2026-03-05"))
+    return asked.agg(F.count("*").cast("int").alias("requests"), F.count_if(F.col("leg") == "leg1").cast("int").alias("leg1"), F.count_if(F.col("leg") == "leg2").cast("int").alias("leg2"))
+
+
+# --- filters
+
+
+def _dates(low: str | None, high: str | None) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return legs.first_legs(flights1(spark, sf_dir), low, high).select("pos", "city", "leg.departure_at")
+
+    return f
+
+
+for _name, _low, _high in (("from", "1997-06-01", None), ("to", None, "1996-03-31"), ("both", "1996-01-15", "1996-02-15"), ("exact", "1996-02-19", "1996-02-19")):
+    QUERIES[f"leg_date_filter_{_name}"] = _dates(_low, _high)
+    SQL[f"leg_date_filter_{_name}"] = f"{LEGS} SELECT pos1 AS pos, city, dep1 AS departure_at FROM leg1 WHERE substr(dep1, 1, 10) BETWEEN '{_low or '0'}' AND '{_high or '9'}'"
+
+
+@query(f"{pairs(where="city = 'N7'")} {FLAT}")
+def via_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(exact(spark, sf_dir, via="N7"))
+
+
+# --- scalar functions
+
+
+@query(f"{LEGS} SELECT pos1 AS pos, strftime(arr, '%Y-%m-%dT%H:%M:%S') AS arrival FROM leg1")
+def arrival_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flights1(spark, sf_dir).select("pos", times.arrival_text(F.col("departure_at"), F.col("duration")).alias("arrival"))
+
+
+@query("SELECT o_orderkey AS pos, CAST(floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-01-01 11:00:00')) / 86400000000.0) AS BIGINT) AS stay_days FROM orders")
+def stay_days_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), times.stay_days(F.lit("1998-01-01T11:00:00"), _text("o_orderdate")).alias("stay_days"))
+
+
+PARSED = [
+    (1, "2026-02-19T10:00:00+03:00", "2026-02-19 10:00:00", False),
+    (2, "2026-02-19T10:00:00-03:00", "2026-02-19 10:00:00", False),
+    (3, "2026-02-19T10:00:00Z", "2026-02-19 10:00:00", True),
+    (4, "2026-02-19T10:00:00", "2026-02-19 10:00:00", False),
+    (5, "2026-02-19 10:00:00", "2026-02-19 10:00:00", False),
+    (6, "2026-02-19", "2026-02-19 00:00:00", False),
+    (7, "2026-2-9T1:2:3", "2026-02-09 01:02:03", False),
+    (8, "2026-02-19T10:00:00.5", None, False),
+    (9, "2026-02-19T10:00", None, False),
+    (10, "2026-02-30T10:00:00", None, False),
+    (11, "", None, False),
+    (12, "soon", None, False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, " + (f"CAST(epoch(TIMESTAMP '{t}') AS BIGINT)" if t else "CAST(NULL AS BIGINT)") + f", {str(z).lower()})" for k, _, t, z in PARSED) + ") AS t(id, sec, aware)")
+def parse_datetime_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literals(spark, ", ".join(f"({k}, '{s}')" for k, s, _, _ in PARSED), "id, text").withColumn("at", times.parsed(F.col("text")))
+    return rows.select("id", F.col("at.sec").alias("sec"), F.col("at.aware").alias("aware"))
+
+
+STAYS = [
+    ("2026-02-19T14:00:00", "2026-02-20T13:00:00+03:00", 0),
+    ("2026-02-20T14:00:00", "2026-02-20T13:00:00", -1),
+    ("2026-02-20T06:00:00+04:00", "2026-02-22T05:59:59+04:00", 1),
+    ("2026-02-19T14:00:00", "2026-02-22T14:00:00Z", 3),
+    ("2026-02-19T14:00:00Z", "2026-02-22T13:00:00Z", 2),
+    ("2026-02-19T23:00:00", "2026-02-20T01:00:00", 0),
+    ("2026-02-19T23:00", "2026-02-20T01:00:00", 1),
+    ("never", "2026-02-20T01:00:00", 0),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({d} AS BIGINT))" for k, (_, _, d) in enumerate(STAYS)) + ") AS t(id, days)")
+def stay_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literals(spark, ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b, _) in enumerate(STAYS)), "id, a, b")
+    return rows.select("id", times.stay_days(F.col("a"), F.col("b")).alias("days"))
+
+
+@query("SELECT * FROM (VALUES (1, 5.0::DOUBLE, 'X'), (2, 7.0::DOUBLE, 'Y'), (3, 7.0::DOUBLE, 'Y'), (4, 0.0::DOUBLE, NULL), (5, 0.0::DOUBLE, '')) AS t(id, price, city)")
+def falsy_coalesce_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = "(1, 5D, 7D, 'X', 'Y'), (2, 0D, 7D, '', 'Y'), (3, CAST(NULL AS DOUBLE), 7D, CAST(NULL AS STRING), 'Y'), (4, 0D, NULL, '', NULL), (5, NULL, 0D, NULL, '')"
+    rows = literals(spark, given, "id, p, v, a, b")
+    return rows.select("id", values.price_of(F.col("p"), F.col("v")).alias("price"), values.text_or(F.col("a"), F.col("b")).alias("city"))
+
+
+@query("SELECT * FROM (VALUES (1, 55.97::DOUBLE, 37.41::DOUBLE), (2, -1.5::DOUBLE, 200.0::DOUBLE), (3, NULL, NULL), (4, NULL, NULL), (5, 1.0::DOUBLE, 2.0::DOUBLE), (6, NULL, NULL), (7, 10.0::DOUBLE, 0.5::DOUBLE)) AS t(id, lat, lon)")
+def parse_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literals(spark, "(1, '55.97, 37.41'), (2, ' -1.5 ,200'), (3, '12'), (4, 'x, 3'), (5, '1,2,3'), (6, '1d, 2'), (7, '1e1, .5')", "id, c")
+    return rows.withColumn("at", geo.located(F.col("c"))).select("id", "at.lat", "at.lon")
+
+
+PLACES = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 90 AS lat, CAST(embedding[2] AS DOUBLE) * 180 AS lon, label FROM embeddings"
+KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))))"
+EDGES = f"WITH p AS ({PLACES}), e AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb, {KM} AS km FROM p x JOIN p y ON x.vec_id <> y.vec_id AND {KM} <= 100)"
+
+
+@query(f"WITH p AS ({PLACES}) SELECT x.vec_id AS a, y.vec_id AS b, round({KM}, 2) AS km FROM p x JOIN p y ON y.vec_id = x.vec_id + 1")
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = airports(spark, sf_dir).select("pos", geo.located(F.col("coordinates")).alias("at"))
+    x, y = rows.alias("x"), rows.alias("y")
+    km = geo.distance_km(F.col("x.at.lat"), F.col("x.at.lon"), F.col("y.at.lat"), F.col("y.at.lon"))
+    return x.join(y, F.col("y.pos") == F.col("x.pos") + 1).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"), F.round(km, 2).alias("km"))
+
+
+@query("SELECT * FROM (VALUES (1, '12,345', '12345.00', '2ч 5м', 'SVO (Moscow)'), (2, '2', '2.50', '', 'SVO'), (3, '4', '3.50', '0ч 59м', 'SVO')) AS t(id, a, b, c, d)")
+def format_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literals(spark, "(1, 12345D, 125D, 'Moscow'), (2, 2.5D, 0D, ''), (3, 3.5D, 59D, NULL)", "id, x, m, city")
+    return rows.select("id", values.thousands(F.col("x")).alias("a"), values.two_places(F.col("x")).alias("b"), values.hours_minutes(F.col("m")).alias("c"), values.labelled(F.lit("SVO"), F.col("city")).alias("d"))
+
+
+# --- the network
+
+
+@query(f"{EDGES} SELECT 'A' || a AS src, 'A' || b AS dst, round(km, 2) AS distance_km FROM e")
+def airport_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.build_network(airports(spark, sf_dir)).edges.select("src", "dst", "distance_km")
+
+
+@query(f"""{EDGES}, n AS (SELECT 'A' || a AS iata, string_agg('A' || b || ' ' || printf('%.2f', round(km, 2)), ', ' ORDER BY round(km, 2), b) AS near FROM e GROUP BY a)
+SELECT 'A' || vec_id AS iata, CAST(label AS VARCHAR) AS country, coalesce(near, '') AS near FROM p LEFT JOIN n ON iata = 'A' || vec_id""")
+def airport_network_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = network.nested(network.build_network(airports(spark, sf_dir)))
+    near = F.array_join(F.transform("nearby_airports", lambda n: F.concat(n.iata, F.lit(" "), F.format_string("%.2f", n.distance_km))), ", ")
+    return rows.select("iata", "country", near.alias("near"))
+
+
+@query(f"{EDGES} SELECT (SELECT count(*) FROM p) AS airports, count(*) AS connections, round(count(*) / (SELECT count(*) FROM p), 2) AS average_neighbours FROM e")
+def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.statistics(network.build_network(airports(spark, sf_dir)))
+
+
+NATIONS = f"""n AS (SELECT n_nationkey AS k, 'N' || n_nationkey AS iata, n_name, n_nationkey * 0.3::DOUBLE AS lat, n_nationkey * 0.2::DOUBLE AS lon, n_nationkey // 5 AS country FROM nation),
+near AS (SELECT x.iata AS src, y.iata AS dst, x.n_name AS src_name, y.n_name AS dst_name, x.country AS c1, y.country AS c2, round({KM}, 2) AS km FROM n x JOIN n y ON x.k <> y.k AND {KM} <= 100)"""
+
+
+def _nearby(**o: object) -> Query:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cities = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey")).alias("city")).unionByName(spark.createDataFrame([("XXX",), (None,)], "city string"))
+        return network.allowed_airports(cities, nations(spark, sf_dir), **o)
+
+    return f
+
+
+for _name, _o, _where in (("same_country", {}, "c1 = c2"), ("cross_country", {"same_country": False}, "true"), ("radius", {"same_country": False, "max_km": 50.0}, "km <= 50")):
+    QUERIES[f"nearby_expand_{_name}"] = _nearby(**_o)
+    SQL[f"nearby_expand_{_name}"] = f"WITH {NATIONS}, s AS (SELECT DISTINCT 'N' || s_nationkey AS city FROM supplier UNION SELECT 'XXX') SELECT city, city AS airport FROM s UNION SELECT city, dst FROM s JOIN near ON src = city WHERE {_where}"
+
+
+@query("SELECT s_suppkey, 'N' || s_nationkey AS iata, n_name AS city_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT -1, 'XXX', ''")
+def city_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey")).alias("iata")).unionByName(spark.createDataFrame([(-1, "XXX")], "s_suppkey long, iata string"))
+    return network.city_names(codes, nations(spark, sf_dir)).select("s_suppkey", "iata", "city_name")
+
+
+@query("SELECT 'R' || n_regionkey AS iata, max_by(n_name, n_nationkey) AS name, CAST(min(n_nationkey) AS BIGINT) AS pos FROM nation WHERE n_nationkey % 7 <> 3 GROUP BY n_regionkey")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region are airports of one code; some have coordinates that don't parse."""
+    rows = nation_airports(spark, sf_dir).join(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_regionkey"), "name")
+    rows = rows.withColumn("iata_code", F.concat(F.lit("R"), F.col("n_regionkey"))).withColumn("coordinates", F.when(F.col("pos") % 7 == 3, "none").otherwise(F.col("coordinates")))
+    return network.upserted(rows).select("iata", "name", "pos")
+
+
+# --- journeys
+
+
+@query(f"{pairs()} {FLAT}")
+def combinations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(exact(spark, sf_dir, banded=False))
+
+
+@query(f"{pairs()} {FLAT}")
+def combinations_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(exact(spark, sf_dir))
+
+
+@query(f"{pairs(-5, 5)} {FLAT}")
+def combinations_negative_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(exact(spark, sf_dir, min_stay=-5, max_stay=5))
+
+
+@query(f"""{pairs(on="city = origin OR EXISTS (SELECT 1 FROM near WHERE src = city AND dst = origin AND c1 = c2)").replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)}
+SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price, city <> origin AS transferred,
+  CASE WHEN city <> origin THEN src_name END AS from_city, CASE WHEN city <> origin THEN origin END AS to_airport, CASE WHEN city <> origin THEN dst_name END AS to_city, CASE WHEN city <> origin THEN km END AS distance_km
+FROM j LEFT JOIN near ON src = city AND dst = origin""")
+def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir))
+    t = F.col("airport_transfer")
+    return found.select(
+        "leg1_pos",
+        "leg2_pos",
+        "intermediate_city",
+        "stay_days",
+        F.round("total_price", 2).alias("total_price"),
+        t.isNotNull().alias("transferred"),
+        *[t[c].alias(c) for c in ("from_city", "to_airport", "to_city", "distance_km")],
+    )
+
+
+@query(f"{pairs()} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
+def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact(spark, sf_dir).groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
+
+
+# --- statistics and rankings
+
+
+@query(f"{pairs()} SELECT {STATS} FROM j")
+def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(prices.price_stats(exact(spark, sf_dir)))
+
+
+@query(f"{pairs(9000, 9001)} SELECT {STATS} FROM j")
+def price_stats_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(prices.price_stats(exact(spark, sf_dir, min_stay=9000, max_stay=9001)))
+
+
+@query(f"{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 1) AS avg_price FROM j GROUP BY city")
+def city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(prices.city_stats(exact(spark, sf_dir)))
+
+
+@query(f"""{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 1) AS avg_price,
+row_number() OVER (ORDER BY min(total), min(pos1 * 10000000 + pos2)) AS rank FROM j GROUP BY city""")
+def city_stats_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(prices.city_stats_ordered(exact(spark, sf_dir)))
+
+
+@query(f"{pairs()} SELECT city AS intermediate_city, {STATS}, CAST(grouping(city) AS BIGINT) AS is_total FROM j GROUP BY GROUPING SETS ((), (city))")
+def price_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(prices.stats_by_city_and_all(exact(spark, sf_dir)))
+
+
+RANKED = "SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM {0}"
+FIRST = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY total, pos1, pos2) AS r FROM j) WHERE r = 1)"
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    return rows.select("rank", "leg1_pos", "leg2_pos", "intermediate_city", "stay_days", F.round("total_price", 2).alias("total_price"))
+
+
+@query(f"{pairs()} {RANKED.format('j')} ORDER BY total, pos1, pos2 LIMIT 10")
+def top_n_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(prices.cheapest(exact(spark, sf_dir), 10))
+
+
+@query(f"{pairs()}, {FIRST} SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM u")
+def unique_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(prices.cheapest_per_city(exact(spark, sf_dir)))
+
+
+@query(f"{pairs()}, {FIRST} {RANKED.format('u')} ORDER BY total, pos1, pos2 LIMIT 5")
+def unique_cities_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(prices.cheapest(exact(spark, sf_dir), 5, unique_cities=True))
+
+
+# --- collection, files and reports
+
+
+@query("SELECT string_agg(DISTINCT 'N' || c_nationkey, ',' ORDER BY 'N' || c_nationkey) AS airports FROM customer")
+def discovered_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey")).alias("destination")).unionByName(spark.createDataFrame([("",), (None,)], "destination string"))
+    return collection.discovered(rows).select(F.array_join("intermediate_airports", ",").alias("airports"))
+
+
+@query("SELECT n_name AS name, n_regionkey, NULL AS extra FROM nation UNION ALL SELECT r_name, r_regionkey, 'region' FROM region UNION ALL SELECT r_name, r_regionkey, 'region' FROM region")
+def union_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_regionkey")
+    b = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("n_regionkey"), F.lit("region").alias("extra"))
+    return collection.union_all([a, b, b])
+
+
+@query(f"""{pairs()} SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, format('{{:,}}', CAST(round_even(total, 0) AS BIGINT)) AS total, city AS intermediate_city, stay_days,
+'HUB → ' || city AS leg1_route, CASE WHEN minutes = 0 THEN '' ELSE CAST(minutes AS BIGINT) // 60 || 'ч ' || CAST(minutes AS BIGINT) % 60 || 'м' END AS leg1_duration, origin || ' → END' AS leg2_route, '' AS leg2_duration, '' AS transfer
+FROM j ORDER BY 1 LIMIT 10""")
+def format_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.report_rows(prices.cheapest(exact(spark, sf_dir), 10)).drop("leg1_price", "leg2_price")
+
+
+LEGACY = {"SVO": {"name": "Sheremetyevo", "municipality": "Moscow", "country": "RU", "coordinates": "55.97, 37.41", "nearby_airports": ["CKL", "VKO"]}, "LED": {"name": "Pulkovo", "country": "RU", "nearby_airports": [{"iata": "HEL", "distance_km": 95.5}]}}
+
+
+@query("SELECT * FROM (VALUES ('SVO', 'CKL', 0.0::DOUBLE, CAST(0 AS BIGINT)), ('SVO', 'VKO', 0.0::DOUBLE, CAST(1 AS BIGINT)), ('LED', 'HEL', 95.5::DOUBLE, CAST(0 AS BIGINT))) AS t(src, dst, distance_km, pos)")
+def legacy_network_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_network(spark.createDataFrame([(json.dumps(LEGACY),)], "value string")).edges
+
+
+@query(f"{pairs()} SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, total AS total_price, city AS destination FROM j")
+def journey_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys written as JSON text and parsed again."""
+    rows = exact(spark, sf_dir).withColumns({"leg1": F.col("leg1").withField("link", F.col("leg1_pos").cast("string")), "leg2": F.col("leg2").withField("link", F.col("leg2_pos").cast("string"))})
+    back = documents.journey_json(rows).select(F.from_json("value", "total_price double, leg1 struct<link:string,destination:string>, leg2 struct<link:string>").alias("j"))
+    return back.select(F.col("j.leg1.link").cast("long").alias("leg1_pos"), F.col("j.leg2.link").cast("long").alias("leg2_pos"), "j.total_price", "j.leg1.destination")
