@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import chunks, mixed, span_hashes, texts
+from ternway.llm.common import chunks, mixed, release, span_hashes, texts
 
 #: Pieces that a Python worker remembers before it starts anew.
 CACHE_PIECES = 400_000
@@ -389,6 +389,7 @@ def encode(docs: DataFrame, path: str, library: bool = False) -> DataFrame:
                 ids, offsets = cache.encoded(*texts(part.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids array<int>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -101,6 +103,13 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
         start = stop
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (a finaliser of the splitmix kind)."""
     h = h ^ (h >> np.uint64(30))

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ternway.llm import bpe
-from ternway.llm.common import chunks, scratch_path, shared_folder, texts
+from ternway.llm.common import chunks, release, scratch_path, shared_folder, texts
 
-MAX_LENGTH, CHECKPOINT, BLOCK_IDS = 18, 128, 1 << 18
+MAX_LENGTH, CHECKPOINT, BLOCK_IDS = 18, 128, 1 << 17
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
@@ -164,6 +164,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
                 rows = [squeeze.compress(np.append(ids[a:b], end_id).astype(kind).tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 to = [0 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(to, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "part", "ids"])
+        release()
 
     rows = docs.mapInArrow(encoded, "doc_id long, part int, ids binary")
     rows = rows.repartitionById(len(ranges) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
@@ -208,6 +209,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
                     keys, held, before, total, number = [], [], before + total, 0, number + 1
         if held:
             yield out()
+        release()
 
     coded = rows.select("doc_id", "ids").mapInArrow(blocks, "part int, block int, before long, n_ids long, data binary")
     coded.write.option("compression", "none").parquet(f"{folder}/blocks")
@@ -237,6 +239,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 columns = [pa.array([part.as_py()] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(before + bounds[:-1]), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "at", "ids"])
+        release()
 
     rows = blocks.select("part", "before", "data").mapInArrow(decoded, "part int, doc_id long, at long, ids array<int>")
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "ids")
