@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ternway.llm import langid
-from ternway.llm.common import alphanumeric_words, chunks, mixed, sampled, span_hashes, texts
+from ternway.llm.common import alphanumeric_words, chunks, mixed, release, sampled, span_hashes, texts
 
 #: Labelled texts of each class, at most about so many, from which the classifier is fitted.
-TRAIN_TEXTS = 2500
+TRAIN_TEXTS = 2000
 BUCKETS, WIDTH, FILTERS, SIZES, EPOCHS = 1 << 17, 8, 8, (1, 2, 3), 12
+#: Words that the network takes at a time.
+BLOCK_WORDS = 200_000
 #: Score at which a text counts as toxic, in every language.
 THRESHOLD = 0.7
 #: Texts of each class that a language needs for a threshold of its own.
@@ -61,27 +63,38 @@ class Net:
     shift: dict[int, float] = field(default_factory=dict)
 
     def pooled(self, buckets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest answer of each filter in each text (0 without a place for it), and where it was."""
+        """Largest answer of each filter in each text (0 without a place for it), and in training where it was."""
         n = len(first) - 1
         best = np.zeros((n, len(SIZES) * FILTERS), np.float32)
-        place = np.full(best.shape, -1, np.int64)
+        place = np.full(best.shape if self.training else (0, 0), -1, np.int64)
+        a = 0
+        while a < n:  # some texts at a time, so that memory doesn't grow with their number
+            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK_WORDS, "right")) - 1)
+            self._pool(buckets[first[a] : first[b]], first[a : b + 1] - first[a], best[a:b], place[a:b] if self.training else None, int(first[a]))
+            a = b
+        return best, place
+
+    def _pool(self, buckets: np.ndarray, first: np.ndarray, best: np.ndarray, place: np.ndarray | None, base: int) -> None:
         if not len(buckets):
-            return best, place
-        x = self.embedding[buckets[:, 0]] + self.embedding[buckets[:, 1]] + self.embedding[buckets[:, 2]]
+            return
+        x = self.embedding[buckets[:, 0]]
+        x += self.embedding[buckets[:, 1]]
+        x += self.embedding[buckets[:, 2]]
         for w, (size, filters) in enumerate(zip(SIZES, self.filters, strict=True)):
             full = np.flatnonzero(np.diff(first) >= size)
-            if not len(full) or len(x) < size:
+            if not len(full):
                 continue
-            answer = sum(x[k : len(x) - size + 1 + k] @ filters[k] for k in range(size))
+            answer = x[: len(x) - size + 1] @ filters[0]
+            for k in range(1, size):
+                answer += x[k : len(x) - size + 1 + k] @ filters[k]
             edges = np.stack([first[full], first[full + 1] - size + 1], 1).ravel()
             top = np.maximum.reduceat(answer, np.minimum(edges, len(answer) - 1), axis=0)[::2]
             own = slice(w * FILTERS, (w + 1) * FILTERS)
             best[full, own] = top
-            if self.training:
+            if place is not None:
                 for t, row in zip(full, top, strict=True):
-                    a, b = first[t], first[t + 1] - size + 1
-                    place[t, own] = a + (answer[a:b] == row).argmax(0)
-        return best, place
+                    lo, hi = first[t], first[t + 1] - size + 1
+                    place[t, own] = base + lo + (answer[lo:hi] == row).argmax(0)
 
     training = False
 
@@ -112,11 +125,14 @@ class Adam:
 
 def evidence(buckets: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """For each bucket a cautious log ratio of how often toxic and other texts have it; 0 unless it is above 0."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    seen = np.unique(text[:, None] * np.int64(BUCKETS) + buckets)
-    label = toxic[seen // BUCKETS]
-    a = np.bincount(seen[label] % BUCKETS, minlength=BUCKETS)
-    b = np.bincount(seen[~label] % BUCKETS, minlength=BUCKETS)
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) * BUCKETS
+    a, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for column in buckets.T:
+        seen = np.unique(text + column)
+        label = toxic[seen // BUCKETS]
+        seen %= BUCKETS
+        a += np.bincount(seen[label], minlength=BUCKETS)
+        b += np.bincount(seen[~label], minlength=BUCKETS)
     ratio = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
     return np.maximum(ratio - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
 
@@ -208,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None, trai
             own = judged & (best == k)
             if min(toxic[own].sum(), (~toxic)[own].sum()) >= LEAST_TEXTS:
                 net.shift[k] = threshold(z[own], toxic[own])
+    release()
     return net
 
 
