@@ -17,7 +17,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ternway.llm.common import scratch_path, written
@@ -239,8 +239,8 @@ def merged(runs: DataFrame, ranges: int) -> DataFrame:
     spread = runs.repartitionByRange(ranges, "url_key", "ts", "page_id")
     placed = written(spread.mapInArrow(merge, RUN.removeprefix("run string, ") + ", part long, place long"), "history")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    other = sizes.select(F.col("part").alias("before"), F.col("n").alias("m"))
-    starts = sizes.join(F.broadcast(other), F.col("before") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
+    # one row for each range, so one task can add them up
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
     return placed.join(F.broadcast(starts), "part").withColumn("history_rank", F.col("start") + F.col("place")).drop("part", "place", "start")
 
 
