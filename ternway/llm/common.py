@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, for sessions whose workers have it nowhere on their path. Once a session."""
+    """Send this package to the Python workers, for sessions whose workers have it nowhere on their path, and set the rows of an Arrow batch for texts: 1,000. Once a session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     context = spark.sparkContext
     if getattr(context, "_ternway_shipped", False):
         return

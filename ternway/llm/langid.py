@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import CHUNK_BYTES, mixed, sampled, texts
+from ternway.llm.common import CHUNK_BYTES, chunks, mixed, release, sampled, texts
 
 UNKNOWN = "und"
 #: Texts of each language, at most about so many, from which its n-grams are learned.
@@ -153,14 +153,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            letters = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
-            if m.languages:
-                best, score, share = m.predict(*texts(batch.column(1)))
-                best = np.where(letters, best, len(m.languages))
-            else:
-                best, score, share = (np.zeros(batch.num_rows, k) for k in (np.int64, float, float))
-            score, share = np.where(letters, score, 0.0), np.where(letters, share, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(share)], ["doc_id", "lang_pred", "score", "share"])
+            for part in chunks(batch):
+                letters = np.asarray(part.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
+                if m.languages:
+                    best, score, share = m.predict(*texts(part.column(1)))
+                    best = np.where(letters, best, len(m.languages))
+                else:
+                    best, score, share = (np.zeros(part.num_rows, k) for k in (np.int64, float, float))
+                score, share = np.where(letters, score, 0.0), np.where(letters, share, 0.0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(share)], ["doc_id", "lang_pred", "score", "share"])
+        release()
 
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
@@ -177,10 +179,12 @@ def keep(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts(batch.column(at))
-            if shared.value.languages:
-                _, _, share = shared.value.predict(data, offsets)
-                batch = batch.filter(pa.array((share >= least_share) | (np.diff(offsets) < 2 * GRAM)))
-            yield batch
+            for part in chunks(batch):
+                if shared.value.languages:
+                    data, offsets = texts(part.column(at))
+                    _, _, share = shared.value.predict(data, offsets)
+                    part = part.filter(pa.array((share >= least_share) | (np.diff(offsets) < 2 * GRAM)))
+                yield part
+        release()
 
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -237,6 +237,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             for part in chunks(batch):
                 found = shared.value.score(*texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -251,5 +252,6 @@ def keep(docs: DataFrame, net: Net) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 yield part.filter(pa.array(shared.value.score(*texts(part.column(at))) < THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
