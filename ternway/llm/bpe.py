@@ -305,7 +305,7 @@ class Vocabulary:
         """Ids of all pieces, one piece after the other, and the number of ids of each."""
         size = np.array([len(x) for x in pieces], np.int64)
         found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        order = np.argsort(-size, kind="stable")
+        order = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
         a = 0
         while a < len(order):
             longest = int(size[order[a]])

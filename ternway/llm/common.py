@@ -278,5 +278,6 @@ def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         return pd.Series(in_bit_map(shared.value, h.to_numpy()))
 
     maybe = listed(F.xxhash64(F.col(key).cast("long")))
-    rest = rows.where(maybe).join(ids.select(F.col(name).cast("long").alias("_listed")), F.col(key).cast("long") == F.col("_listed"), "left_anti")
+    other = f"listed_{uuid.uuid4().hex}"  # no column of the rows has this name
+    rest = rows.where(maybe).join(ids.select(F.col(name).cast("long").alias(other)), F.col(key).cast("long") == F.col(other), "left_anti")
     return rows.where(~maybe).unionByName(rest)

@@ -183,7 +183,8 @@ class LoserTree:
         for node in range(self.k - 1, 0, -1):
             a, b = winner[2 * node], winner[2 * node + 1]
             winner[node], self.tree[node] = (a, b) if self._before(a, b) else (b, a)
-        self.tree[0] = winner[1] if self.k > 1 else 0
+        if self.k:
+            self.tree[0] = winner[1] if self.k > 1 else 0
 
     def _next(self, i: int) -> tuple | None:
         row = next(self.runs[i], None)
