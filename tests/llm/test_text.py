@@ -144,7 +144,7 @@ def test_languages(prose_docs, odd, empty):
 
 def test_toxicity(spark, prose_docs, odd, empty):
     bad = ["stinker", "rotzbube", "vilain"]
-    rows = [(r.doc_id, r.text + (f" {bad[r.doc_id // 4 % 3]} {prose(r.lang, 4)}" if r.doc_id % 4 == 0 else ""), r.lang) for r in prose_docs.collect()]
+    rows = [(r.doc_id, r.text + (f" {bad[r.doc_id // 12 % 3]} {prose(r.lang, 4)}" if r.doc_id % 4 == 0 else ""), r.lang) for r in prose_docs.collect()]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)] + [(5, None)], "doc_id long, toxic int")
     net = toxicity.fit(docs.where("doc_id % 3 <> 1"), labels, langid.fit(docs))
     held = toxicity.score(docs, net).join(labels.where("toxic is not null"), "doc_id").where("doc_id % 3 = 1")
