@@ -135,6 +135,19 @@ def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+  vec_id <= coalesce(least.b, vec_id) AS kept
+FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -180,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": JACCARD_SQL, "op8_warc": WARC_SQL, "op10_chat_format": CHAT_SQL}
+    return {"op6_ngram_jaccard": JACCARD_SQL, "op8_warc": WARC_SQL, "op9_embedding_near_dup": VECTOR_SQL, "op10_chat_format": CHAT_SQL}
