@@ -7,7 +7,8 @@
 3.  Prefix index: two sets that are similar enough share one of the rarest shingles of each, so
     many that the rest alone couldn't make them similar. The sets under one entry are compared by
     small bit maps, which bound from below in how many shingles two sets differ; those that the
-    bound lets pass are joined to families (connected components). No pairs leave a task.
+    bound lets pass are joined to families (connected components). Where a task has merged sets
+    under an entry, all sets there are one family. No pairs leave a task.
 4.  Inside a family an inverted index counts the overlap of a set with all others, with set
     relations to skip work: an entry lists sets by size, so a probe takes only the block of
     positions whose sizes can match, and the counts of a set that is nearly the same as the one
@@ -155,7 +156,10 @@ ENTRY = "token long, doc long, low int, high int"
 
 
 def merged_entries(token: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Entries with one row for each token and range of sizes without a gap that rules links out, and the edges from the others to it."""
+    """Entries with one row for each token and range of sizes without a gap that rules links out, and the edges from the others to it.
+
+    A row that stands for several sets, also for some of the same size, has a range with low < high; no other has.
+    """
     order = np.lexsort((low, token))
     token, doc, low, high = token[order], doc[order], low[order], high[order]
     new = np.ones(len(token), bool)
@@ -169,7 +173,8 @@ def merged_entries(token: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np
     edges = np.unique(np.stack([doc[other], leader[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
     if not len(first):
         return (token, doc, low, high), edges
-    return (token[first], doc[first], low[first], np.maximum.reduceat(high, first)), edges
+    several = np.diff(np.append(first, len(token))) > 1
+    return (token[first], doc[first], low[first], np.maximum(np.maximum.reduceat(high, first), low[first] + several.astype(low.dtype))), edges
 
 
 def prefix_entries(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
@@ -243,7 +248,10 @@ LISTED = "list long, a long, b long"
 
 
 def listed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From index entries sorted by token and size: (list, a) for the sets under an entry whose sizes leave no gap that rules links out, each list of sets once, and edges (a, b)."""
+    """From index entries sorted by token and size: (list, a) for the sets under an entry whose sizes leave no gap that rules links out, each list of sets once, and edges (a, b).
+
+    A list with an entry that stands for several sets is a family as it is: the size and bit map of one don't speak for the others.
+    """
     seen: set[int] = set()
     last, reach, members, hot = None, 0, [], False
     out: list[tuple[int | None, int, int | None]] = []
@@ -280,7 +288,7 @@ def listed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 last, reach = token[k], 0
             members.append(int(doc[k]))
             reach = max(reach, int(high[k]))
-            if len(members) > LIST_SETS or hot:
+            if len(members) > LIST_SETS or hot or low[k] < high[k]:
                 out.extend((None, d, members[0]) for d in members[1:])
                 hot, members = True, members[:1]
         if len(out) > 20_000:

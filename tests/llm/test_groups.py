@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,39 @@ def test_near_duplicates(spark, settings, monkeypatch):
     assert got == plain_groups(rows)
 
 
+@pytest.mark.parametrize("same_size", [False, True])
+def test_links_of_sets_that_a_task_merged(spark, same_size, monkeypatch):
+    """The smallest set under a shared passage's shingles, which stands for the others of its task, links with none of them."""
+    monkeypatch.setattr(jaccard, "MERGE_FROM", 3)
+    passage = [f"p{k}" for k in range(90)]
+    fresh = (f"u{k}" for k in range(100_000))
+
+    def own(n):
+        return [next(fresh) for _ in range(n)]
+
+    near = [" ".join(own(7) + passage + own(7)) for _ in range(2)]
+    rows = []
+    for k in range(80):
+        at = RNG.randrange(-20, 70)
+        run = passage[max(at, 0) : at + 40]
+        rows.append((k, " ".join(run + own((104 if same_size else 44 + k * 60 // 80) - len(run)))))
+    rows.append((80, near[0]))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows, [(81, near[1])]], 2).flatMap(lambda x: x), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, heavy=0).collect()}
+    expected = plain_groups([*rows, (81, near[1])])
+    assert expected[81][1] == 80 and got == expected
+
+
+def test_entries_of_several_sets_have_a_range():
+    def of(*x):
+        return np.array(x, np.int64)
+
+    (token, doc, low, high), edges = jaccard.merged_entries(of(1, 1, 2, 3, 3), of(5, 6, 7, 8, 9), of(9, 9, 9, 9, 90), of(9, 9, 9, 9, 90), 75)
+    assert doc[low < high].tolist() == [5] and doc.tolist() == [5, 7, 8, 9] and edges.tolist() == [[6, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (of(1, 1), of(5, 4), of(9, 9), of(10, 9))], ["token", "doc", "low", "high"])
+    assert [tuple(r.values()) for b in jaccard.listed(75, iter([batch])) for r in b.to_pylist()] == [(None, 4, 5)]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == odd.count() and jaccard.near_duplicates(empty).count() == 0
