@@ -84,11 +84,13 @@ class Net:
             full = np.flatnonzero(np.diff(first) >= size)
             if not len(full):
                 continue
-            answer = x[: len(x) - size + 1] @ filters[0]
+            n = len(x) - size + 1
+            answer = np.full((n + 1, FILTERS), -np.inf, np.float32)  # the row after the last place is the end edge of the last text
+            np.matmul(x[:n], filters[0], out=answer[:n])
             for k in range(1, size):
-                answer += x[k : len(x) - size + 1 + k] @ filters[k]
+                answer[:n] += x[k : n + k] @ filters[k]
             edges = np.stack([first[full], first[full + 1] - size + 1], 1).ravel()
-            top = np.maximum.reduceat(answer, np.minimum(edges, len(answer) - 1), axis=0)[::2]
+            top = np.maximum.reduceat(answer, edges, axis=0)[::2]
             own = slice(w * FILTERS, (w + 1) * FILTERS)
             best[full, own] = top
             if place is not None:

@@ -156,6 +156,23 @@ def test_toxicity(spark, prose_docs, odd, empty):
     assert toxicity.score(docs, toxicity.fit(empty, labels.limit(0), None)).where("predicted = 1").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 200_000])
+def test_scores_do_not_depend_on_a_texts_neighbours(block, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(3)
+    net = toxicity.Net(rng.standard_normal((toxicity.BUCKETS, toxicity.WIDTH)).astype(np.float32), [rng.standard_normal((s, toxicity.WIDTH, toxicity.FILTERS)).astype(np.float32) for s in toxicity.SIZES], rng.standard_normal(len(toxicity.SIZES) * toxicity.FILTERS).astype(np.float32), 0.0)
+    rows = ["a calm long text that ends on a stinker", "stinker", "", "two stinker", "some words between", "and then the stinker"]
+    for own in (rows, rows[::-1]):
+        buckets, first = toxicity.features(*texts(pa.array(own, pa.string())))
+        x = net.embedding[buckets].sum(1)
+        best, _ = net.pooled(buckets, first)
+        for t, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            plain = [max((sum(x[p + k] @ f[k][:, c] for k in range(len(f))) for p in range(a, b - len(f) + 1)), default=0) for f in net.filters for c in range(toxicity.FILTERS)]
+            assert np.allclose(best[t], plain, atol=1e-4)
+        together = net.score(*texts(pa.array(own, pa.string())))
+        assert np.allclose(together, [net.score(*texts(pa.array([r], pa.string())))[0] for r in own], atol=1e-5)
+
+
 def test_leaks(spark, odd, empty):
     items = [(1, "A train leaves Paris at 9 and goes 120 km to Lyon in 3 hours, then goes back to Paris."), (2, "two words"), (3, None), (4, "one two three four five six")]
     bench = spark.createDataFrame(items, "item_id long, text string")
