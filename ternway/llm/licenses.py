@@ -46,7 +46,12 @@ _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _FOLD = bytes((b + 32 if 65 <= b < 91 else b) if _LETTER[b] else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: What can belong to an expression behind its tag, to the end of the line at most.
+_EXPRESSION = re.compile(rb"[ \t:=\"']*([0-9A-Za-z.+:() \t-]*)")
+_BLANKS = re.compile(r"[ \t]*")
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
+#: Choices that are multiplied out; where there would be more, both sides of an `and` stay as factors.
+MOST_CHOICES = 4096
 
 
 class Bad(ValueError):
@@ -61,14 +66,15 @@ def parse(text: str) -> tuple[list[str], int]:
     """
     out: list[str] = []
     stack: list[str] = []
-    good: tuple[list[str], int] | None = None
+    good: tuple[int, list[str], int] | None = None
     operand = True
-    at = 0
-    while (m := re.compile(r"[ \t]*").match(text, at)) is not None and (t := _TOKEN.match(text, m.end())):
+    at = depth = 0
+    while (m := _BLANKS.match(text, at)) is not None and (t := _TOKEN.match(text, m.end())):
         word, low = t.group(), t.group().lower()
         if operand:
             if word == "(":
                 stack.append(word)
+                depth += 1
             elif word == ")" or low in PRECEDENCE:
                 break
             else:
@@ -80,6 +86,7 @@ def parse(text: str) -> tuple[list[str], int]:
             if not stack:
                 break
             stack.pop()
+            depth -= 1
         elif low in PRECEDENCE:
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[low]:
                 out.append(stack.pop())
@@ -88,11 +95,11 @@ def parse(text: str) -> tuple[list[str], int]:
         else:
             break
         at = t.end()
-        if not operand and "(" not in stack:
-            good = ([*out, *reversed(stack)], at)
+        if not operand and not depth:
+            good = (len(out), stack[::-1], at)
     if good is None:
         raise Bad(text[:80])
-    return good
+    return [*out[: good[0]], *good[1]], good[2]
 
 
 def label(identifier: str) -> str:
@@ -100,16 +107,49 @@ def label(identifier: str) -> str:
     return next((v for k, v in FAMILIES.items() if low.startswith(k)), low)
 
 
+def factor(choices: frozenset[frozenset[str]]) -> frozenset[str]:
+    """What stands for all choices inside a larger one: the only choice, or the alternatives in brackets."""
+    if len(choices) == 1:
+        return next(iter(choices))
+    return frozenset(["(" + " or ".join(sorted("+".join(sorted(c)) for c in choices)) + ")"])
+
+
 def evaluate(postfix: list[str]) -> frozenset[frozenset[str]]:
-    """The choices that an expression leaves: sets of labels that hold together. An exception after `with` adds nothing."""
-    stack: list[frozenset[frozenset[str]]] = []
+    """The choices that an expression leaves: sets of labels that hold together. An exception after `with` adds nothing.
+
+    Where `and` would leave more than MOST_CHOICES, its sides stay as factors: alternatives in brackets instead of a label.
+    """
+    stack: list[tuple[frozenset[frozenset[str]], bool]] = []
     for x in postfix:
         if x not in PRECEDENCE:
-            stack.append(frozenset([frozenset([label(x)])]))
+            stack.append((frozenset([frozenset([label(x)])]), False))
+            continue
+        (b, b_factored), (a, a_factored) = stack.pop(), stack.pop()
+        factored = a_factored or b_factored
+        if x == "with":
+            stack.append((a, a_factored))
+        elif x == "or":
+            stack.append((a | b, factored))
+        elif factored or len(a) * len(b) > MOST_CHOICES:
+            stack.append((frozenset([factor(a) | factor(b)]), True))
+        else:
+            stack.append((frozenset(p | q for p in a for q in b), False))
+    return stack.pop()[0]
+
+
+def named(postfix: list[str]) -> set[str]:
+    """The labels of an expression's licences, without exceptions after `with`."""
+    stack: list[tuple[int, int]] = []
+    skipped: set[int] = set()
+    for k, x in enumerate(postfix):
+        if x not in PRECEDENCE:
+            stack.append((k, k))
             continue
         b, a = stack.pop(), stack.pop()
-        stack.append(a | b if x == "or" else a if x == "with" else frozenset(p | q for p in a for q in b) if len(a) * len(b) <= 4096 else frozenset([frozenset().union(*a, *b)]))
-    return stack.pop()
+        if x == "with":
+            skipped.update(range(b[0], b[1] + 1))
+        stack.append((a[0], k))
+    return {label(x) for k, x in enumerate(postfix) if x not in PRECEDENCE and k not in skipped}
 
 
 @functools.lru_cache(maxsize=1)
@@ -135,13 +175,12 @@ def scan(raw: bytes, inner: bytes) -> tuple:
         doubt *= 1 - WEIGHT[kind]
         if kind == "tag":
             after = next((m.end() for k, m in enumerate(_WORD.finditer(raw)) if k == at + line.count(" ", begin, end) - 1), None)
-            rest = raw[after : after + 2000].split(b"\n", 1)[0].decode("utf-8", "replace").lstrip(" \t:=\"'")
             try:
-                found = evaluate(parse(rest)[0])
+                postfix, _ = parse(_EXPRESSION.match(raw, after).group(1).decode())
             except Bad:
                 continue
-            choices += found
-            labels |= frozenset().union(*found)
+            choices += evaluate(postfix)
+            labels |= named(postfix)
             continue
         labels.add(name)
         if kind == "base":
@@ -162,7 +201,8 @@ def licenses(docs: DataFrame) -> DataFrame:
     empty. n_base counts all places of base phrases, first_word and last_word are the smallest
     and largest word at which one starts, null without one. labels hold those of all finds,
     identifiers of tagged expressions included; choices lists what the expressions leave to
-    choose between, licences that hold together joined by +. score grows with the number and
+    choose between, licences that hold together joined by +; beyond MOST_CHOICES a part that
+    leaves a choice of its own stands in brackets, its alternatives joined by ` or `. score grows with the number and
     weight of the finds, 0 without any. Rows are kept as they are.
     """
 

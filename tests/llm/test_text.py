@@ -117,6 +117,31 @@ def test_expressions(text, choices):
         assert licenses.evaluate(licenses.parse(text)[0]) == {frozenset(c) for c in choices}
 
 
+def test_long_expressions(spark):
+    long = "SPDX-License-Identifier: " + " AND ".join(f"LicenseRef-package-{k}" for k in range(300)) + " AND ISC\nAND MPL-2.0"
+    pairs = "SPDX-License-Identifier: " + " AND ".join(f"(x{k} OR y{k})" for k in range(14)) + " AND (GPL-2.0 WITH some-exception OR MIT)"
+    found = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame([(1, long), (2, pairs)], "doc_id long, text string")).collect()}
+    assert set(found[1].labels.split(",")) == {"isc", *(f"licenseref-package-{k}" for k in range(300))} and len(found[1].choices) == 1
+    assert set(found[2].labels.split(",")) == {"gpl", "mit", *(f"{c}{k}" for c in "xy" for k in range(14))}
+    # read as an expression again, the choices allow what the whole expression allows
+    postfix, names = licenses.parse(pairs.split(": ")[1])[0], sorted(found[2].labels.split(","))
+    again = [licenses.parse(c.replace("+", " and "))[0] for c in found[2].choices]
+
+    def allows(postfix, have):
+        stack = []
+        for x in postfix:
+            if x not in licenses.PRECEDENCE:
+                stack.append(licenses.label(x) in have)
+                continue
+            b, a = stack.pop(), stack.pop()
+            stack.append(a if x == "with" else a and b if x == "and" else a or b)
+        return stack.pop()
+
+    for k in range(300):
+        have = {n for n in names if RNG.random() < 0.97} if k % 2 else {f"{RNG.choice('xy')}{i}" for i in range(14)} | {RNG.choice(["gpl", "mit", "other"])}
+        assert allows(postfix, have) == any(allows(p, have) for p in again)
+
+
 WORDS = {"en": "the of and house river walk light under over small".split(), "de": "der die und haus fluss gehen licht unter über klein".split(), "fr": "le la et maison rivière marcher lumière sous sur petit".split()}
 
 
