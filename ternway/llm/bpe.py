@@ -1,20 +1,27 @@
 """Byte-level BPE: exact encoding by dynamic programming over prefixes, and decoding.
 
 Every text is cut into pieces by the pattern of the tokenizer; merges never cross pieces, so
-each distinct piece is encoded once per Python worker and remembered. The cutting, the hashing
-of the pieces and the assembly of the ids are array operations over about a megabyte of
-text at a time.
+each distinct piece is encoded once per Python worker and remembered, found by its bytes. The
+cutting and the assembly of the ids are array operations over about half a megabyte of text at
+a time; longer texts are cut where a word ends and a blank and a word follow, which is the end of
+a piece in any text.
 
 For each prefix of a piece there is exactly one token with which the encoding of that prefix
 ends. An automaton over the vocabulary gives the tokens that are suffixes of the prefix,
 longest first; the right one is the first that is compatible with the last token of the prefix
 before it, which means that the two, encoded together, stay as they are. The stored last
 tokens are the back-pointers from which the ids are read.
+
+The automaton and the classes of characters are made once on the driver, from the tokenizer's
+file, and broadcast as arrays: a few megabytes, which grow with the vocabulary alone.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
+import hashlib
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -26,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import chunks, mixed, release, span_hashes, texts
+from ternway.llm.common import CHUNK_BYTES, chunks, release, texts
 
-#: Pieces that a Python worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a Python worker remembers before it starts anew, and their bytes.
+CACHE_PIECES, CACHE_BYTES = 300_000, 1 << 23
 LETTER, NUMBER, SPACE, OTHER, MARK = range(5)
 
 
@@ -39,16 +46,17 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=2)
-def character_classes(path: str) -> np.ndarray:
-    """For each code point whether the tokenizer's own pattern takes it for a letter, a number, white space or other.
+def character_classes() -> np.ndarray:
+    """For each code point whether the byte-level pattern takes it for a letter, a number, white space or other.
 
-    The `regex` module proposes the classes; the tokenizer, whose Unicode version may be older, decides.
+    The `regex` module proposes the classes; the tokenizers library, whose Unicode version may be older, decides.
     """
+    from tokenizers.pre_tokenizers import ByteLevel
+
     points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
     every = points.astype("<u4").tobytes().decode("utf-32-le")
     classes = np.full(0x110000, OTHER, np.uint8)
-    cut = tokenizer(path).pre_tokenizer.pre_tokenize_str
+    cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
     for kind, name, before in ((LETTER, r"\p{L}+", "a"), (NUMBER, r"\p{N}+", "1")):
         for run in regex.finditer(name, every):
             for a in range(run.start(), run.end(), 2000):
@@ -99,21 +107,44 @@ def cut_points(points: np.ndarray, classes: np.ndarray, segment: np.ndarray) ->
     return np.flatnonzero(start)
 
 
+def safe_cuts(data: np.ndarray, size: int = CHUNK_BYTES) -> list[int]:
+    """Places about `size` bytes apart, from 0 to the end, where a piece starts whatever stands before: blanks between ASCII letters or digits."""
+    plain = _PLAIN[data]
+    cuts, n = [0], len(data)
+    while n - cuts[-1] > size:
+        at = cuts[-1] + size
+        while at < n:
+            part = slice(at, min(at + size, n - 1))
+            found = np.flatnonzero((data[part] == 32) & plain[part.start - 1 : part.stop - 1] & plain[part.start + 1 : part.stop + 1])
+            if len(found):
+                cuts.append(at + int(found[0]))
+                break
+            at += size
+        else:
+            break
+    return [*cuts, n]
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
+
+
 class PieceCache:
-    """Ids of the pieces seen so far, found by a 64-bit hash of the piece."""
+    """Ids of the pieces seen so far, found by the pieces' bytes."""
 
-    def __init__(self, path: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = CACHE_PIECES) -> None:
-        self.classes, self.encode, self.most = character_classes(path), encode, most
-        self.specials = [x["content"] for x in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+    def __init__(self, tables: Tables, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = CACHE_PIECES) -> None:
+        self.classes, self.encode, self.most = tables.classes, encode, most
+        self.specials = list(tables.specials)
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
+        self.bytes = 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _add(self, pieces: list[bytes]) -> None:
         ids, sizes = self.encode(pieces)
         a, b = len(self.slot), len(self.slot) + len(pieces)
         while b > len(self.start):
@@ -124,23 +155,40 @@ class PieceCache:
         self.start[a:b] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.slot.update(zip(hashes, range(a, b), strict=True))
+        self.bytes += sum(map(len, pieces))
+        self.slot.update(zip(pieces, range(a, b), strict=True))
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and the n + 1 offsets of the texts into them."""
+        if len(data) <= 2 * CHUNK_BYTES:
+            return self._encoded(data, offsets)
+        parts, sizes = [], []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            found = list(self.streamed(data[a:b]))
+            parts += found
+            sizes.append(sum(map(len, found)))
+        return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def streamed(self, text: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of one text, block by block."""
+        cuts = safe_cuts(text)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield self._encoded(text[a:b], np.array([0, b - a]))[0]
+
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
         try:
             text = raw.decode("utf-8")
-            seen = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=seen[1:])
-            at = seen[offsets]
         except UnicodeDecodeError:
-            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            text, at = "".join(parts), np.cumsum([0, *map(len, parts)])
+            parts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            raw, offsets = b"".join(parts), np.cumsum([0, *map(len, parts)])
+            text, data = raw.decode(), np.frombuffer(raw, np.uint8)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         n = len(points)
+        place = np.flatnonzero((data & 0xC0) != 0x80) if n < len(data) else None  # of each character among the bytes
+        at = offsets if place is None else np.searchsorted(place, offsets)
         segment, marks = at[at < n], []
         if self.special and any(x in text for x in self.specials):
             for d in range(len(at) - 1):
@@ -152,19 +200,16 @@ class PieceCache:
             for a, b in marks:
                 inside[a + 1 : b] = True
             start = start[~inside[start]]
-        stop = np.append(start[1:], n)
-        hashes = span_hashes(mixed(points.astype(np.uint64) + np.uint64(1)), start, stop)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.slot) + len(keys) > self.most and self.slot:
+        ends = np.append(start if place is None else place[start], len(data)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        pieces, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        if self.slot and (len(self.slot) + len(pieces) > self.most or self.bytes > CACHE_BYTES):
             self.clear()
-        find = self.slot.get
-        slots = np.fromiter((find(k, -1) for k in keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.slot.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(slots < 0)):
-            low, high = start[first[new]].tolist(), stop[first[new]].tolist()
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
-            self._add([keys[k] for k in new], [text[a:b] for a, b in zip(low, high, strict=True)])
-        slots = slots[inverse]
+            self._add([pieces[k] for k in new])
+        slots = slots[which]
         size = self.size[slots].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[slots] - (ends - size), size) + np.arange(int(ends[-1]))]
@@ -172,30 +217,20 @@ class PieceCache:
         return ids, total[np.searchsorted(start, at)]
 
 
-def library_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encodes pieces with the tokenizers library, many to a call."""
-    tok = tokenizer(path)
-    newline = tok.encode("\n", add_special_tokens=False).ids
-    blank = re.compile(r"\s", re.UNICODE)
-
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # A line end after each piece keeps the pieces apart, if they have no white space but a blank in front.
-        plain = [k for k, x in enumerate(pieces) if not blank.search(x, 1) and x[0] != "\n" and (x[0] == " " or not x[0].isspace()) and len(x.strip()) and x not in specials]
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        joined = ["\n".join([pieces[k] for k in plain[a : a + 2000]]) + "\n" for a in range(0, len(plain), 2000)]
-        for a, found in enumerate(tok.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(ids == newline[0])
-            own = plain[2000 * a : 2000 * (a + 1)]
-            if len(ends) == len(own):
-                for k, lo, hi in zip(own, [0, *(ends[:-1] + 1)], ends, strict=True):
-                    out[k] = ids[lo:hi]
-        for k, x in enumerate(out):
-            if x is None:
-                out[k] = np.array(tok.encode(pieces[k], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
-
-    specials = {x.content for x in tok.get_added_tokens_decoder().values()}
+def library_encoder(v: Tables, path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes pieces with the tokenizers library's model; they are cut already, so its pattern need not look at them again."""
+    tokenize = tokenizer(path).model.tokenize
+    specials = {x.encode(): [i] for x, i in v.specials.items()}
+    letters = {b: c for c, b in byte_alphabet().items()}
+    letters[0xFF] = "\n"  # stands between the pieces: no byte of UTF-8 and no letter of the alphabet
+    table = "".join(letters[b] for b in range(256))
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        written = b"\xff".join(pieces).decode("latin-1").translate(table).split("\n")
+        out = [specials[x] if x in specials else [t.id for t in tokenize(w)] for x, w in zip(pieces, written, strict=True)]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
     return encode
 
 
@@ -206,8 +241,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Vocabulary:
-    """Tokens in the order of their merges: 256 bytes first, then the result of each merge."""
+class Tables:
+    """What encoding needs of a tokenizer's file, as arrays.
+
+    Tokens stand in the order of their merges: 256 bytes first, then the result of each merge.
+    """
 
     def __init__(self, path: str) -> None:
         model = json.load(open(path, encoding="utf-8"))
@@ -221,47 +259,50 @@ class Vocabulary:
                 number[a + b] = len(left)
                 left.append(number[a])
                 right.append(number[b])
-        self.bytes = [bytes(alphabet[c] for c in x) for x in number]
+        parts = [bytes(alphabet[c] for c in x) for x in number]
         self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
-        self.size = np.array([len(x) for x in self.bytes], np.int64)
+        self.size = np.array([len(x) for x in parts], np.int64)
         self.id = np.array([vocab.get(x, 0) for x in number], np.uint32)
+        self.n = len(parts)
         keys = (self.left[256:] << 32) | self.right[256:]
         order = np.argsort(keys)
         self.pair_keys, self.pair_token = keys[order], order + 256
         self.specials = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self._automaton()
-
-    def _automaton(self) -> None:
-        """The automaton's states are the tokens' prefixes; for each the longest token that ends it."""
-        child: list[dict[int, int]] = [{}]
-        token = [-1]
-        for t, x in enumerate(self.bytes):
-            s = 0
-            for b in x:
-                if (nxt := child[s].get(b)) is None:
-                    nxt = child[s][b] = len(child)
-                    child.append({})
-                    token.append(-1)
-                s = nxt
-            token[s] = t
-        fail, longest, shorter = [0] * len(child), [-1] * len(child), np.full(len(self.bytes), -1, np.int64)
-        queue = [0]
-        for s in queue:
-            for b, nxt in child[s].items():
-                if s:
-                    f = fail[s]
-                    while f and b not in child[f]:
-                        f = fail[f]
-                    fail[nxt] = child[f].get(b, 0)
-                own = longest[fail[nxt]]
-                if token[nxt] >= 0:
-                    shorter[token[nxt]] = own
-                    own = token[nxt]
-                longest[nxt] = own
-                queue.append(nxt)
-        pairs = sorted((s << 8 | b, nxt) for s, c in enumerate(child) for b, nxt in c.items())
-        self.step_keys, self.step_to = np.array([k for k, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64)
-        self.fail, self.longest, self.shorter = np.array(fail, np.int64), np.array(longest, np.int64), shorter
+        self.classes = character_classes()
+        self._automaton(parts)
+        by_id = dict(zip(self.id.tolist(), parts, strict=True)) | {i: x.encode() for x, i in self.specials.items()}
+        parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.flat, self.flat_at = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("cache_")}
+
+    def _automaton(self, parts: list[bytes]) -> None:
+        """The automaton's states are the tokens' prefixes, numbered by length; for each the longest token that ends it."""
+        flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        begin = np.cumsum(self.size) - self.size
+        state = np.zeros(self.n, np.int64)
+        alive, states, keys, to, parent, token = np.arange(self.n), 1, [], [], [0], {}
+        for depth in range(int(self.size.max())):
+            alive = alive[self.size[alive] > depth]
+            own, which = np.unique((state[alive] << 8) | flat[begin[alive] + depth], return_inverse=True)
+            state[alive] = states + which
+            keys.append(own)
+            to.append(np.arange(states, states + len(own)))
+            states += len(own)
+        self.step_keys, self.step_to = np.concatenate(keys), np.concatenate(to)
+        ends = np.full(states, -1, np.int64)
+        ends[state] = np.arange(self.n)
+        order = np.argsort(self.step_keys)
+        self.step_keys, self.step_to = self.step_keys[order], self.step_to[order]
+        self.fail, self.longest, self.shorter = np.zeros(states, np.int64), np.full(states, -1, np.int64), np.full(self.n, -1, np.int64)
+        for own, new in zip(keys, to, strict=True):  # by length: what a state falls back to is shorter
+            up = own >> 8
+            self.fail[new] = np.where(up > 0, self.step(self.fail[up], own & 255), 0)
+            behind = self.longest[self.fail[new]]
+            mine = ends[new]
+            self.shorter[mine[mine >= 0]] = behind[mine >= 0]
+            self.longest[new] = np.where(mine >= 0, mine, behind)
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         state, todo = state.copy(), np.arange(len(state))
@@ -278,7 +319,7 @@ class Vocabulary:
         """The token that two tokens merge to, or a number above all tokens."""
         key = (a << 32) | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_token[at], len(self.bytes))
+        return np.where(self.pair_keys[at] == key, self.pair_token[at], self.n)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether two tokens side by side are their own encoding.
@@ -288,7 +329,7 @@ class Vocabulary:
         """
         a, b = a.copy(), b.copy()
         ok = np.zeros(len(a), bool)
-        limit = np.full(len(a), len(self.bytes), np.int64)
+        limit = np.full(len(a), self.n, np.int64)
         todo = np.arange(len(a))
         while len(todo):
             x, y = a[todo], b[todo]
@@ -306,19 +347,26 @@ class Vocabulary:
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one piece after the other, and the number of ids of each."""
         size = np.array([len(x) for x in pieces], np.int64)
-        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        order = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
-        a = 0
-        while a < len(order):
+        order = np.argsort(-size, kind="stable")
+        parts, counts = [np.zeros(0, np.uint32)], [np.zeros(np.count_nonzero(size == 0), np.int64)]
+        a, end = 0, int(np.count_nonzero(size))
+        while a < end:
             longest = int(size[order[a]])
-            b = a + int(np.searchsorted(-size[order[a:]], -(longest // 2), "left")) if longest > 32 else len(order)
-            b = min(max(b, a + 1), a + max(1, (1 << 22) // longest))
-            for k, ids in zip(order[a:b], self._encode([pieces[k] for k in order[a:b]], size[order[a:b]]), strict=True):
-                found[k] = ids
+            b = a + int(np.searchsorted(-size[order[a:end]], -(longest // 2), "left")) if longest > 32 else end
+            b = min(max(b, a + 1), a + max(1, (1 << 20) // longest))
+            flat, own = self._encode([pieces[k] for k in order[a:b]], size[order[a:b]])
+            parts.append(flat)
+            counts.insert(-1, own)
             a = b
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64)
-
-    def _encode(self, pieces: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+        flat, sizes = np.concatenate(parts), np.empty(len(pieces), np.int64)
+        counts = np.concatenate(counts)
+        sizes[order] = counts
+        begin = np.empty(len(pieces), np.int64)
+        begin[order] = np.cumsum(counts) - counts
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(len(flat))], sizes
+
+    def _encode(self, pieces: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pieces in falling order of length, so that those that go on are always in front."""
         n, width = len(pieces), int(size[0])
         text = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(n, width).T.astype(np.int64)
@@ -346,24 +394,23 @@ class Vocabulary:
             lanes = lanes[at[lanes] > 0]
         back = np.array(out[::-1], np.int64).T
         keep = back >= 0
-        flat, ends = self.id[back[keep]], np.cumsum(keep.sum(1))
-        return np.split(flat, ends[:-1])
+        return self.id[back[keep]], keep.sum(1)
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+@functools.lru_cache(maxsize=1)
+def tables(path: str) -> Tables:
+    return Tables(path)
 
 
-def prefix_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def prefix_encoder(v: Tables) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Encodes pieces by the dynamic programming of this module."""
-    v = vocabulary(path)
+    specials = {x.encode(): i for x, i in v.specials.items()}
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        marks = [(k, v.specials[x]) for k, x in enumerate(pieces) if x in v.specials]
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        marks = [(k, specials[x]) for k, x in enumerate(pieces) if x in specials]
         if not marks:
-            return v.encode([x.encode() for x in pieces])
-        ids, sizes = v.encode([b"" if x in v.specials else x.encode() for x in pieces])
+            return v.encode(pieces)
+        ids, sizes = v.encode([b"" if x in specials else x for x in pieces])
         at = np.cumsum(sizes)[[k for k, _ in marks]]
         sizes[[k for k, _ in marks]] = 1
         return np.insert(ids, at, [i for _, i in marks]), sizes
@@ -371,21 +418,33 @@ def prefix_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndar
     return encode
 
 
-@functools.lru_cache(maxsize=4)
-def piece_cache(path: str, library: bool) -> PieceCache:
-    return PieceCache(path, library_encoder(path) if library else prefix_encoder(path))
+def piece_cache(v: Tables, library: str | None = None) -> PieceCache:
+    """A worker's cache for tables that it has from the driver: it lives as long as they do. library: the tokenizer's file, to encode with the library."""
+    name = f"cache_{bool(library)}"
+    if name not in v.__dict__:
+        v.__dict__[name] = PieceCache(v, library_encoder(v, library) if library else prefix_encoder(v))
+    return v.__dict__[name]
+
+
+def shared_tables(docs: DataFrame, path: str):
+    return docs.sparkSession.sparkContext.broadcast(tables(path))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, path: str, library: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens added.
 
-    path: the tokenizer's file, at the same place on all machines. Only doc_id and text of the
-    input count. A null or empty text has no ids; rows are kept as they are, repeated or null
-    doc_id included. The literal text of a special token is that token, as in the library.
+    path: the tokenizer's file, with library at the same place on all machines. Only doc_id and
+    text of the input count. A null or empty text has no ids; rows are kept as they are, repeated
+    or null doc_id included. The literal text of a special token is that token, as in the library.
     """
+    shared = shared_tables(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = piece_cache(path, library)
+        cache = piece_cache(shared.value, path if library else None)
         for batch in batches:
             for part in chunks(batch):
                 ids, offsets = cache.encoded(*texts(part.column(1)))
@@ -393,28 +452,26 @@ def encode(docs: DataFrame, path: str, library: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
         release()
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return _plain(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-@functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all tokens in the order of their ids, and the offsets into them."""
-    v = vocabulary(path)
-    by_id = dict(zip(v.id.tolist(), v.bytes, strict=True)) | {i: x.encode() for x, i in v.specials.items()}
-    parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+def gathered(flat: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table of byte strings (flat, n + 1 offsets) at some places, one after the other, and their ends."""
+    size = at[ids + 1] - at[ids]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(at[ids] - (ends - size), size) + np.arange(total)], ends
 
 
-def decode(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, text), with keep_ids (doc_id, ids, text): the texts of ids as `encode` returns them.
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text): the texts of ids as `encode` returns them.
 
     Null ids give an empty text, as no ids do; bytes that are no UTF-8 become U+FFFD.
     """
+    shared = shared_tables(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start = token_bytes(path)
-        size = np.diff(start)
+        v = shared.value
         for batch in batches:
             column = batch.column(1)
             lengths = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
@@ -422,16 +479,65 @@ def decode(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             ids = np.asarray(column.flatten()).astype(np.int64)
             a = 0
             while a < len(lengths):
-                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1)
-                own = ids[bounds[a] : bounds[b]]
-                n = size[own]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                data = flat[np.repeat(start[own] - (ends - n), n) + np.arange(total)].tobytes()
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 18), "right")) - 1)
+                data, ends = gathered(v.flat, v.flat_at, ids[bounds[a] : bounds[b]])
+                data = data.tobytes()
                 at = np.concatenate([[0], ends])[bounds[a : b + 1] - bounds[a]].tolist()
                 out = [data[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:], strict=True)]
-                columns = {"doc_id": batch.column(0).slice(a, b - a)} | ({"ids": column.slice(a, b - a)} if keep_ids else {}) | {"text": pa.array(out, pa.string())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.string())], ["doc_id", "text"])
                 a = b
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string" if keep_ids else "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+class Digests:
+    """Of one text's ids, block by block: their number, the digest of their decimal texts and that of what they decode to."""
+
+    def __init__(self, v: Tables, numbers: tuple[np.ndarray, np.ndarray]) -> None:
+        self.v, self.numbers, self.n = v, numbers, 0
+        self.ids, self.text, self.decoder = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, ids: np.ndarray) -> None:
+        if not len(ids):
+            return
+        listed = gathered(*self.numbers, ids)[0].tobytes()  # each with a comma in front
+        self.ids.update(listed if self.n else listed[1:])
+        self.text.update(self.decoder.decode(gathered(self.v.flat, self.v.flat_at, ids)[0].tobytes()).encode())
+        self.n += len(ids)
+
+    def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text: encoded and decoded again, block by block.
+
+    As `encode` and `decode` one after the other, without rows of ids between them. ids_sha256 is
+    that of the ids in decimal with commas between them.
+    """
+    shared = shared_tables(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        cache = piece_cache(v)
+        listed = [f",{i}".encode() for i in range(len(v.flat_at) - 1)]
+        numbers = np.frombuffer(b"".join(listed), np.uint8), np.cumsum([0, *map(len, listed)])
+        for batch in batches:
+            for part in chunks(batch):
+                data, offsets = texts(part.column(1))
+                rows = []
+                if len(data) > 2 * CHUNK_BYTES:
+                    blocks = [cache.streamed(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                else:
+                    ids, at = cache.encoded(data, offsets)
+                    blocks = [(ids[a:b],) for a, b in zip(at[:-1], at[1:], strict=True)]
+                for own in blocks:
+                    one = Digests(v, numbers)
+                    for ids in own:
+                        one.add(ids)
+                    rows.append(one.row())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
+
+    return _plain(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

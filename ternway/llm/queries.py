@@ -96,15 +96,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of the ids of each text and of what they decode to."""
-    path = tokenizer_path()
-    encoded = bpe.encode(docs, path)
-    decoded = bpe.decode(encoded, path, keep_ids=True)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(docs, tokenizer_path())
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
