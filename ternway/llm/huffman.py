@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,28 +141,33 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
     """Encode texts with the tokenizers library, end each with end_id, and write them in ascending order of doc_id.
 
     A null text is empty and has the end alone; null doc_ids come first, equal ones next to each
-    other. Other columns don't matter. The ids are computed once: they go, compressed, to ranges
-    of doc_id found from quantiles, and are kept in the shared folder between the two passes,
-    counting and coding. An empty table gives empty tables.
+    other. Other columns don't matter. The ids are computed once: they go, compressed, to ranges of doc_id
+    found from quantiles, and are kept in the shared folder between the two passes, counting and
+    coding. A document lies in one block, so the longest one sets the size of the largest block.
+    An empty table gives empty tables; more than 2**MAX_LENGTH different ids are a ValueError.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     ranges = sorted(set(bounds[: parts - 1]))
-    n = token_count(tokenizer)
+    tables = bpe.shared_tables(docs, tokenizer)
+    n = len(tables.value.flat_at)
     kind = "<u2" if n <= 1 << 16 else "<u4"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, squeeze = bpe.piece_cache(tokenizer, True), zstandard.ZstdCompressor(3)
-        cuts = np.array(ranges, np.int64)
+        cache = bpe.piece_cache(tables.value, tokenizer)
+        cuts, squeeze = np.array(ranges, np.int64), zstandard.ZstdCompressor(1)
         for batch in batches:
             for piece in chunks(batch):
                 ids, offsets = cache.encoded(*texts(piece.column(1)))
-                keys = piece.column(0).to_pylist()
-                rows = [squeeze.compress(np.append(ids[a:b], end_id).astype(kind).tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                to = [0 if k is None else int(np.searchsorted(cuts, k, "left")) for k in keys]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(to, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "part", "ids"])
+                ids = np.insert(ids, offsets[1:], end_id).astype(kind)
+                bounds = (offsets + np.arange(len(offsets))).tolist()
+                keys = piece.column(0)
+                to = np.searchsorted(cuts, np.asarray(keys.fill_null(0)), "left")
+                to[np.asarray(keys.is_null())] = 0
+                rows = [squeeze.compress(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(to.astype(np.int32)), pa.array(rows, pa.binary())], ["doc_id", "part", "ids"])
         release()
 
     rows = docs.mapInArrow(encoded, "doc_id long, part int, ids binary")
@@ -172,11 +176,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
     rows = rows.checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, open_ = np.zeros(n, np.int64), zstandard.ZstdDecompressor()
+        total, open_, held, size = np.zeros(n, np.int64), zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            held = [np.frombuffer(open_.decompress(x.as_buffer()), kind) for x in batch.column(0)]
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=n)
+            for x in batch.column(0):
+                held.append(np.frombuffer(open_.decompress(x.as_buffer()), kind))
+                size += len(held[-1])
+                if size > BLOCK_IDS:
+                    total += np.bincount(np.concatenate(held), minlength=n)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=n)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -215,12 +224,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
     coded.write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
-def token_count(tokenizer: str) -> int:
-    return bpe.tokenizer(tokenizer).get_vocab_size()
-
+def read(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, ids) of all documents of a folder: start is the number of ids of all documents before it.
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of all documents of a folder: start is the number of ids of all documents before it."""
+    checksums: n_tokens and ids_crc32, the CRC of the ids as little-endian 32-bit numbers, instead of ids.
+    """
     lengths = {r.id: r.length for r in spark.read.schema("id int, length int").parquet(f"{folder}/codes").collect()}
     sizes = np.zeros(max(lengths, default=0) + 1, np.int64)
     sizes[list(lengths)] = list(lengths.values())
@@ -236,31 +244,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for part, before, x in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 keys, counts, flat = read_block(x.as_py(), ids, size)
                 bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                columns = [pa.array([part.as_py()] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(before + bounds[:-1]), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "at", "ids"])
+                columns = [pa.array([part.as_py()] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(before + bounds[:-1])]
+                if checksums:
+                    flat = memoryview(flat.astype("<u4")).cast("B")
+                    columns += [pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64())]
+                else:
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "at", *(["n_tokens", "ids_crc32"] if checksums else ["ids"])])
         release()
 
-    rows = blocks.select("part", "before", "data").mapInArrow(decoded, "part int, doc_id long, at long, ids array<int>")
-    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "ids")
-
-
-def checksums(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what `read` returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = np.asarray(batch.column(2).flatten()).astype("<u4")
-            size = np.asarray(pc.list_value_length(batch.column(2))).astype(np.int64)
-            ends = np.cumsum(size)
-            sums = [zlib.crc32(flat[b - n : b].tobytes()) for b, n in zip(ends, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shown = "n_tokens long, ids_crc32 long" if checksums else "ids array<int>"
+    rows = blocks.select("part", "before", "data").mapInArrow(decoded, f"part int, doc_id long, at long, {shown}")
+    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), *[x.split()[0] for x in shown.split(", ")])
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write a table's texts to a new folder of the shared one and read their checksums back."""
+    """(doc_id, start, n_tokens, ids_crc32): write a table's texts to a new folder of the shared one and read their checksums back."""
     folder = scratch_path(docs.sparkSession, "huffman")
     write(docs, tokenizer, folder)
-    return checksums(read(docs.sparkSession, folder))
+    return read(docs.sparkSession, folder, checksums=True)
