@@ -1,7 +1,11 @@
 """Date-times as fare interfaces write them: wall-clock texts whose offset is dropped.
 
-A parsed date-time is a struct of `sec`, its wall-clock seconds since 1970, and `aware`, whether
-it was marked Z. Aware and other date-times have no difference but that of their dates.
+A parsed date-time has `sec`, its wall-clock seconds since 1970, `aware`, whether it was marked Z,
+and `day`, the days since 1970 of the text up to T. Aware and other date-times have no
+difference but that of their days.
+
+Expressions are kept short: the optimiser copies them into filters and projections, and a text
+is parsed by one pattern and one cast.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ from pyspark.sql import functions as F
 from ternway.functions.values import present
 
 DAY = 86_400
-_FORMATS = ("yyyy-M-d'T'H:m:sX", "yyyy-M-d H:m:sX", "yyyy-M-dX")
+_DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+_TIMED, _AWARE, _DAY = rf"^{_DATE}[T ][0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}$", r"T[0-9:]+Z$", rf"^{_DATE}$"
 
 
 def without_offset(text: Column) -> Column:
@@ -24,46 +29,60 @@ def date_part(text: Column) -> Column:
     return F.substring_index(text, "T", 1)
 
 
-def _seconds(clean: Column) -> Column:
-    """Wall-clock seconds: the text is read as if it were UTC, whatever the session's zone."""
-    marked = F.concat(clean, F.lit("Z"))
-    return F.unix_seconds(F.coalesce(*[F.try_to_timestamp(marked, F.lit(f)) for f in _FORMATS]))
+def aware(text: Column) -> Column:
+    """Whether a date-time ends in Z after a time with T."""
+    return F.coalesce(without_offset(text).rlike(_AWARE), F.lit(False))
 
 
-def parsed(text: Column) -> Column:
-    """struct<sec, aware> of a date-time, sec null if it is none.
+def seconds(text: Column) -> Column:
+    """Wall-clock seconds since 1970 of a date, or of a date and a time with seconds, T or a blank between them; null if it is neither.
 
-    A date, or a date and a time with seconds, T or a blank between them; a Z after the time with T.
+    The text is read as if it were UTC, whatever the session's zone.
     """
-    clean = without_offset(text)
-    aware = F.coalesce(clean.rlike(r"T[0-9:]+Z$"), F.lit(False))
-    return F.struct(_seconds(F.when(aware, F.rtrim(clean, F.lit("Z"))).otherwise(clean)).alias("sec"), aware.alias("aware"))
+    clean = F.regexp_replace(without_offset(text), r"(T[0-9:]+)Z$", "$1")
+    whole = F.when(clean.rlike(_TIMED), clean).when(clean.rlike(_DAY), F.concat(clean, F.lit("T00:00:00")))
+    return F.unix_seconds(F.concat(whole, F.lit("Z")).try_cast("timestamp"))
+
+
+def parsed(text: Column) -> Column:
+    """struct<sec, aware> of a date-time, sec null if it is none."""
+    return F.struct(seconds(text).alias("sec"), aware(text).alias("aware"))
 
 
 def day_number(text: Column) -> Column:
     """Days since 1970 of the text up to T, null if that is no date."""
-    return F.floor(F.unix_seconds(F.try_to_timestamp(F.concat(date_part(text), F.lit("Z")), F.lit(_FORMATS[2]))) / DAY)
+    day = date_part(text)
+    return F.unix_date(F.when(day.rlike(_DAY), day).try_cast("date")).cast("long")
 
 
-def arrival_text(departure: Column, minutes: Column) -> Column:
-    """Departure plus minutes on the wall clock, in ISO form; the departure's text where it can't be parsed."""
-    at = parsed(departure)
-    seconds = (at["sec"] + minutes.cast("double") * 60).cast("decimal(18,6)")
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    text = F.replace((zero + F.make_dt_interval(secs=seconds)).cast("string"), F.lit(" "), F.lit("T"))
-    text = F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)  # fractions have six places
-    return F.coalesce(F.concat(text, F.when(at["aware"], "+00:00").otherwise("")), departure)
+def arrival_seconds(departed: Column, minutes: Column) -> Column:
+    """Seconds of a departure (seconds) plus minutes; null where that is no whole second, as its text does not parse then."""
+    exact = (departed + minutes.cast("double") * 60).cast("decimal(18,6)")
+    return F.when(exact == F.floor(exact), exact.cast("long"))
 
 
-def stay_days(arrival: Column, departure: Column, arrival_at: Column | None = None, departure_at: Column | None = None) -> Column:
-    """Whole days from arrival to departure, rounded down; of dates where the times can't be compared; else 0.
+def arrival_text(departure: Column, minutes: Column, departed: Column | None = None, marked: Column | None = None) -> Column:
+    """Departure plus minutes on the wall clock, in ISO form; the departure's text where it can't be parsed.
 
-    arrival_at, departure_at: what `parsed` gave for the texts, if it is at hand.
+    departed, marked: `seconds` and `aware` of the departure, if they are at hand.
     """
-    a = parsed(arrival) if arrival_at is None else arrival_at
-    b = parsed(departure) if departure_at is None else departure_at
-    exact = F.when(a["aware"] == b["aware"], F.floor((b["sec"] - a["sec"]) / DAY))
-    return F.coalesce(exact, day_number(departure) - day_number(arrival), F.lit(0)).cast("long")
+    at = seconds(departure) if departed is None else departed
+    exact = (at + minutes.cast("double") * 60).cast("decimal(18,6)")
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    text = F.replace((zero + F.make_dt_interval(secs=exact)).cast("string"), F.lit(" "), F.lit("T"))
+    text = F.rpad(text, F.when(F.length(text) > 19, 26).otherwise(19), F.lit("0"))  # fractions have six places
+    return F.coalesce(F.concat(text, F.when(aware(departure) if marked is None else marked, "+00:00").otherwise("")), departure)
+
+
+def stay_days(arrival: Column, departure: Column) -> Column:
+    """Whole days from arrival to departure, rounded down; of dates where the times can't be compared; else 0."""
+    exact, dates = stay_parts(*[f(x) for x in (arrival, departure) for f in (seconds, aware, day_number)])
+    return F.coalesce(exact, dates, F.lit(0)).cast("long")
+
+
+def stay_parts(sec1: Column, aware1: Column, day1: Column, sec2: Column, aware2: Column, day2: Column) -> tuple[Column, Column]:
+    """Whole days from an arrival to a departure by their times, and by their dates; each null where that can't be told."""
+    return F.when(aware1 == aware2, F.floor((sec2 - sec1) / DAY)), day2 - day1
 
 
 def within(text: Column, first: str | None, last: str | None) -> Column | None:

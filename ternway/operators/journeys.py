@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternway.functions import times
+from ternway.operators.legs import TIME
 from ternway.operators.network import allowed_airports
 from ternway.sources.files import Network
 
@@ -13,36 +14,38 @@ from ternway.sources.files import Network
 COLUMNS = ("total_price", "stay_days", "intermediate_city", "leg1", "leg2", "airport_transfer", "leg1_pos", "leg2_pos")
 
 
-def _sides(first: DataFrame, second: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    left = first.join(allowed, "city").select("city", "airport", F.col("pos").alias("leg1_pos"), F.col("leg").alias("leg1"), "arrived")
-    right = second.where("origin is not null").select(F.col("origin").alias("airport"), F.col("pos").alias("leg2_pos"), F.col("leg").alias("leg2"), "departed")
+def _sides(first: DataFrame, second: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    left = first.where("city is not null").withColumn("airport", F.col("city")) if allowed is None else first.join(allowed, "city")
+    left = left.select("city", "airport", F.col("pos").alias("leg1_pos"), F.col("leg").alias("leg1"), *[F.col(c).alias(f"{c}1") for c in TIME])
+    right = second.where("origin is not null").select(F.col("origin").alias("airport"), F.col("pos").alias("leg2_pos"), F.col("leg").alias("leg2"), *[F.col(c).alias(f"{c}2") for c in TIME])
     return left, right
 
 
-def _stays(rows: DataFrame, low: int, high: int) -> DataFrame:
-    stay = times.stay_days(F.col("leg1.arrival_at"), F.col("leg2.departure_at"), F.col("arrived"), F.col("departed"))
-    return rows.withColumn("stay_days", stay).where(F.col("stay_days").between(low, high))
-
-
-def pair(first: DataFrame, second: DataFrame, allowed: DataFrame, min_stay: int, max_stay: int, banded: bool = True) -> DataFrame:
-    """Pairs of first and second legs at an allowed airport with a stay of min_stay to max_stay days.
+def pair(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_stay: int, max_stay: int, banded: bool = True) -> DataFrame:
+    """Pairs of first and second legs at an allowed airport, or at the city itself without any, with a stay of min_stay to max_stay days.
 
     banded: the days of arrival and departure take part in the join's key, so a busy airport is
     many keys. A second leg stands in one band of the stays' length, a first leg in all bands
     that its stays can reach, with a day to spare for stays that only dates tell; so each pair
-    meets once. Flights whose times don't parse have no band and are joined by airport alone.
+    meets once. A stay that neither times nor dates tell is 0; where 0 is wanted, flights without
+    a date are also joined by airport alone.
     """
     left, right = _sides(first, second, allowed)
+    exact, dates = times.stay_parts(*[F.col(f"{c}{k}") for k in (1, 2) for c in TIME])
+    told = F.coalesce(exact, dates)
     if max_stay < min_stay:
-        return _stays(left.join(right, "airport").where(F.lit(False)), min_stay, max_stay)
+        return left.join(right, "airport").withColumn("stay_days", told.cast("long")).where(F.lit(False))
     if not banded:
-        return _stays(left.join(right, "airport"), min_stay, max_stay)
-    width = (max_stay - min_stay + 1) * times.DAY
-    at, to = F.col("arrived.sec"), F.col("departed.sec")
-    bands = F.sequence(F.floor((at + (min_stay - 1) * times.DAY) / width), F.floor((at + (max_stay + 2) * times.DAY) / width))
-    near = left.where(at.isNotNull()).withColumn("band", F.explode(bands)).join(right.where(to.isNotNull()).withColumn("band", F.floor(to / width)), ["airport", "band"]).drop("band")
-    rest = left.where(at.isNull()).join(right, "airport").unionByName(left.where(at.isNotNull()).join(right.where(to.isNull()), "airport"))
-    return _stays(near.unionByName(rest), min_stay, max_stay)
+        return left.join(right, "airport").withColumn("stay_days", F.coalesce(told, F.lit(0)).cast("long")).where(F.col("stay_days").between(min_stay, max_stay))
+    width = max_stay - min_stay + 1
+    day1, day2 = (F.coalesce(F.floor(F.col(f"sec{k}") / times.DAY), F.col(f"day{k}")) for k in (1, 2))
+    bands = F.sequence(F.floor((day1 + (min_stay - 1)) / width), F.floor((day1 + (max_stay + 2)) / width))
+    near = left.withColumn("band", F.explode(bands)).join(right.withColumn("band", F.floor(day2 / width)), ["airport", "band"]).drop("band")
+    near = near.withColumn("stay_days", told.cast("long")).where(F.col("stay_days").between(min_stay, max_stay))
+    if not min_stay <= 0 <= max_stay:
+        return near
+    undated = left.where("day1 is null").join(right, "airport").unionByName(left.where("day1 is not null").join(right.where("day2 is null"), "airport"))
+    return near.unionByName(undated.where(told.isNull()).withColumn("stay_days", F.lit(0).cast("long")))
 
 
 def transfer(network: Network | None) -> tuple[Column, list[tuple[DataFrame, list[str]]]]:
@@ -69,7 +72,8 @@ def journeys(first: DataFrame, second: DataFrame, network: Network | None = None
     is null for those that meet in the city; its names and distance are null unless both
     airports are in the network.
     """
-    rows = pair(first, second, allowed_airports(first, network, max_km, same_country), min_stay, max_stay, banded)
+    allowed = None if network is None else allowed_airports(first, network, max_km, same_country)
+    rows = pair(first, second, allowed, min_stay, max_stay, banded)
     shown, tables = transfer(network)
     for table, on in tables:
         rows = rows.join(table, on, "left")

@@ -8,24 +8,42 @@ from pyspark.sql import functions as F
 ORDER = ("total_price", "leg1_pos", "leg2_pos")
 
 
-def upper_median(price: str = "total_price") -> Column:
-    """The middle price, of an even number the larger of both."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {price} DESC)")
+#: Accuracy of the sketch between whose bounds the median is looked for: one part in so many of the prices.
+ACCURACY = 100_000
 
 
 def _figures() -> list[Column]:
+    bounds = F.percentile_approx("total_price", [0.5 - 3 / ACCURACY, 0.5 + 3 / ACCURACY], ACCURACY)
     return [
         F.count("*").alias("total_combinations"),
         F.min("total_price").alias("min_price"),
         F.max("total_price").alias("max_price"),
         F.round(F.avg("total_price"), 2).alias("avg_price"),
-        upper_median().alias("median_price"),
+        bounds.alias("bounds"),
     ]
 
 
+def _with_median(prices: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures with the exact upper median: the middle price, of an even number the larger of both.
+
+    figures hold bounds of the median from a sketch. Prices below them are counted, those
+    between them by value; so the tasks that look for the middle have about 6 / ACCURACY of the
+    prices of a key each, and no task has all.
+    """
+    bounds = figures.select(*keys, "total_combinations", F.col("bounds")[0].alias("low"), F.col("bounds")[1].alias("high"))
+    both = prices.join(bounds, keys) if keys else prices.join(F.broadcast(bounds))  # one row
+    price = F.when(F.col("total_price") >= F.col("low"), F.col("total_price"))
+    counts = both.where("total_price <= high").groupBy(*keys, price.alias("price")).agg(F.count("*").alias("n"), F.first("total_combinations").alias("all"))
+    upto = F.sum("n").over((Window.partitionBy(*keys) if keys else Window).orderBy(F.col("price").asc_nulls_first()))
+    middle = counts.withColumn("upto", upto).where(F.col("upto") > F.floor(F.col("all") / 2))
+    median = middle.groupBy(*keys).agg(F.min("price").alias("median_price"))
+    return (figures.join(median, keys, "left") if keys else figures.join(F.broadcast(median))).drop("bounds")
+
+
 def price_stats(journeys: DataFrame) -> DataFrame:
-    """One row of figures over all journeys, all 0 if there are none."""
-    return journeys.agg(*_figures()).na.fill(0)
+    """One row of figures over all journeys, all 0 if there are none. Journeys are read twice."""
+    prices = journeys.select("total_price")
+    return _with_median(prices, prices.agg(*_figures()), []).select("total_combinations", "min_price", "max_price", "avg_price", "median_price").na.fill(0)
 
 
 def city_stats(journeys: DataFrame) -> DataFrame:
@@ -41,8 +59,11 @@ def city_stats_ordered(journeys: DataFrame) -> DataFrame:
 
 
 def stats_by_city_and_all(journeys: DataFrame) -> DataFrame:
-    """Figures for all journeys (is_total 1) and for each city, in one pass."""
-    return journeys.groupingSets([[], [F.col("intermediate_city")]], F.col("intermediate_city")).agg(*_figures(), F.grouping_id().cast("long").alias("is_total"))
+    """Figures for all journeys (is_total 1, no city) and for each city. Journeys are read twice."""
+    prices = journeys.select(F.col("intermediate_city"), "total_price")
+    cities = _with_median(prices, prices.groupBy("intermediate_city").agg(*_figures()), ["intermediate_city"]).withColumn("is_total", F.lit(0).cast("long"))
+    every = price_stats(journeys).where("total_combinations > 0").select(F.lit(None).cast("string").alias("intermediate_city"), "*", F.lit(1).cast("long").alias("is_total"))
+    return cities.select(*every.columns).unionByName(every)
 
 
 def cheapest_per_city(journeys: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The registered queries of the journey engine and the SQL they must agree with.
 
-The driver's tables stand in for flights and airports: line items with their suppliers' nations
-are first legs, orders with their customers' nations second legs, embeddings and nations
-airports.
+The driver's tables stand in for flights and airports: all line items with their suppliers'
+nations are first legs, all orders with their customers' nations second legs, embeddings and
+nations airports.
 """
 
 from __future__ import annotations
@@ -57,10 +57,21 @@ def _no_texts() -> list[F.Column]:
     return [F.lit(None).cast("string").alias(c) for c in ("airline", "flight_number", "link", "search_date")]
 
 
+def _line() -> F.Column:
+    """A number for each line item; order and line number alone are not unique."""
+    place = F.col("l_orderkey")
+    for column, size in (("l_linenumber", 8), ("l_partkey", 1 << 15), ("l_suppkey", 1 << 10), ("l_quantity", 64)):
+        place = place * size + F.col(column).cast("long")
+    return place
+
+
+LINE = "((((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT))"
+
+
 def flights1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
-        F.col("l_orderkey").alias("pos"),
+        _line().alias("pos"),
         F.lit("HUB").alias("origin"),
         F.lit("").alias("destination"),
         _text("l_shipdate").alias("departure_at"),
@@ -76,7 +87,7 @@ def flights1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
         F.col("o_orderkey").alias("pos"),
         F.concat(F.lit("N"), F.col("c_nationkey")).alias("origin"),
@@ -134,14 +145,14 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.select("leg1_pos", "leg2_pos", "intermediate_city", "stay_days", F.round("total_price", 2).alias("total_price"))
 
 
-LEGS = """
+LEGS = f"""
 WITH leg1 AS (
-  SELECT l_orderkey AS pos1, 'N' || s_nationkey AS city, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS dep1,
+  SELECT {LINE} AS pos1, 'N' || s_nationkey AS city, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS dep1,
     l_shipdate + to_minutes(CAST(l_quantity * 30 AS INTEGER)) AS arr, l_extendedprice AS price1, l_quantity * 30 AS minutes
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ), leg2 AS (
   SELECT o_orderkey AS pos2, 'N' || c_nationkey AS origin, o_orderdate AS dep2, o_totalprice AS price2
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%'
+  FROM orders JOIN customer ON o_custkey = c_custkey
 )"""
 
 
@@ -154,12 +165,7 @@ def pairs(low: int = 1, high: int = 30, where: str = "true", on: str = "city = o
 
 
 FLAT = "SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM j"
-#: round() of a mean differs in the last place where the sums' order does, so means are shown to 1 decimal
-STATS = "count(*) AS total_combinations, coalesce(min(total), 0) AS min_price, coalesce(max(total), 0) AS max_price, coalesce(round(avg(total), 1), 0) AS avg_price, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY total DESC), 0) AS median_price"
-
-
-def shown(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("avg_price", F.round("avg_price", 1))
+STATS = "count(*) AS total_combinations, coalesce(min(total), 0) AS min_price, coalesce(max(total), 0) AS max_price, coalesce(round(avg(total), 2), 0) AS avg_price, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY total DESC), 0) AS median_price"
 
 
 def literals(spark: SparkSession, sql_values: str, names: str) -> DataFrame:
@@ -379,7 +385,10 @@ def combinations_negative_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(exact(spark, sf_dir, min_stay=-5, max_stay=5))
 
 
-@query(f"""{pairs(on="city = origin OR EXISTS (SELECT 1 FROM near WHERE src = city AND dst = origin AND c1 = c2)").replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)}
+TRANSFERS = pairs(on="city = origin OR EXISTS (SELECT 1 FROM near WHERE src = city AND dst = origin AND c1 = c2)").replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)
+
+
+@query(f"""{TRANSFERS}
 SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price, city <> origin AS transferred,
   CASE WHEN city <> origin THEN src_name END AS from_city, CASE WHEN city <> origin THEN origin END AS to_airport, CASE WHEN city <> origin THEN dst_name END AS to_city, CASE WHEN city <> origin THEN km END AS distance_km
 FROM j LEFT JOIN near ON src = city AND dst = origin""")
@@ -397,9 +406,10 @@ def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{pairs()} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
+@query(f"{TRANSFERS} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
 def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(spark, sf_dir).groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
+    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir))
+    return found.groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
 
 
 # --- statistics and rankings
@@ -407,28 +417,28 @@ def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{pairs()} SELECT {STATS} FROM j")
 def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices.price_stats(exact(spark, sf_dir)))
+    return prices.price_stats(exact(spark, sf_dir))
 
 
 @query(f"{pairs(9000, 9001)} SELECT {STATS} FROM j")
 def price_stats_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices.price_stats(exact(spark, sf_dir, min_stay=9000, max_stay=9001)))
+    return prices.price_stats(exact(spark, sf_dir, min_stay=9000, max_stay=9001))
 
 
-@query(f"{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 1) AS avg_price FROM j GROUP BY city")
+@query(f"{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 2) AS avg_price FROM j GROUP BY city")
 def city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices.city_stats(exact(spark, sf_dir)))
+    return prices.city_stats(exact(spark, sf_dir))
 
 
-@query(f"""{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 1) AS avg_price,
-row_number() OVER (ORDER BY min(total), min(pos1 * 10000000 + pos2)) AS rank FROM j GROUP BY city""")
+@query(f"""{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 2) AS avg_price,
+row_number() OVER (ORDER BY min(total), min((pos1, pos2))) AS rank FROM j GROUP BY city""")
 def city_stats_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices.city_stats_ordered(exact(spark, sf_dir)))
+    return prices.city_stats_ordered(exact(spark, sf_dir))
 
 
 @query(f"{pairs()} SELECT city AS intermediate_city, {STATS}, CAST(grouping(city) AS BIGINT) AS is_total FROM j GROUP BY GROUPING SETS ((), (city))")
 def price_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices.stats_by_city_and_all(exact(spark, sf_dir)))
+    return prices.stats_by_city_and_all(exact(spark, sf_dir))
 
 
 RANKED = "SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM {0}"

@@ -1,6 +1,7 @@
 """The hand-made data set under all option sets, and what the joins must keep true."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,7 +117,19 @@ def test_negative_top(flights):
 @pytest.mark.parametrize("n", range(1, 7))
 def test_upper_median(spark, n):
     rows = spark.createDataFrame([(float(k),) for k in range(n)], "total_price double")
-    assert rows.agg(prices.upper_median().alias("m")).first().m == float(n // 2)
+    assert prices.price_stats(rows).first().median_price == float(n // 2)
+
+
+def test_medians_between_bounds_of_a_sketch(spark, monkeypatch):
+    """With a coarse sketch the bounds are far apart and hold ties; the median is still that of the sorted prices."""
+    monkeypatch.setattr(prices, "ACCURACY", 20)
+    rng = random.Random(1)
+    for n in (1, 2, 9, 500, 4001):
+        rows = [(rng.choice("abc"), float(rng.choice([rng.randrange(-50, 50), 7]))) for _ in range(n)]
+        frame = spark.createDataFrame(rows, "intermediate_city string, total_price double")
+        got = {r.intermediate_city: r.median_price for r in prices.stats_by_city_and_all(frame).collect()}
+        middle = lambda x: sorted(x)[len(x) // 2]
+        assert got == {None: middle([p for _, p in rows])} | {c: middle([p for d, p in rows if d == c]) for c in {c for c, _ in rows}}
 
 
 def test_network_round_trips(spark, near, tmp_path):
