@@ -480,11 +480,13 @@ def union_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.union_all([a, b, b])
 
 
-@query(f"""{pairs()} SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, format('{{:,}}', CAST(round_even(total, 0) AS BIGINT)) AS total, city AS intermediate_city, stay_days,
-'HUB → ' || city AS leg1_route, CASE WHEN minutes = 0 THEN '' ELSE CAST(minutes AS BIGINT) // 60 || 'ч ' || CAST(minutes AS BIGINT) % 60 || 'м' END AS leg1_duration, origin || ' → END' AS leg2_route, '' AS leg2_duration, '' AS transfer
-FROM j ORDER BY 1 LIMIT 10""")
+@query(f"""{pairs().replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)} SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, format('{{:,}}', CAST(round_even(total, 0) AS BIGINT)) AS total, city || ' (' || n_name || ')' AS stop, stay_days,
+'HUB → ' || city || ' (' || n_name || ')' AS leg1_route, dep1 AS leg1_departure, strftime(arr, '%Y-%m-%dT%H:%M:%S') AS leg1_arrival, CASE WHEN minutes = 0 THEN '' ELSE CAST(minutes AS BIGINT) // 60 || 'ч ' || CAST(minutes AS BIGINT) % 60 || 'м' END AS leg1_duration, '' AS leg1_flight,
+origin || ' (' || n_name || ') → END' AS leg2_route, strftime(dep2, '%Y-%m-%dT%H:%M:%S') AS leg2_departure, strftime(dep2, '%Y-%m-%dT%H:%M:%S') AS leg2_arrival, '' AS leg2_duration, '' AS leg2_flight, '' AS transfer
+FROM j JOIN n ON iata = city ORDER BY 1 LIMIT 10""")
 def format_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.report_rows(prices.cheapest(exact(spark, sf_dir), 10)).drop("leg1_price", "leg2_price")
+    rows = documents.report_rows(prices.cheapest(exact(spark, sf_dir), 10), nations(spark, sf_dir))
+    return rows.drop("leg1_price", "leg2_price", "leg1_airline", "leg2_airline")
 
 
 LEGACY = {"SVO": {"name": "Sheremetyevo", "municipality": "Moscow", "country": "RU", "coordinates": "55.97, 37.41", "nearby_airports": ["CKL", "VKO"]}, "LED": {"name": "Pulkovo", "country": "RU", "nearby_airports": [{"iata": "HEL", "distance_km": 95.5}]}}

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from ternway import queries
+from ternway import queries_files  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
