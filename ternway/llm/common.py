@@ -7,13 +7,14 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = getattr(spark, "_ternway_scratch", None) or tempfile.mkdtemp(prefix="ternway-")
         spark._ternway_scratch = folder
         spark.sparkContext.setCheckpointDir(folder)
@@ -35,8 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, for sessions whose workers have it nowhere on their path, and set the rows of an Arrow batch for texts: 1,000. Once a session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    """Send this package to the Python workers, for sessions whose workers have it nowhere on their path. Once a session.
+
+    Arrow batches get 1,000 rows, unless the session says otherwise: batches of whole texts are large.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     context = spark.sparkContext
     if getattr(context, "_ternway_shipped", False):
         return
@@ -60,6 +66,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, name: str, rows: int = 200_000) -> DataFrame:
+    """A table of narrow rows, written; to be broadcast if it has no more than `rows` rows, else joined as Spark likes."""
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
 def remainder(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo a number: how rows are dealt into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -121,32 +133,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as they have been needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            up, down = np.full(n, _MULT), np.full(n, _MULT_INV)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
-
+def spans_coded(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct byte strings, and for each span [start, stop) which of them it is. Spans ascend and don't overlap."""
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[0::2], edges[1::2] = starts, stops
+    # what lies between the spans is coded too and left out afterwards
+    coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)[::2]
 
-_powers = Powers()
-BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
 
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, stop) of an array of 64-bit values."""
-    up, down = _powers.upto(len(values) + 1)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+def hashes(strings: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64)
 
 
 class Words:
@@ -156,7 +155,7 @@ class Words:
     """
 
     def __init__(self, letter: np.ndarray, fold: np.ndarray) -> None:
-        self.letter, self.value = letter, BYTE_VALUE[fold]
+        self.letter, self.fold = letter, fold
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and stops of all words; no word crosses the end of a text."""
@@ -168,18 +167,24 @@ class Words:
         stops = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         return starts, stops
 
+    def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Iterator[tuple[list[bytes], np.ndarray]], np.ndarray]:
+        """Distinct words and for each word which of them it is, in blocks; and for every text the index of its first word (n + 1 values)."""
+        starts, stops = self.spans(data, offsets)
+
+        def blocks() -> Iterator[tuple[list[bytes], np.ndarray]]:
+            a = 0
+            while a < len(starts):
+                b = max(a + 1, int(np.searchsorted(stops, starts[a] + 2 * CHUNK_BYTES, "right")))
+                lo = starts[a]
+                yield spans_coded(self.fold[data[lo : stops[b - 1]]], starts[a:b] - lo, stops[a:b] - lo)
+                a = b
+
+        return blocks(), np.searchsorted(starts, offsets)
+
     def hashed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word, and for every text the index of its first word (n + 1 values)."""
-        starts, stops = self.spans(data, offsets)
-        first = np.searchsorted(starts, offsets)
-        out = np.empty(len(starts), np.uint64)
-        a = 0
-        while a < len(starts):  # in blocks, so that one very long text needs no long arrays of hashes
-            b = max(a + 1, int(np.searchsorted(stops, starts[a] + CHUNK_BYTES, "right")))
-            lo, hi = starts[a], stops[b - 1]
-            out[a:b] = span_hashes(self.value[data[lo:hi]], starts[a:b] - lo, stops[a:b] - lo)
-            a = b
-        return out, first
+        blocks, first = self.coded(data, offsets)
+        return np.concatenate([np.zeros(0, np.uint64), *[hashes(words)[which] for words, which in blocks]]), first
 
 
 LOWER = np.arange(256, dtype=np.uint8)

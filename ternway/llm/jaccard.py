@@ -1,20 +1,23 @@
 """Near-duplicate documents: an exact join of sets of word shingles by Jaccard similarity.
 
 1.  Equal sets become one, which the smallest doc_id stands for.
-2.  Shingles are counted over all texts, and the most frequent, as many as a fixed bound
-    allows, are ranked behind the others. Any ranking that is the same for all sets gives exact
-    results; this one keeps passages that documents share out of the index.
+2.  Shingles are counted over all texts. Bit maps of bounded size tell which occur in two texts or
+    more, in 16 or more and in 256 or more. They rank the shingles, rare ones first. Any ranking
+    that is the same for all sets gives exact results; this one keeps what documents share by
+    chance, and passages of many documents, out of the index.
 3.  Prefix index: two sets that are similar enough share one of the rarest shingles of each, so
-    many that the rest alone couldn't make them similar. The sets under one entry are compared by
-    small bit maps, which bound from below in how many shingles two sets differ; those that the
-    bound lets pass are joined to families (connected components). Where a task has merged sets
-    under an entry, all sets there are one family. No pairs leave a task.
-4.  Inside a family an inverted index counts the overlap of a set with all others, with set
-    relations to skip work: an entry lists sets by size, so a probe takes only the block of
-    positions whose sizes can match, and the counts of a set that is nearly the same as the one
-    before are derived from that one's counts, by the few shingles in which they differ. Large
-    families are dealt into blocks, and every pair of blocks is a task. Only links that connect
-    something new leave a task.
+    many that the rest alone couldn't make them similar. A shingle that only one text has needs
+    no entry. The sets under one entry are compared by small bit maps, which bound from below in
+    how many shingles two sets differ; those that the bound lets pass are joined to families
+    (connected components). Where a task has merged sets under an entry, all sets there are one
+    family. No pairs leave a task.
+4.  Inside a family an inverted index counts the overlap of a set with others, with set relations
+    to skip work: an entry lists sets by size, and a probe reads only the block of positions
+    whose sizes can match; the counts of a set that is nearly the same as the one before are
+    derived from that one's counts, by the few shingles in which they differ. A large family is
+    dealt into blocks. First each block is compared with itself and with the family's first set;
+    what links with that one needs no comparison with its like, so afterwards only the other
+    sets meet all blocks. Only links that connect something new leave a task.
 """
 
 from __future__ import annotations
@@ -32,14 +35,18 @@ from pyspark.sql import functions as F
 from ternway.llm.common import bit_map, chunks, filter_bits, in_bit_map, release, texts, white_space_words, windows, written
 from ternway.llm.graph import Forest, components
 
-#: Frequent shingles that all tasks know, at most: 5 bytes each.
-HEAVY_SHINGLES = 1 << 22
-#: Sets of a family that one task compares with as many others.
-BLOCK_SETS = 400
+#: Counts of texts from which a shingle ranks behind those below.
+LEVELS = (2, 16, 256)
+#: log2 of the bits of the largest map of counted shingles: with more shingles than bits the ranking gets worse, results stay.
+MAP_BITS = 28
+#: Sets of a family, and their shingles, of which one task compares so many with as many others.
+BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 #: Index entries that a task gathers before it sends them, and how many of them a shingle must have to be merged there.
 MERGE_ENTRIES, MERGE_FROM = 1 << 20, 64
 #: Sets under one entry that are compared by bit maps; more are taken for one family as they are.
 LIST_SETS = 2000
+#: Shingles that a task counts in one slice of the hash space, at most about so many.
+SLICE_SHINGLES = 1 << 21
 
 
 def shingled(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,38 +90,42 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits binary")
 
 
-def heavy_shingles(docs: DataFrame, width: int, most: int) -> tuple[bytes, bytes]:
-    """Sorted 32-bit hashes of the most frequent shingles, `most` at most, and the level of each: 4 log2 of its count.
+def counted_shingles(docs: DataFrame, width: int, total: int) -> list[tuple[int, bytes]]:
+    """For each of LEVELS log2 of a number of bits and the map of the shingles that so many texts have: a bit for the first bits of a hash.
 
-    All shingles of all texts are counted, by their first 32 bits, in slices of the hash space:
-    tasks send each slice's distinct hashes and counts packed, so a frequent shingle is one entry
-    for each of them. The least count of interest is the smallest that keeps within the bound.
+    total: shingles of all texts, about. They are counted in slices of the hash space, by the
+    slice and 32 more bits: tasks send each slice's distinct hashes and counts packed, so a
+    frequent shingle is one entry for each of them. A slice is a part of each map, so no map is
+    put together before the driver has them: MAP_BITS bound their size.
     """
     spark = docs.sparkSession
-    bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, total // SLICE_SHINGLES).bit_length()
+    bits = min(bits, 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        bounds = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32)
+        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
         def out() -> pa.RecordBatch:
             squeeze = zstandard.ZstdCompressor(1)
             value, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             cuts = [0, *np.searchsorted(value, bounds).tolist(), len(value)]
+            value = ((value << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             own = [(k, value[i:j], n[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
             packed = [[squeeze.compress(x.astype(np.uint32).tobytes()) for x in (np.diff(v, prepend=v[:1] * 0), c)] for _, v, c in own]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), *[pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1)]], ["slice", "value", "n"])
 
         for batch in batches:
             for part in chunks(batch):
-                held.append((shingled(part, width)[0] >> np.uint64(32)).astype(np.uint32))
+                held.append(shingled(part, width)[0])
             if sum(map(len, held)) > MERGE_ENTRIES:
                 yield out()
         if held:
             yield out()
+        release()
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple[int], group: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
         value = np.concatenate([np.cumsum(np.frombuffer(open_.decompress(x), np.uint32), dtype=np.uint32) for x in group.value])
         n = np.concatenate([np.frombuffer(open_.decompress(x), np.uint32) for x in group.n])
@@ -122,34 +133,40 @@ def heavy_shingles(docs: DataFrame, width: int, most: int) -> tuple[bytes, bytes
         value, n = value[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         value, n = value[first], np.add.reduceat(n, first)
-        value, level = value[n > 1], np.minimum(4 * np.log2(n[n > 1]), 255).astype(np.uint8)
-        return pd.DataFrame({"value": [value.tobytes()], "level": [level.tobytes()]})
-
-    counted = written(docs.mapInArrow(count, "slice int, value binary, n binary").groupBy("slice").applyInPandas(add, "value binary, level binary"), "heavy")
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["level", "n"])
+        found = [value[n >= least] for least in LEVELS]
+        return pd.DataFrame({"slice": [key[0]], "sizes": [[len(v) for v in found]], "values": [[v.tobytes() for v in found]]})
 
-    total = np.zeros(256, np.int64)
-    for row in counted.select("level").mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        total[row.level] = row.n
-    above = np.cumsum(total[::-1])[::-1]
-    least = int(np.argmax(above <= most)) if (above <= most).any() else 256
+    rows = docs.mapInArrow(count, "slice int, value binary, n binary").groupBy("slice").applyInPandas(add, "slice int, sizes array<long>, values array<binary>")
+    counted = written(rows, "counted")
+    sizes = counted.select(*[F.sum(F.col("sizes")[k]).alias(f"n{k}") for k in range(len(LEVELS))]).first()
+    maps = [min(MAP_BITS, max(bits + 3, filter_bits((n or 0) // 4))) for n in sizes]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[np.frombuffer(x.as_buffer(), k) for x in batch.column(i)] for i, k in ((0, np.uint32), (1, np.uint8))]
-            rows = [(v[n >= least].tobytes(), n[n >= least].tobytes()) for v, n in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["value", "level"])
-
-    rows = counted.mapInArrow(pick, "value binary, level binary").collect()
-    value, level = (np.concatenate([np.frombuffer(r[i], k) for r in rows] or [np.zeros(0, k)]) for i, k in ((0, np.uint32), (1, np.uint8)))
-    order = np.argsort(value)
-    return value[order].tobytes(), level[order].tobytes()
+            for row in batch.to_pylist():
+                parts = []
+                for size, values in zip(maps, row["values"], strict=True):
+                    on = np.zeros(1 << (size - bits), bool)
+                    on[np.frombuffer(values, np.uint32) >> np.uint32(32 - (size - bits))] = True
+                    parts.append(np.packbits(on).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int32()), pa.array([parts], pa.list_(pa.binary()))], ["slice", "maps"])
+
+    out = [np.zeros(1 << size >> 3, np.uint8) for size in maps]
+    for row in counted.mapInArrow(segments, "slice int, maps array<binary>").toLocalIterator():
+        for whole, part in zip(out, row.maps, strict=True):
+            whole[row.slice * len(part) : (row.slice + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    return [(size, x.tobytes()) for size, x in zip(maps, out, strict=True)]
+
+
+def levels_of(h: np.ndarray, maps: list[tuple[int, bytes]]) -> np.ndarray:
+    """For each hash how many of the maps have it, counted from the first on."""
+    level, on = np.zeros(len(h), np.uint8), np.arange(len(h))
+    for size, have in maps:
+        at = h[on] >> np.uint64(64 - size)
+        byte = np.frombuffer(have, np.uint8)[(at >> np.uint64(3)).astype(np.int64)]
+        on = on[((byte >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1) == 1]
+        level[on] += 1
+    return level
 
 
 ENTRY = "token long, doc long, low int, high int"
@@ -185,7 +202,6 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, levels) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = (np.frombuffer(x, k) for x, k in zip(levels.value, (np.uint32, np.uint8), strict=True))
         held: list[tuple[np.ndarray, ...]] = []
 
         seen: dict[tuple[int, int, int], int] = {}
@@ -211,11 +227,7 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, levels) -> DataFra
         for batch in batches:
             for part in chunks(batch):
                 h, at = shingled(part, width)
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                level = np.zeros(len(h), np.uint8)
-                if len(heavy):
-                    where = np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)
-                    level = np.where(heavy[where] == short, rank[where], 0).astype(np.uint8)
+                level = levels_of(h, levels.value)
                 ids = np.asarray(part.column(0))
                 tokens = []
                 s1, s2 = (x.tolist() for x in sums(h, at))
@@ -228,10 +240,8 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, levels) -> DataFra
                         tokens.append(h[:0])
                         continue
                     keep = n - -(-percent * n // 100) + 1 if n else 0
-                    own = h[a:b]
-                    if level[a:b].any():
-                        own = own[np.argsort(level[a:b], kind="stable")]
-                    tokens.append(own[:keep])
+                    order = np.argsort(level[a:b], kind="stable")[:keep]
+                    tokens.append(h[a:b][order[level[a:b][order] > 0]])  # what no other text has needs no entry
                 count = np.array([len(x) for x in tokens], np.int64)
                 if count.sum():
                     held.append((np.concatenate(tokens).view(np.int64), np.repeat(ids, count), np.repeat(np.diff(at).astype(np.int32), count)))
@@ -350,99 +360,129 @@ def passing(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
     return label
 
 
+class SizeIndex:
+    """Inverted index of sets in ascending order of size: each shingle lists the positions of its sets, so a range of sizes is one block of a list."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = len(sets)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        self.tokens, rank = np.unique(tokens, return_inverse=True)
+        self.entries = np.sort(rank * self.n + np.repeat(np.arange(self.n), [len(x) for x in sets]))
+
+    def counted(self, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """How many of some shingles each set at positions lo to hi has; other positions of the lists aren't read."""
+        if lo >= hi or not len(some) or not len(self.tokens):
+            return np.zeros(max(0, hi - lo), np.int64)
+        rank = np.minimum(np.searchsorted(self.tokens, some), len(self.tokens) - 1)
+        rank = rank[self.tokens[rank] == some] * self.n
+        first, last = np.searchsorted(self.entries, rank + lo), np.searchsorted(self.entries, rank + hi)
+        width = last - first
+        at = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        return np.bincount(self.entries[at] % self.n - lo, minlength=hi - lo)
+
+
 def overlap_links(sets: list[np.ndarray], probes: range, against: range, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j), i of probes and j of against, that link and were not connected before.
+    """Pairs (i, j), i of probes and j of against, that link.
 
-    Sets are sorted arrays in ascending order of size. Index entries hold positions, so the sets
-    of sizes that can match are one block of positions. A probe's counts are derived from the
-    previous probe's where they differ in fewer shingles than the probe has.
+    Sets are sorted arrays; those of `against` stand in ascending order of size. A probe reads
+    the blocks of positions whose sizes can match. Where the probe before differs in fewer
+    shingles than this one has, the counts of positions that both look at are derived from its.
     """
-    base = against.start
-    size = np.array([len(x) for x in sets], np.int64)
-    tokens = np.concatenate([sets[j] for j in against])
-    owner = np.repeat(np.arange(len(against)), size[base : against.stop])
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    n = len(against)
-
-    def counted(some: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(tokens, some, "left"), np.searchsorted(tokens, some, "right")
-        width = hi - lo
-        total = int(width.sum())
-        if not total:
-            return np.zeros(n, np.int64)
-        at = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(total)
-        return np.bincount(owner[at], minlength=n)
-
-    before, counts = None, None
+    index = SizeIndex([sets[j] for j in against])
+    size = np.array([len(sets[j]) for j in against], np.int64)
+    before, counts, low, high = None, None, 0, 0
     for i in sorted(probes, key=lambda k: (sets[k][:2].tolist(), k)):
         own = sets[i]
+        lo = int(np.searchsorted(100 * size, percent * len(own), "left"))
+        hi = int(np.searchsorted(percent * size, 100 * len(own), "right"))
         gone = come = None
-        if before is not None and abs(len(before) - len(own)) < len(own) // 2:
+        if before is not None and abs(len(before) - len(own)) < len(own) // 2 and min(hi, high) > max(lo, low):
             gone, come = np.setdiff1d(before, own, assume_unique=True), np.setdiff1d(own, before, assume_unique=True)
         if gone is not None and len(gone) + len(come) < len(own):
-            counts = counts - counted(gone) + counted(come)
+            a, b = max(lo, low), min(hi, high)
+            both = counts[a - low : b - low] - index.counted(gone, a, b) + index.counted(come, a, b)
+            counts = np.concatenate([index.counted(own, lo, a), both, index.counted(own, b, hi)])
         else:
-            counts = counted(own)
-        before = own
-        lo = int(np.searchsorted(100 * size[base : against.stop], percent * len(own), "left"))
-        hi = int(np.searchsorted(percent * size[base : against.stop], 100 * len(own), "right"))
-        both = counts[lo:hi]
-        hit = np.flatnonzero(100 * both >= percent * (len(own) + size[base + lo : base + hi] - both)) + lo + base
+            counts = index.counted(own, lo, hi)
+        before, low, high = own, lo, hi
+        hit = np.flatnonzero(100 * counts >= percent * (len(own) + size[lo:hi] - counts)) + lo + against.start
         yield from ((i, int(j)) for j in hit if j != i)
 
 
-def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that connect what is connected within families; members: (doc, family)."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                h, at = shingled(part, width)
-                own = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(own, pa.binary())], ["doc", "family", "blocks", "block", "shingles"])
-
+def family_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The members (doc, ...) of families with their shingles; docs that a bit map rules out are not shuffled."""
     ids = members.select(F.xxhash64("doc").alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, filter_bits(members.count())))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = batch.filter(pa.array(in_bit_map(shared.value, np.asarray(batch.column(2)))))
-            yield pa.RecordBatch.from_arrays(keep.columns[:2], ["doc_id", "text"])
-
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(likely, "doc_id long, text string")
-    rows = docs.withColumnRenamed("doc_id", "doc").join(dealt, "doc").select("doc", "text", "family", "blocks", "block")
-    rows = rows.mapInArrow(sets, "doc long, family long, blocks int, block int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = rows.select("*", other.alias("other")).select("doc", "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "shingles")
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(group.x.iat[0]), int(group.y.iat[0])
-        own = [np.frombuffer(s, np.uint64) for s in group.shingles]
-        order = sorted(range(len(own)), key=lambda k: (group.block.iat[k], len(own[k])))
-        own, ids = [own[k] for k in order], [int(group.doc.iat[k]) for k in order]
-        cut = int((group.block == x).sum())
-        forest = Forest()
-        if x == y:
-            pairs = overlap_links(own, range(cut), range(cut), percent)
-        else:
-            pairs = overlap_links(own, range(cut), range(cut, len(own)), percent) if cut < len(own) else iter(())
-        new = [(ids[i], ids[j]) for i, j in pairs if forest.join(ids[i], ids[j])]
-        return pd.DataFrame(new, columns=["a", "b"]).astype("int64")
+            for part in chunks(keep):
+                h, at = shingled(part, width)
+                own = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["doc", "shingles"])
+        release()
+
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(likely, "doc long, shingles binary")
+    return docs.join(members, "doc")
+
 
-    return tasks.groupBy("family", "x", "y").applyInPandas(link, "a long, b long")
+def linked(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that connect something new between the sets of side 0 and those of side 1, or among those of side 0 if there is no other."""
+    own = [np.frombuffer(s, np.uint64) for s in group.shingles]
+    side, doc = group.side.to_numpy(), group.doc.to_numpy()
+    order = sorted(range(len(own)), key=lambda k: (side[k], len(own[k]), doc[k]))
+    own, ids = [own[k] for k in order], [int(doc[k]) for k in order]
+    cut, forest = int((side == 0).sum()), Forest()
+    pairs = overlap_links(own, range(cut), range(cut, len(own)) if cut < len(own) else range(cut), percent)
+    new = [(ids[i], ids[j]) for i, j in pairs if ids[i] != ids[j] and forest.join(ids[i], ids[j])]
+    return pd.DataFrame(new, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, heavy: int = HEAVY_SHINGLES, block: int = BLOCK_SETS) -> DataFrame:
+def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that connect what is connected within families, of members (doc, family, n_shingles).
+
+    A family of at most `block` sets and BLOCK_SHINGLES shingles is one task. In larger ones
+    every block is compared with itself and with the family's first set. Sets that are connected
+    with that one so far are the core, which is one component already; the others meet all
+    blocks of the family.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), blocks.cast("int").alias("blocks"), F.min("doc").alias("first")).where("n > 1").drop("n")
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("n_shingles")
+    dealt = written(family_sets(written(dealt, "members"), docs, width), "blocks")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return linked(group, percent)
+
+    inside = dealt.select("family", F.col("block").alias("x"), "doc", F.lit(0).alias("side"), "shingles").groupBy("family", "x").applyInPandas(compare, "a long, b long")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return inside
+    inside = written(inside, "inside")
+    # the first set of a large family goes to all its blocks, once each
+    firsts = large.where("doc = first").dropDuplicates(["doc"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "doc", F.lit(0).alias("side"), "shingles")
+    others = large.where("doc <> first").select("family", F.col("block").alias("x"), "doc", F.lit(1).alias("side"), "shingles")
+    to_first = written(firsts.unionByName(others).groupBy("family", "x").applyInPandas(compare, "a long, b long"), "to-first")
+    so_far = inside.unionByName(to_first)
+    core = components(so_far, "core").select(F.col("id").alias("doc"), F.col("component").alias("first"))
+    outer = written(large.join(core, ["doc", "first"], "left_anti").where("doc <> first"), "outer")
+    probes = outer.select("family", "blocks", F.col("block").alias("x"), F.lit(0).alias("side"), "doc", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    here = outer.select("family", F.col("block").alias("x")).distinct()
+    against = large.join(here, "family").where("block <> x").select("family", "blocks", "x", F.lit(1).alias("side"), "doc", "shingles", F.col("block").alias("y"))
+    across = probes.where("x <> y").unionByName(against).groupBy("family", "x", "y").applyInPandas(compare, "a long, b long")
+    return so_far.unionByName(across)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents connected by links of 100 * overlap >= percent * union.
 
     Texts are lower-cased in A-Z and cut at ASCII white space into words; a set holds the
-    distinct runs of `width` words, or the whole sequence of a shorter text. A null or blank text
-    has an empty set, which links with nothing, so the document is its own component. component_id
-    is the smallest doc_id that links reach. Repeated rows come out repeated; a row with a null
-    doc_id has a null component and links with nothing. Other columns don't matter.
+    distinct runs of `width` words, by 64-bit hashes, or the whole sequence of a shorter text. A
+    null or blank text has an empty set, which links with nothing, so the document is its own
+    component. component_id is the smallest doc_id that links reach. Repeated rows come out
+    repeated, several texts of one doc_id count as one document; a row with a null doc_id has a
+    null component and links with nothing. Other columns don't matter.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -452,10 +492,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, heavy: i
     copies = leaders.where("copies > 1").select("n_shingles", "s1", "s2", "leader")
 
     named = docs.where("doc_id is not null")
-    levels = spark.sparkContext.broadcast(heavy_shingles(named, width, heavy))
+    total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    levels = spark.sparkContext.broadcast(counted_shingles(named, width, total))
     entries = prefix_entries(named, width, percent, levels).repartition("token").sortWithinPartitions("token", "low")
 
     found = written(entries.mapInArrow(partial(listed, percent), LISTED), "lists")
+    levels.unpersist()
     lists = found.where("list is not null").select("list", F.col("a").alias("doc_id")).distinct()
     maps = sized.where("doc_id is not null").select("doc_id", "n_shingles", "bits")
     lists = lists.join(maps, "doc_id").select("list", "doc_id", "n_shingles", "bits").repartition("list").sortWithinPartitions("list")
@@ -463,9 +505,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, heavy: i
     families = components(edges, "families")
     # equal sets are one: only the leader of each stands for them inside a family
     single = known.join(copies.where(F.lit(True)), ["n_shingles", "s1", "s2"], "left").where("leader is null or leader = doc_id")
-    members = families.join(single.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("doc"), F.col("component").alias("family"))
-    shared_families = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(shared_families, "family", "left_semi").select("doc", "family"), "members")
+    single = single.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    members = families.join(single, families.id == single.doc_id).select(F.col("id").alias("doc"), F.col("component").alias("family"), "n_shingles")
     links = components(family_links(members, named, width, percent, block), "links")
     out = sized.join(copies, ["n_shingles", "s1", "s2"], "left").withColumn("leader", F.coalesce("leader", "doc_id"))
     out = out.join(links.withColumnRenamed("id", "leader"), "leader", "left")
