@@ -1,8 +1,8 @@
 """Language identification by bit-sliced Bloom filters of frequent byte n-grams.
 
-One table of 64-bit rows holds the filters of up to 64 languages: bit l of a row belongs to
-the filter of language l. An n-gram reads as many rows as there are hash functions, and the
-bits that all of them have set are the languages that know it. A text's n-grams are counted
+One table of rows of bits holds the filters of all languages, as many 64-bit columns as they
+need: bit l of a row belongs to the filter of language l. An n-gram reads as many rows as there
+are hash functions, and the bits that all of them have set are the languages that know it. A text's n-grams are counted
 by language; from each count goes what the filter's false positives alone would give, and the
 rest is held against the share of n-grams known in the language's own texts.
 """
@@ -61,7 +61,7 @@ class Model:
     coverage: np.ndarray
 
     def rows(self, code: np.ndarray) -> np.ndarray:
-        """The languages, as bits, whose filters know each n-gram."""
+        """The languages, as bits of one or more columns, whose filters know each n-gram."""
         h = mixed(code.astype(np.uint64) + np.uint64(1))
         mask, step = np.uint64(len(self.table) - 1), (h >> np.uint64(32)) | np.uint64(1)
         known = self.table[(h & mask).astype(np.int64)]
@@ -70,15 +70,15 @@ class Model:
             known = known & self.table[(h & mask).astype(np.int64)]
         return known
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text the index of its language, a score and the share of its n-grams that the language knows."""
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the index of its language, a score, the share of its n-grams that the language knows, and their number."""
         n, m = len(offsets) - 1, len(self.languages)
         total, hits = np.zeros(n), np.zeros((m, n))
         for text, code in grams(data, offsets):
             total += np.bincount(text, minlength=n)
             known = self.rows(code)
             for k in range(m):
-                hits[k] += np.bincount(text[(known >> np.uint64(k)) & np.uint64(1) == 1], minlength=n)
+                hits[k] += np.bincount(text[(known[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1], minlength=n)
         share = hits / np.maximum(total, 1)
         share = np.clip((share - self.false_rate[:, None]) / (1 - self.false_rate[:, None]), 0, None)
         share /= np.maximum(self.coverage[:, None], 1e-9)
@@ -86,7 +86,7 @@ class Model:
         top = share[best, np.arange(n)]
         rest = np.sort(share, axis=0)[-2] if m > 1 else np.zeros(n)
         score = np.clip(top, 0, 1) * np.where(top > 0, 1 - rest / np.maximum(top, 1e-12), 0)
-        return best, np.clip(score, 0, 1), np.clip(top, 0, 1)
+        return best, np.clip(score, 0, 1), np.clip(top, 0, 1), total
 
 
 def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, share: float = SHARE) -> Model:
@@ -94,8 +94,8 @@ def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, share: float = SHAR
 
     From about `train_texts` texts of each language, picked by a hash of doc_id; where there are
     fewer, from all. n-grams are counted in a job of its own, and only those over `share`,
-    1 / share for each language at most, reach the driver. With more than 64 languages the 64
-    most frequent count; without any, every text is `und`.
+    1 / share for each language at most, reach the driver. Languages stand in the order of the
+    number of their sampled n-grams. Without any, every text is `und`.
     """
     labelled = labelled.where("lang is not null and text is not null").select(F.col("doc_id"), F.col("text"), F.col("lang"))
 
@@ -112,17 +112,16 @@ def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, share: float = SHAR
     counts = counts.persist()
     try:
         totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        languages = sorted(totals, key=lambda x: (-totals[x], x))[:64]
-        total = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(totals[k])))]) if languages else F.lit(None)
-        frequent = counts.where(F.col("n") >= share * total[F.col("lang")]).toPandas() if languages else None
+        languages = sorted(totals, key=lambda x: (-totals[x], x))
+        least = labelled.sparkSession.createDataFrame([(k, share * totals[k]) for k in languages], "lang string, least double")  # a row for each language
+        frequent = counts.join(F.broadcast(least), "lang").where("n >= least").toPandas() if languages else None
     finally:
         counts.unpersist()
     if not languages:
-        return Model([], np.zeros(1, np.uint64), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros((1, 1), np.uint64), np.zeros(0), np.zeros(0))
     most = max(1, int(frequent.lang.value_counts().max())) if len(frequent) else 1
     size = 1 << int(np.ceil(np.log2(BITS_PER_GRAM * most)))
-    model = Model(languages, np.full(size, (1 << 64) - 1, np.uint64), np.zeros(len(languages)), np.zeros(len(languages)))
-    table = np.zeros(size, np.uint64)
+    model = Model(languages, np.zeros((size, -(-len(languages) // 64)), np.uint64), np.zeros(len(languages)), np.zeros(len(languages)))
     for k, name in enumerate(languages):
         own = frequent[frequent.lang == name]
         h = mixed(own.gram.to_numpy().astype(np.uint64) + np.uint64(1))
@@ -131,10 +130,9 @@ def fit(labelled: DataFrame, train_texts: int = TRAIN_TEXTS, share: float = SHAR
         for _ in range(HASHES):
             filled[(h & np.uint64(size - 1)).astype(np.int64)] = True
             h = h + step
-        table[filled] |= np.uint64(1 << k)
+        model.table[filled, k // 64] |= np.uint64(1 << k % 64)
         model.false_rate[k] = filled.mean() ** HASHES
         model.coverage[k] = own.n.sum() / totals[name]
-    model.table = table
     return model
 
 
@@ -156,7 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part in chunks(batch):
                 letters = np.asarray(part.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
                 if m.languages:
-                    best, score, share = m.predict(*texts(part.column(1)))
+                    best, score, share, _ = m.predict(*texts(part.column(1)))
                     best = np.where(letters, best, len(m.languages))
                 else:
                     best, score, share = (np.zeros(part.num_rows, k) for k in (np.int64, float, float))
@@ -172,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
     """The rows, with all their columns, whose text has a letter and at least `least_share` of the n-grams usual in some language.
 
-    A text too short for an n-gram stays, as nothing speaks against it; without a learned language all texts with a letter do.
+    A text with a letter but no n-gram stays, as nothing speaks against it; without a learned language all texts with a letter do.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -181,9 +179,8 @@ def keep(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 if shared.value.languages:
-                    data, offsets = texts(part.column(at))
-                    _, _, share = shared.value.predict(data, offsets)
-                    part = part.filter(pa.array((share >= least_share) | (np.diff(offsets) < 2 * GRAM)))
+                    _, _, share, total = shared.value.predict(*texts(part.column(at)))
+                    part = part.filter(pa.array((share >= least_share) | (total == 0)))
                 yield part
         release()
 

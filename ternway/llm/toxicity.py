@@ -4,9 +4,10 @@ A word's vector is the sum of the embeddings of its hash and of the hashes of it
 and five bytes, so unseen forms of a known stem have a vector too. Filters of several widths
 run over the vectors; the maximum of each filter over the text, rectified, goes into a
 logistic layer. It is trained in numpy on a bounded sample of labelled texts; the maximum lets
-gradients through at one place per filter and text only. Thresholds are found for each
-language that the text itself suggests, and scores are shifted so that they all stand at the
-same value.
+gradients through at one place per filter and text only. A fifth of all labelled texts is
+kept from training; Spark counts how these score, by label and by the language that the text
+itself suggests, and the thresholds of the languages come from those counts. Scores are shifted
+so that all thresholds stand at the same value.
 """
 
 from __future__ import annotations
@@ -20,35 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ternway.llm import langid
-from ternway.llm.common import alphanumeric_words, chunks, mixed, release, sampled, span_hashes, texts
+from ternway.llm.common import alphanumeric_words, bit_map, chunks, filter_bits, hashes, in_bit_map, release, sampled, texts
 
-#: Labelled texts of each class, at most about so many, from which the classifier is fitted.
-TRAIN_TEXTS = 2000
+#: Labelled texts of each class, at most about so many, from which the classifier is fitted, and the most words of such a text.
+TRAIN_TEXTS, TRAIN_WORDS = 2000, 4000
 BUCKETS, WIDTH, FILTERS, SIZES, EPOCHS = 1 << 17, 8, 8, (1, 2, 3), 12
 #: Words that the network takes at a time.
 BLOCK_WORDS = 200_000
 #: Score at which a text counts as toxic, in every language.
 THRESHOLD = 0.7
-#: Texts of each class that a language needs for a threshold of its own.
+#: Texts of each class, of those kept from training, that a language needs for a threshold of its own; others take that of all languages.
 LEAST_TEXTS = 12
+#: Logits are counted in steps of this size, from -LIMIT to LIMIT.
+STEP, LIMIT = 0.02, 30.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (words x 3) of each word, and the first word of each text (n + 1 values)."""
-    words = alphanumeric_words()
-    starts, stops = words.spans(data, offsets)
-    first = np.searchsorted(starts, offsets)
-    out = np.empty((len(starts), 3), np.int32)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(stops, starts[a] + (1 << 20), "right")))
-        lo = starts[a]
-        value, s, e = words.value[data[lo : stops[b - 1]]], starts[a:b] - lo, stops[a:b] - lo
-        for k, size in enumerate((None, 4, 5)):
-            h = span_hashes(value, s, e if size is None else np.minimum(e, s + size))
-            out[a:b, k] = (mixed(h + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int32)
-        a = b
-    return out, first
+    blocks, first = alphanumeric_words().coded(data, offsets)
+    out = [np.zeros((0, 3), np.int32)]
+    for words, which in blocks:
+        parts = (words, [b"4" + w[:4] for w in words], [b"5" + w[:5] for w in words])
+        out.append(np.stack([(hashes(p) & np.uint64(BUCKETS - 1)).astype(np.int32) for p in parts], 1)[which])
+    return np.concatenate(out), first
 
 
 @dataclass
@@ -107,7 +102,7 @@ class Net:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = self.logits(*features(data, offsets)).astype(np.float64)
         if self.languages and self.languages.languages:
-            best, _, _ = self.languages.predict(data, offsets)
+            best, _, _, _ = self.languages.predict(data, offsets)
             z = z - np.array([self.shift.get(int(k), self.shift[-1]) for k in best])
         else:
             z = z - self.shift.get(-1, 0.0)
@@ -181,51 +176,87 @@ def train(buckets: np.ndarray, first: np.ndarray, toxic: np.ndarray, seed: int =
     return net
 
 
-def threshold(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best mean accuracy of both classes; of equal ones the middle."""
-    order = np.argsort(z, kind="stable")
-    z, toxic = z[order], toxic[order]
-    right = np.concatenate([[0], np.cumsum(~toxic)]) / max(1, (~toxic).sum()) + (toxic.sum() - np.concatenate([[0], np.cumsum(toxic)])) / max(1, toxic.sum())
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    low, high = best[0], best[-1]
-    edge = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
-    return float((edge[low] + edge[high + 1]) / 2)
+def threshold(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut with the best mean accuracy of both classes, given how many texts of each score in each step; of equal ones the middle."""
+    below = np.concatenate([[0], np.cumsum(clean)]) / max(1, clean.sum())
+    above = 1 - np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
+    best = np.flatnonzero(below + above >= (below + above).max() - 1e-12)
+    return float((best[0] + best[-1]) / 2 * STEP - LIMIT)
+
+
+def steps(z: np.ndarray) -> np.ndarray:
+    return np.clip((np.asarray(z, np.float64) + LIMIT) / STEP, 0, 2 * LIMIT / STEP - 1).astype(np.int64)
+
+
+def counted(docs: DataFrame, labels: DataFrame, net: Net) -> dict[tuple[int, int], np.ndarray]:
+    """For each language and label how many of the labelled documents score in each step. Documents that a bit map of the ids rules out aren't scored."""
+    spark = docs.sparkSession
+    ids = labels.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    shared = spark.sparkContext.broadcast((net, bit_map(ids, filter_bits(ids.count()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, have = shared.value
+        for batch in batches:
+            for part in chunks(batch.filter(pa.array(in_bit_map(have, np.asarray(batch.column(2)))))):
+                data, offsets = texts(part.column(1))
+                z = net.logits(*features(data, offsets))
+                lang = net.languages.predict(data, offsets)[0] if net.languages and net.languages.languages else np.full(len(z), -1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.astype(np.int32)), pa.array(steps(z).astype(np.int32))], ["doc_id", "language", "step"])
+        release()
+
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    found = docs.mapInArrow(run, "doc_id long, language int, step int").join(labels.withColumnRenamed("doc_id", "own_id"), F.col("doc_id") == F.col("own_id"))
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for r in found.groupBy("language", "toxic", "step").count().toLocalIterator():  # as many rows as languages and steps, at most
+        out.setdefault((r.language, r.toxic), np.zeros(round(2 * LIMIT / STEP), np.int64))[r.step] = r["count"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, languages: langid.Model | None, train_texts: int = TRAIN_TEXTS) -> Net:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic), of which the caller has left out what is held out.
 
-    About `train_texts` labelled texts of each class, picked by a hash of doc_id, are the
-    documented bound of what reaches the driver; where there are fewer, all. Null labels and
-    null texts are left out, of a document's several labels the largest counts. Without two
-    classes all scores are the same and below the threshold. Thresholds are found on a fifth
-    of the sample that the training does not see, if both classes are in it.
+    The net is fitted on about `train_texts` labelled texts of each class, picked by a hash of
+    doc_id among those of at most TRAIN_WORDS words: the documented bound of what reaches the
+    driver; where there are fewer, on all. A fifth of the labelled texts, by another hash, is
+    never trained on; all of them give the thresholds, if there are three of each class, else
+    the trained ones do. Null labels and null texts are left out, of a document's several
+    labels the largest counts. Without two classes all scores are the same and below the
+    threshold.
     """
-    labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = sampled(labels, "toxic", train_texts).select(F.col("doc_id").alias("own_id"), "toxic")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("own_id")).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    labels = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.least(F.max("toxic"), F.lit(1)).cast("int").alias("toxic"))
+    aside = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(5)) == 0
+    some = sampled(labels.where(~aside), "toxic", train_texts).select(F.col("doc_id").alias("own_id"), "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                buckets, first = features(*texts(part.column(1)))
+                rows = [buckets[a:b].tobytes() if b - a <= TRAIN_WORDS else None for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], ["doc_id", "toxic", "buckets"])
+        release()
+
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("own_id"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, toxic int, buckets binary").where("buckets is not null").toPandas()
+    rows = rows.sort_values(["doc_id", "buckets"]).drop_duplicates("doc_id")
     toxic = rows.toxic.to_numpy() == 1
-    data, offsets = texts(pa.array(rows.text.tolist(), pa.string()))
-    buckets, first = features(data, offsets)
-    aside = mixed(rows.doc_id.to_numpy().astype(np.uint64)) % np.uint64(5) == 0
-    if min(toxic[aside].sum(), (~toxic)[aside].sum()) < 3:
-        aside[:] = False
-    parts = np.repeat(~aside, np.diff(first))
-    net = train(buckets[parts], np.concatenate([[0], np.cumsum(np.diff(first)[~aside])]).astype(np.int64), toxic[~aside])
+    parts = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in rows.buckets]
+    buckets, first = np.concatenate([np.zeros((0, 3), np.int32), *parts]), np.cumsum([0, *map(len, parts)])
+    del rows, parts
+    net = train(buckets, first, toxic)
     net.languages = languages
     if not toxic.any() or toxic.all():
         net.shift = {-1: float(max(net.bias, 0)) + 3}
         return net
-    z = net.logits(buckets, first).astype(np.float64)
-    judged = aside if aside.any() else np.ones(len(toxic), bool)
-    net.shift = {-1: threshold(z[judged], toxic[judged])}
-    if languages and languages.languages:
-        best, _, _ = languages.predict(data, offsets)
-        for k in range(len(languages.languages)):
-            own = judged & (best == k)
-            if min(toxic[own].sum(), (~toxic)[own].sum()) >= LEAST_TEXTS:
-                net.shift[k] = threshold(z[own], toxic[own])
+    counts = counted(docs, labels.where(aside), net)
+    every = [sum((n for (_, t), n in counts.items() if t == k), np.zeros(round(2 * LIMIT / STEP), np.int64)) for k in (0, 1)]
+    if min(x.sum() for x in every) < 3:
+        z = steps(net.logits(buckets, first))
+        counts, every = {}, [np.bincount(z[toxic == k], minlength=round(2 * LIMIT / STEP)) for k in (False, True)]
+    net.shift = {-1: threshold(*every)}
+    for k in {k for k, _ in counts if k >= 0}:
+        own = [counts.get((k, t), np.zeros(1)) for t in (0, 1)]
+        if min(x.sum() for x in own) >= LEAST_TEXTS:
+            net.shift[k] = threshold(*own)
     release()
     return net
 
