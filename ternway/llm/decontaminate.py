@@ -1,10 +1,14 @@
 """Benchmark decontamination by templates: finds benchmark items in documents, also with other numbers, names and units.
 
-Both sides are cut into tokens and made canonical: numbers, names (capitalised inside a
-sentence) and units after a number become typed placeholders, whose values are kept aside as
-slots. Windows of canonical tokens are joined by hash. Matches of one item in one document at
+Both sides are cut into tokens and made canonical: numbers, names and units after a number become
+typed placeholders, whose values are kept aside as slots. A name is a run of capitalised words
+with nothing but white space between them, wherever it stands, so the first word of a sentence is
+one too. Windows of canonical tokens are joined by hash. Matches of one item in one document at
 one offset must be consistent: over all their windows each slot value of the item stands for
 one value in the document, and the other way round.
+
+A window with few literal tokens says little as a template, so items also have windows of the
+tokens as they are: those find verbatim copies of any item, be it all numbers or all names.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import BYTE_VALUE, LOWER, bit_map, chunks, filter_bits, in_bit_map, mixed, span_hashes, texts, written
+from ternway.llm.common import LOWER, bit_map, chunks, filter_bits, hashes, in_bit_map, mixed, spans_coded, texts, written
 
 #: Tokens of a window, and the fewest that an item must have; in between an item is one window.
-WINDOW, LEAST_TOKENS = 8, 5
+WINDOW, LEAST_TOKENS = 8, 3
+#: Part of a template window's tokens that must be literal, in eighths.
+LITERAL_EIGHTHS = 3
 #: Matching windows that make a leak, or all windows of an item that has fewer.
 LEAK_WINDOWS = 6
 #: Words that count as units after a number.
@@ -33,18 +39,13 @@ SLOT = "array<struct<t:int,v:long>>"
 _kind = np.zeros(256, np.uint8)
 _kind[48:58] = 1
 _kind[65:91] = _kind[97:123] = _kind[128:] = 2
-_ends = np.zeros(256, bool)
-_ends[[10, 13, 33, 46, 58, 63]] = True
-
-
-def _hash_of(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hashes(BYTE_VALUE[LOWER[data]], np.array([0]), np.array([len(data)]))[0])
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass
 class Tokens:
-    """Canonical codes, kinds (0: literal) and value hashes of the tokens, and the first token of each text."""
+    """Codes, kinds (0: literal) and value hashes of the tokens, and the first token of each text."""
 
     code: np.ndarray
     kind: np.ndarray
@@ -52,10 +53,15 @@ class Tokens:
     first: np.ndarray
 
 
-_units = np.sort(np.array([_hash_of(x) for x in UNITS], np.uint64))
+_units = np.sort(hashes(x.encode() for x in UNITS))
+
 
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, Tokens]:
+    """The texts as templates, and as they are but for the case of A-Z.
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    Tokens are numbers, with points and commas inside them, and runs of letters; characters of
+    scripts without blanks between words are tokens of their own.
+    """
     n = len(data)
     kind = _kind[data]
     edge = np.zeros(n + 1, bool)
@@ -66,45 +72,59 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     change = np.ones(n + 1, bool)
     change[1:n] = kind[1:] != kind[:-1]
     change |= edge
+    second = np.append(data[1:], 0)[:n]
+    # U+3000 to U+9FFF, and Thai and Lao
+    alone = np.flatnonzero(((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)))
+    change[alone] = True
+    change[np.minimum(alone + 3, n)] = True
     start = np.flatnonzero(change[:n] & (kind > 0))
     stop = np.flatnonzero(change[1:] & (kind > 0)) + 1
     first = np.searchsorted(start, offsets)
-    if not len(start):
-        return Tokens(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64), first)
-    value = np.empty(len(start), np.uint64)
-    a = 0
+    parts, a = [np.zeros(0, np.uint64)], 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(stop, start[a] + (1 << 20), "right")))
         lo = start[a]
-        value[a:b] = span_hashes(BYTE_VALUE[LOWER[data[lo : stop[b - 1]]]], start[a:b] - lo, stop[a:b] - lo)
+        words, which = spans_coded(LOWER[data[lo : stop[b - 1]]], start[a:b] - lo, stop[a:b] - lo)
+        parts.append(hashes(words)[which])
         a = b
-    ended = np.concatenate([[0], np.cumsum(_ends[data] & (kind != 1))])
-    opening = np.ones(len(start), bool)
-    opening[1:] = ended[start[1:]] > ended[stop[:-1]]
-    opening[first[:-1][first[:-1] < len(start)]] = True
-    head, second = data[start], data[np.minimum(start + 1, n - 1)]
-    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    out = np.zeros(len(start), np.uint8)
-    out[kind[start] == 1] = NUMBER
-    out[capital & ~opening] = NAME
-    after = np.flatnonzero(kind[start[:-1]] == 1) + 1
-    after = after[(out[after] == 0) & ~np.isin(after, first)]
+    value = np.concatenate(parts)
+    plain = Tokens(value, np.zeros(len(start), np.uint8), value, first)
+    if not len(start):
+        return plain, plain
+    head, second = data[start], second[start]
+    number = kind[start] == 1
+    name = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    out = np.where(number, NUMBER, np.where(name, NAME, 0)).astype(np.uint8)
+    after = np.flatnonzero(number[:-1]) + 1
+    after = after[(out[after] == 0) & ~edge[start[after]] & ~np.isin(after, first)]
     out[after[np.isin(value[after], _units)]] = UNIT
+    # names of several words are one token
+    gaps = np.concatenate([[0], np.cumsum(~_space[data])])
+    joined = np.zeros(len(start), bool)
+    joined[1:] = name[1:] & name[:-1] & (gaps[start[1:]] == gaps[stop[:-1]])
+    joined[first[:-1][first[:-1] < len(start)]] = False
+    lead = np.flatnonzero(~joined)
+    place = np.arange(len(start)) - np.repeat(lead, np.diff(np.append(lead, len(start))))
+    whole = np.add.reduceat(mixed(value + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), lead)
+    out, value = out[lead], np.where(out[lead] == NAME, whole, value[lead])
     code = np.where(out > 0, mixed(out.astype(np.uint64) + np.uint64(7)), value)
-    return Tokens(code, out, value, first)
+    return Tokens(code, out, value, np.searchsorted(lead, first)), plain
 
 
-def rolled(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start tokens and hashes of all windows of `width` tokens within a text of which half are literal."""
+def rolled(t: Tokens, width: int, template: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start tokens and hashes of all windows of `width` tokens within a text; of templates those with enough literal tokens."""
     n = len(t.code) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, width, np.uint64)
+    h = np.full(n, 2 * width + template, np.uint64)
     for k in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + t.code[k : k + n]
-    literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
     text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-    at = np.flatnonzero((text[:n] == text[width - 1 :]) & (2 * (literal[width:] - literal[:-width]) >= width))
+    good = text[:n] == text[width - 1 :]
+    if template:
+        literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
+        good &= 8 * (literal[width:] - literal[:-width]) >= LITERAL_EIGHTHS * width
+    at = np.flatnonzero(good)
     return at, mixed(h[at])
 
 
@@ -118,34 +138,37 @@ def slots(t: Tokens, at: np.ndarray, width: int) -> pa.Array:
 
 
 def item_windows(items: DataFrame, window: int, least: int) -> DataFrame:
-    """(item_id, h, b_at, width, n_windows, b_slots): all windows of the benchmark's items."""
+    """(item_id, h, template, b_at, width, n_windows, b_slots): all windows of the benchmark's items, as templates and as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                t = tokens(*texts(part.column(1)))
-                size = np.diff(t.first)
                 ids = np.asarray(part.column(0))
-                for width in sorted({min(window, int(x)) for x in size if x >= least}):
-                    at, h = rolled(t, width)
-                    text = np.searchsorted(t.first, at, "right") - 1
-                    own = np.minimum(size[text], window) == width
-                    at, h, text = at[own], h[own], text[own]
-                    total = np.bincount(text, minlength=len(size))
-                    columns = [pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array((at - t.first[text]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(total[text].astype(np.int32)), slots(t, at, width)]
-                    yield pa.RecordBatch.from_arrays(columns, ["item_id", "h", "b_at", "width", "n_windows", "b_slots"])
+                for template, t in zip((True, False), tokens(*texts(part.column(1))), strict=True):
+                    size = np.diff(t.first)
+                    for width in sorted({min(window, int(x)) for x in size if x >= least}):
+                        at, h = rolled(t, width, template)
+                        text = np.searchsorted(t.first, at, "right") - 1
+                        own = np.minimum(size[text], window) == width
+                        at, h, text = at[own], h[own], text[own]
+                        total = np.bincount(text, minlength=len(size))
+                        columns = [pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array(np.full(len(at), template)), pa.array((at - t.first[text]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(total[text].astype(np.int32)), slots(t, at, width)]
+                        yield pa.RecordBatch.from_arrays(columns, ["item_id", "h", "template", "b_at", "width", "n_windows", "b_slots"])
 
-    return items.mapInArrow(run, f"item_id long, h long, b_at int, width int, n_windows int, b_slots {SLOT}")
+    return items.mapInArrow(run, f"item_id long, h long, template boolean, b_at int, width int, n_windows int, b_slots {SLOT}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tokens: int = LEAST_TOKENS, leak_windows: int = LEAK_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, verbatim): the benchmark items that documents hold.
 
-    matched of an item's n_windows windows stand in the document at one offset, with consistent
-    slots; a pair is a leak from `leak_windows` on, or with all windows of an item that has
-    fewer. verbatim: all matched slots have the same values. Of several offsets the one that
-    matches most counts. Items of fewer than `least_tokens` tokens, null texts and rows
-    with a null id give nothing; repeated rows don't repeat results.
+    matched of an item's n_windows windows stand in the document at one offset, templates with
+    consistent slots; a pair is a leak from `leak_windows` on, or with all windows of an item
+    that has fewer. verbatim: windows of the tokens as they are make it one, and the counts are
+    theirs; else they are those of the templates. Of several offsets the one that matches most
+    counts. A template window needs three literal tokens in eight, so an item of little else
+    than numbers and names is found verbatim only. Items of fewer than `least_tokens` tokens are
+    no passage and give nothing, as do null texts and rows with a null id; repeated rows don't
+    repeat results.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
@@ -158,20 +181,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tok
         have, widths = shared.value
         for batch in batches:
             for part in chunks(batch):
-                t = tokens(*texts(part.column(1)))
                 ids = np.asarray(part.column(0))
-                for width in widths:
-                    at, h = rolled(t, width)
-                    hit = np.flatnonzero(in_bit_map(have, h))
-                    at, h = at[hit], h[hit]
-                    text = np.searchsorted(t.first, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array(at - t.first[text]), slots(t, at, width)], ["doc_id", "h", "d_at", "d_slots"])
+                for template, t in zip((True, False), tokens(*texts(part.column(1))), strict=True):
+                    for width in widths:
+                        at, h = rolled(t, width, template)
+                        hit = np.flatnonzero(in_bit_map(have, h))
+                        at, h = at[hit], h[hit]
+                        text = np.searchsorted(t.first, at, "right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array(at - t.first[text]), slots(t, at, width)], ["doc_id", "h", "d_at", "d_slots"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     found = docs.mapInArrow(run, f"doc_id long, h long, d_at long, d_slots {SLOT}")
     both = found.join(F.broadcast(bench) if many.n <= BROADCAST_WINDOWS else bench, "h")
     pairs = F.zip_with("b_slots", "d_slots", lambda b, d: F.struct(b.t.alias("t"), b.v.alias("b"), d.v.alias("d")))
-    group = both.groupBy("doc_id", "item_id", (F.col("d_at") - F.col("b_at")).alias("offset")).agg(
+    group = both.groupBy("doc_id", "item_id", "template", (F.col("d_at") - F.col("b_at")).alias("offset")).agg(
         F.size(F.collect_set("b_at")).alias("matched"),
         F.max("n_windows").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
@@ -179,6 +202,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_tok
     one_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p.t, p.b)))) == F.size("pairs")
     other_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p.t, p.d)))) == F.size("pairs")
     group = group.where(one_way & other_way & (F.col("matched") >= F.least(F.lit(leak_windows), F.col("n_windows"))))
-    group = group.withColumn("verbatim", F.forall("pairs", lambda p: p.b == p.d))
-    best = group.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "verbatim")).alias("best"), F.max("n_windows").alias("n_windows"))
-    return best.select("doc_id", "item_id", "n_windows", F.col("best.matched").alias("matched"), F.col("best.verbatim").alias("verbatim"))
+    best = group.groupBy("doc_id", "item_id").agg(F.max(F.struct((~F.col("template")).alias("verbatim"), "matched", "n_windows")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.matched").alias("matched"), F.col("best.verbatim").alias("verbatim"))

@@ -1,5 +1,6 @@
 """Tokenizer, token files, licences, languages, toxicity and decontamination against plain versions."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -28,18 +29,61 @@ def library(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\t'strevmldABé½0日<|endoftext>　\x1c👍", max_size=40))
 def test_ids_are_the_librarys(text):
-    for own in (False, True):
-        ids, offsets = bpe.piece_cache(PATH, own).encoded(*texts(pa.array([text, None, text + "<|endoftext|>"], pa.string())))
+    for own in (None, PATH):
+        ids, offsets = bpe.piece_cache(bpe.tables(PATH), own).encoded(*texts(pa.array([text, None, text + "<|endoftext|>"], pa.string())))
         assert ids[offsets[0] : offsets[1]].tolist() == library(text)
         assert offsets[1] == offsets[2] and ids[offsets[2] :].tolist() == library(text + "<|endoftext|>")
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_pieces_that_sums_of_powers_confuse(n):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo a power of two, whatever the base."""
+    own = thue_morse(n)
+    rows = [own, own.translate(str.maketrans("ab", "ba"))]
+    for library_too in (None, PATH):
+        ids, at = bpe.piece_cache(bpe.tables(PATH), library_too).encoded(*texts(pa.array(rows, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library(r) for r in rows]
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    """Texts are cut only where a piece starts whatever stands before."""
+    parts = ["it's", "don't 've", "  two", "a\n\n", "é ü", "日本 語", "x1 2y", "<|endoftext|>", " 's", "end.", "\t", "<|endof", "text|>"]
+    for _ in range(60):
+        text = " ".join(RNG.choice(parts) for _ in range(RNG.randint(1, 40)))
+        cuts = bpe.safe_cuts(np.frombuffer(text.encode(), np.uint8), 8)
+        pieces = [text.encode()[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        assert "".join(pieces) == text and [i for x in pieces for i in library(x)] == library(text)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 64)
+    ids, at = bpe.piece_cache(bpe.tables(PATH)).encoded(*texts(pa.array([text * 9, "", None, "short", "w" * 500], pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library(x) for x in (text * 9, "", "", "short", "w" * 500)]
+
+
 def test_round_trip_of_odd_texts(odd, empty):
     out = {(r.doc_id, r.text) for r in bpe.decode(bpe.encode(odd, PATH), PATH).collect()}
     assert out == {(r.doc_id, r.text or "") for r in odd.collect()}
     assert bpe.encode(odd, PATH).count() == odd.count() and bpe.encode(empty, PATH).count() == 0
 
 
+def test_digests_of_odd_texts(odd, empty, monkeypatch):
+    def plain(r):
+        ids = library(r.text)
+        text = TOKENIZER.decode(ids, skip_special_tokens=False)
+        return r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    assert {tuple(r) for r in bpe.digests(odd, PATH).collect()} == {plain(r) for r in odd.collect()} and bpe.digests(empty, PATH).count() == 0
+    v = bpe.tables(PATH)
+    listed = [f",{i}".encode() for i in range(len(v.flat_at) - 1)]
+    one = bpe.Digests(v, (np.frombuffer(b"".join(listed), np.uint8), np.cumsum([0, *map(len, listed)])))
+    text = "日本語 👍🏽 plain"
+    for i in library(text):  # blocks may end inside a character
+        one.add(np.array([i]))
+    assert one.row()[0] == len(library(text)) and one.row()[2] == hashlib.sha256(text.encode()).hexdigest()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=600))
 def test_codes(counts):
@@ -117,6 +161,43 @@ def test_expressions(text, choices):
         assert licenses.evaluate(licenses.parse(text)[0]) == {frozenset(c) for c in choices}
 
 
+def plain_labels(text):
+    """Labels and score of a text: phrases by a search at every word, identifiers by splitting expressions without brackets."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    words = [(m.end(), m.group()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    labels, doubt = set(), 1.0
+    for phrases, kind in ((licenses.BASE, "base"), (licenses.NOTICES, "notice"), ({"license identifier": None}, "tag")):
+        for phrase, name in phrases.items():
+            size = len(phrase.split())
+            for k in range(len(words) - size + 1):
+                if [w for _, w in words[k : k + size]] != phrase.split():
+                    continue
+                doubt *= 1 - licenses.WEIGHT[kind]
+                if name:
+                    labels.add(name)
+                    continue
+                rest = re.match("[ \\t:=\"']*([^\\n]*)", text[words[k + size - 1][0] :]).group(1)
+                ident = r"(?!(?:with|and|or)(?![A-Za-z0-9.+:-]))[A-Za-z0-9][A-Za-z0-9.+:-]*"
+                if own := re.match(f"{ident}(?: +(?:with|and|or) +{ident})*", rest, re.I):
+                    parts = re.split(r" +(with|and|or) +", own.group(), flags=re.I)
+                    labels |= {licenses.label(x.rstrip(".:")) for x, before in zip(parts[::2], ["", *parts[1::2]], strict=True) if before.lower() != "with"}
+    return ",".join(sorted(labels)), 1 - doubt
+
+
+def test_labels_are_those_of_the_plain_version(spark):
+    parts = ["SPDX-License-Identifier: MIT", "License Identifier = GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0 AND x\n", "license-identifier:", "MIT License", "bsd license", "creative commons zero", "All rights\nreserved", "é", "or", "and ISC", "gnu", "GNU General Public License", "permission is hereby granted, free of charge,", "word."]
+    rows = [(k, " ".join(RNG.choice(parts) for _ in range(RNG.randint(0, 12)))) for k in range(300)]
+    for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        labels, score = plain_labels(rows[r.doc_id][1])
+        assert r.labels == labels and r.score == pytest.approx(score), rows[r.doc_id]
+
+
+def test_many_tags_in_a_line(spark):
+    text = "SPDX-License-Identifier: MIT " * 100_000
+    (r,) = licenses.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_words, r.labels, r.choices) == (400_000, "mit", ["mit"])
+
+
 def test_long_expressions(spark):
     long = "SPDX-License-Identifier: " + " AND ".join(f"LicenseRef-package-{k}" for k in range(300)) + " AND ISC\nAND MPL-2.0"
     pairs = "SPDX-License-Identifier: " + " AND ".join(f"(x{k} OR y{k})" for k in range(14)) + " AND (GPL-2.0 WITH some-exception OR MIT)"
@@ -198,8 +279,72 @@ def test_scores_do_not_depend_on_a_texts_neighbours(block, monkeypatch):
         assert np.allclose(together, [net.score(*texts(pa.array([r], pa.string())))[0] for r in own], atol=1e-5)
 
 
+def plain_tokens(text):
+    """(placeholder or None, value) of a text's tokens, names of several words as one; and the tokens as they are."""
+    words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[\u3000-\u9fff\u0e00-\u0eff]|(?:(?![\u3000-\u9fff\u0e00-\u0eff])[A-Za-z\u0080-\U0010ffff])+", text)]
+    lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    out, before = [], None
+    for a, b, w in words:
+        if w[0].isdigit():
+            out.append((1, w))
+        elif "A" <= w[0] <= "Z" or "À" <= w[0] <= "Þ":
+            if out and out[-1][0] == 2 and before is not None and not text[before:a].strip(" \t\n\r\v\f"):
+                out[-1] = (2, out[-1][1] + "|" + lower(w))
+            else:
+                out.append((2, lower(w)))
+        elif out and out[-1][0] == 1 and lower(w) in decontaminate.UNITS:
+            out.append((3, lower(w)))
+        else:
+            out.append((None, lower(w)))
+        before = b
+    return out, [(None, lower(w)) for _, _, w in words]
+
+
+def plain_leaks(docs, items, width=8, least=3, enough=6):
+    """All items against all documents, token by token."""
+    found = set()
+    for d, text in docs:
+        for i, item in items:
+            if text is None or item is None:
+                continue
+            for template, (own, theirs) in enumerate(zip(plain_tokens(text)[::-1], plain_tokens(item)[::-1], strict=True)):
+                size = min(width, len(theirs))
+                if len(theirs) < least:
+                    continue
+                windows = [k for k in range(len(theirs) - size + 1) if not template or 8 * sum(t[0] is None for t in theirs[k : k + size]) >= 3 * size]
+                shape = lambda t: t if t[0] is None else t[0]
+                for offset in range(-len(theirs), len(own)):
+                    hit = [k for k in windows if 0 <= k + offset <= len(own) - size and [*map(shape, own[k + offset : k + offset + size])] == [*map(shape, theirs[k : k + size])]]
+                    pairs = {(t[0], t[1], own[j + offset][1]) for k in hit for j, t in enumerate(theirs[k : k + size], k) if t[0] is not None}
+                    if hit and len(hit) >= min(enough, len(windows)) and len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs}):
+                        found.add((d, i))
+    return found
+
+
+def test_leaks_are_those_of_the_plain_version(spark):
+    words = "the a train Paris Lyon New York goes 3 12 4.5 km hours and It back É 東 京 pears gives to".split()
+    items = [(k, " ".join(RNG.choice(words) for _ in range(RNG.randint(2, 14)))) for k in range(40)]
+    docs = []
+    for k in range(60):
+        own = [w if RNG.random() > 0.1 else RNG.choice(words) for w in items[RNG.randrange(40)][1].split()]
+        swap = dict(zip(words, RNG.sample(words, len(words)))) if k % 3 == 0 else {}
+        own = [swap.get(w, w) if w[0].isupper() or w[0].isdigit() else w for w in own]
+        docs.append((k, " ".join(RNG.choice(words) for _ in range(RNG.randint(0, 5))) + RNG.choice([" ", ". "]) + " ".join(own)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_leaks(docs, items) and len(got) > 15
+
+
 def test_leaks(spark, odd, empty):
-    items = [(1, "A train leaves Paris at 9 and goes 120 km to Lyon in 3 hours, then goes back to Paris."), (2, "two words"), (3, None), (4, "one two three four five six")]
+    items = [
+        (1, "A train leaves Paris at 9 and goes 120 km to Lyon in 3 hours, then goes back to Paris."),
+        (2, "two words"),
+        (3, None),
+        (4, "one two three four five six"),
+        (5, "Anna has 5 apples and gives 2 of them to a friend."),
+        (6, "12 Paris 34 Lyon 56 Rome 78 Milan 90 Bonn 11 Ulm 13"),
+        (7, "北京是中国的首都有很多人住在那里"),
+        (8, "New Title Of A Very Short Book"),
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = [
         (1, "Before. " + items[0][1] + " After."),
@@ -208,8 +353,18 @@ def test_leaks(spark, odd, empty):
         (4, "A train leaves early in the morning and comes back at night with two words."),
         (5, "so one two three four five six so"),
         (1, "Before. " + items[0][1] + " After."),
+        (6, "so, Boris has 6 apples and gives 3 of them to a friend, he said"),
+        (7, "Mary Ann has 6 apples and gives 3 of them to a friend"),
+        (8, "A train leaves New York at 7 and goes 130 km to Lyon in 4 hours, then goes back to New York."),
+        (9, "list: 12 Paris 34 Lyon 56 Rome 78 Milan 90 Bonn 11 Ulm 13 and so on"),
+        (10, "list: 12 Rome 34 Lyon 56 Paris 78 Milan 90 Bonn 11 Ulm 13 and so on"),
+        (11, "据说北京是中国的首都有很多人住在那里。"),
+        (12, "THE NEW TITLE OF A VERY SHORT BOOK"),
+        (13, "Anna has 5 pears and gives 2 of them to a friend."),
     ]
     found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    assert set(found) == {(1, 1), (2, 1), (5, 4)} and found[1, 1].verbatim and not found[2, 1].verbatim
+    assert set(found) == {(1, 1), (2, 1), (5, 4), (6, 5), (7, 5), (8, 1), (9, 6), (11, 7), (12, 8)}
+    assert {k for k, r in found.items() if r.verbatim} == {(1, 1), (5, 4), (9, 6), (11, 7), (12, 8)}
+    assert set(found) == plain_leaks({(d, t) for d, t in docs}, items)
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
