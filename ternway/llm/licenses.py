@@ -35,7 +35,8 @@ NOTICES = {
     "licensed under the apache license": "apache",
     "all rights reserved": "proprietary",
 }
-TAGS = ("spdx license identifier", "license identifier")
+#: The words of a tag; what stands before them, as in SPDX-License-Identifier, doesn't matter.
+TAGS = ("license identifier",)
 #: Beginnings of licence identifiers and their labels, longer ones first.
 FAMILIES = {"lgpl": "lgpl", "agpl": "agpl", "gpl": "gpl", "apache": "apache", "cc-by": "cc-by", "cc0": "cc0", "mit": "mit", "mpl": "mpl", "epl": "epl", "bsl": "bsl", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "unlicense": "unlicense"}
 #: How sure a find of each kind makes, on its own.
@@ -46,8 +47,8 @@ _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _FOLD = bytes((b + 32 if 65 <= b < 91 else b) if _LETTER[b] else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-#: What can belong to an expression behind its tag, to the end of the line at most.
-_EXPRESSION = re.compile(rb"[ \t:=\"']*([0-9A-Za-z.+:() \t-]*)")
+#: What may stand between a tag and its expression.
+_BEFORE = re.compile(r"[ \t:=\"']*")
 _BLANKS = re.compile(r"[ \t]*")
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
 #: Choices that are multiplied out; where there would be more, both sides of an `and` stay as factors.
@@ -58,8 +59,8 @@ class Bad(ValueError):
     """The text is no licence expression."""
 
 
-def parse(text: str) -> tuple[list[str], int]:
-    """The longest licence expression at the start of a text, in postfix order, and where it ends.
+def parse(text: str, at: int = 0) -> tuple[list[str], int]:
+    """The longest licence expression at a place of a text, in postfix order, and where it ends: at the end of the line at the latest.
 
     Identifiers stand between the operators with, and, or (any case), which bind in that order.
     What follows the expression doesn't matter; without one, Bad is raised.
@@ -68,7 +69,7 @@ def parse(text: str) -> tuple[list[str], int]:
     stack: list[str] = []
     good: tuple[int, list[str], int] | None = None
     operand = True
-    at = depth = 0
+    begin, depth = at, 0
     while (m := _BLANKS.match(text, at)) is not None and (t := _TOKEN.match(text, m.end())):
         word, low = t.group(), t.group().lower()
         if operand:
@@ -98,7 +99,7 @@ def parse(text: str) -> tuple[list[str], int]:
         if not operand and not depth:
             good = (len(out), stack[::-1], at)
     if good is None:
-        raise Bad(text[:80])
+        raise Bad(text[begin : begin + 80])
     return [*out[: good[0]], *good[1]], good[2]
 
 
@@ -168,15 +169,17 @@ def scan(raw: bytes, inner: bytes) -> tuple:
     line = inner.decode("latin-1")
     base, first, last, base_labels, labels, doubt, choices = 0, None, None, set(), set(), 1.0, []
     start = at = 0
+    plain, ends = "", []
     for end, (kind, name, size) in automaton().iter(line):
         begin = end - size - 1
         at += line.count(" ", start, begin) - line.count(" ", begin, start)
         start = begin
         doubt *= 1 - WEIGHT[kind]
         if kind == "tag":
-            after = next((m.end() for k, m in enumerate(_WORD.finditer(raw)) if k == at + line.count(" ", begin, end) - 1), None)
+            if not ends:  # where each word ends, found once; a character for each byte, as only ASCII matters here
+                plain, ends = raw.decode("latin-1"), [m.end() for m in _WORD.finditer(raw)]
             try:
-                postfix, _ = parse(_EXPRESSION.match(raw, after).group(1).decode())
+                postfix, _ = parse(plain, _BEFORE.match(plain, ends[at + line.count(" ", begin, end) - 1]).end())
             except Bad:
                 continue
             choices += evaluate(postfix)
