@@ -3,14 +3,15 @@
 Archives are gzip files written by Spark's text sink, whose line separator ends each record,
 so task retries leave no half-written archive behind. A payload that an earlier page has too
 is written once; the others are revisit records. Reading an archive gives a run of captures
-sorted by URL key and timestamp; the runs are dealt by ranges of that order and each range is
-merged with a loser tree.
+sorted by URL key and timestamp; the runs are dealt by ranges of that order, through Spark's
+exchange and so by disk, and each range, of a bounded size, is merged with a loser tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -26,7 +27,10 @@ CRLF = "\r\n"
 END = CRLF + CRLF
 #: First date of the captures; a page's id gives the seconds after it.
 EPOCH, YEAR_S = 1704067200, 31_536_000
-RECORDS_PER_FILE = 20_000
+#: Bytes of payload of an archive, about, and the most records; an archive is read by one task.
+ARCHIVE_BYTES, RECORDS_PER_FILE = 1 << 27, 20_000
+#: Captures that a task merges, about: there are as many ranges as that takes.
+RANGE_CAPTURES = 50_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -61,8 +65,10 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per page: `response` with the payload, or `revisit`."""
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 1.0
+    records_per_file = int(min(max(archive_bytes / mean, 1), RECORDS_PER_FILE))
     rows = captures(pages, least_bytes)
     revisit = F.col("refers_to").isNotNull()
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(YEAR_S))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -221,8 +227,9 @@ def merged(runs: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts.setdefault(row[0], []).append(row)
-        for rows in parts.values():  # a run's part arrives in its order; sorting what is sorted costs one look at each
-            rows.sort(key=order)
+        for rows in parts.values():  # the exchange keeps a run's order, unless it was read in several batches
+            if any(order(x) > order(y) for x, y in itertools.pairwise(rows)):
+                rows.sort(key=order)
         here, at, held = TaskContext.get().partitionId(), 0, []
         schema = pa.schema([*list(_arrow)[1:], ("part", pa.int64()), ("place", pa.int64())])
 
@@ -251,4 +258,4 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(pages, path, least_bytes)
     runs = written(read_runs(spark, path), "runs")
-    return merged(runs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return merged(runs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_CAPTURES)))
