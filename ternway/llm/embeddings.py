@@ -1,21 +1,25 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
 Two vectors within a small angle fall within a small distance of each other on any line. Each
-vector is projected on many lines; a pair collides on a line if its projections lie within a
-window around either of them. Pairs with enough collisions, a number calibrated so that the
-wanted share of pairs at the threshold passes, are compared exactly.
+vector is projected on many lines; a pair collides on a line if one's projection lies in a
+window around the other's. Pairs with enough collisions, a number calibrated so that the wanted
+share of pairs at the threshold passes, are compared exactly.
 
 1.  Equal vectors of a label become one, with a number of copies.
 2.  Within a label, vectors are sorted on the first line and cut into strips, each strip is
     sorted on the next line and cut, and so on, until tiles are small. Tiles that can hold
-    vectors within a window of each other on all of these lines meet in a task.
-3.  A pair of tiles counts the collisions of its pairs on all lines, verifies those that pass,
-    and returns link counts and the few links that connect something new.
+    vectors within a slightly wider window of each other on all of these lines meet in a task.
+3.  A task sorts one side on its lines and searches the window around each vector of the other.
+    A pair that may miss m lines must collide on one of the first m + 1, so only the windows of
+    these are read out; each pair found is counted on the other lines until it has missed too
+    many. What passes is verified, and the task returns link counts and the few links that
+    connect something new.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ternway.llm.common import written
+from ternway.llm.common import small, written
 from ternway.llm.graph import Forest, components
 
 #: Lines, half width of a window in standard deviations of the projections of a pair at the
 #: threshold, share of pairs at the threshold that the count must let through.
 LINES, WINDOW_SIGMAS, RECALL = 32, 3.0, 0.999
-#: Vectors of a tile, at most about so many, and the lines that cut tiles.
-TILE, CUT_LINES, STRIPS = 800, 4, 4
+#: Vectors of a tile, at most about so many, the lines that cut tiles, the strips of a cut, and the half width within which tiles meet.
+TILE, CUT_LINES, STRIPS, TILE_SIGMAS = 3000, 4, 4, 3.3
+#: Pairs that a task looks at, at a time.
+PAIRS = 1 << 19
 
 
 def lines(dim: int, n: int, seed: int = 11) -> np.ndarray:
@@ -53,23 +59,46 @@ def least_collisions(n: int, sigmas: float, recall: float) -> int:
     return 0
 
 
+def collisions(px: np.ndarray, py: np.ndarray, width: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of px and py (vectors x lines) that collide on `least` lines or more, each once, in blocks."""
+    n_lines = px.shape[1]
+    most = n_lines - least  # lines that a pair may miss
+    for k in range(min(most + 1, n_lines)):
+        order = np.argsort(py[:, k], kind="stable")
+        line = py[order, k]
+        first, last = np.searchsorted(line, px[:, k] - width, "left"), np.searchsorted(line, px[:, k] + width, "right")
+        ends = np.cumsum(last - first)
+        a = 0
+        while a < len(px):
+            base = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+            size = last[a:b] - first[a:b]
+            i = np.repeat(np.arange(a, b), size)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[a:b], size)]
+            for before in range(k):  # what collided on an earlier line has been found there
+                new = np.abs(px[i, before] - py[j, before]) > width
+                i, j = i[new], j[new]
+            missed = np.full(len(i), k, np.int8)
+            for line_after in range(k + 1, n_lines):
+                missed += np.abs(px[i, line_after] - py[j, line_after]) > width
+                on = missed <= most
+                i, j, missed = i[on], j[on], missed[on]
+            yield i, j
+            a = b
+
+
 def pair_links(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, threshold: float, width: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of x and y with enough collisions and a cosine of `threshold` or more in double precision."""
-    out_a, out_b = [], []
-    for a in range(0, len(x), 256):
-        count = np.zeros((len(x[a : a + 256]), len(y)), np.uint8)
-        for k in range(px.shape[1]):
-            count += np.abs(px[a : a + 256, k, None] - py[None, :, k]) <= width
-        i, j = np.nonzero(count >= least)
-        i += a
-        for b in range(0, len(i), 1 << 16):
-            s = slice(b, b + (1 << 16))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in collisions(px, py, width, least):
+        for b in range(0, len(i), 1 << 14):
+            s = slice(b, b + (1 << 14))
             u, v = x[i[s]], y[j[s]]
             cosine = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
             hit = cosine >= threshold
             out_a.append(i[s][hit])
             out_b.append(j[s][hit])
-    return np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, n_lines: int = LINES, tile: int = TILE, seed: int = 11) -> DataFrame:
@@ -116,17 +145,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, n_lines: int = LIN
         )
         bounds = bounds.select("label", "dim", "tile", F.when(F.col("n") > tile, F.col("bounds")).otherwise(F.array().cast("array<double>")).alias("bounds"))
         strip = F.size(F.filter("bounds", lambda b: b < line))
-        tiled = tiled.join(F.broadcast(bounds), ["label", "dim", "tile"]).withColumn("tile", F.col("tile") * STRIPS + strip).drop("bounds")
+        tiled = tiled.join(small(bounds, "bounds"), ["label", "dim", "tile"]).withColumn("tile", F.col("tile") * STRIPS + strip).drop("bounds")
     # What is still larger is dealt by hash into tiles that share their box.
     sizes = tiled.groupBy("label", "dim", "tile").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"))
-    tiled = tiled.join(F.broadcast(sizes), ["label", "dim", "tile"]).withColumn("part", F.pmod(F.xxhash64("leader"), F.col("parts")).cast("int"))
+    tiled = tiled.join(small(sizes, "sizes"), ["label", "dim", "tile"]).withColumn("part", F.pmod(F.xxhash64("leader"), F.col("parts")).cast("int"))
     tiled = written(tiled.select("leader", "label", "dim", "tile", "part", "p"), "tiles")
     edges = [f(F.col("p")[k]).alias(f"{n}{k}") for k in range(CUT_LINES) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     boxes = written(tiled.groupBy("label", "dim", "tile", "part").agg(*edges).withColumn("box", F.struct("tile", "part")), "boxes")
     left, right = boxes.alias("x"), boxes.alias("y")
+    reach = window(threshold, TILE_SIGMAS)
     near = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.box") <= F.col("y.box"))
     for k in range(CUT_LINES):
-        near = near & (F.col(f"x.lo{k}") - width <= F.col(f"y.hi{k}")) & (F.col(f"y.lo{k}") - width <= F.col(f"x.hi{k}"))
+        near = near & (F.col(f"x.lo{k}") - reach <= F.col(f"y.hi{k}")) & (F.col(f"y.lo{k}") - reach <= F.col(f"x.hi{k}"))
     meets = left.join(right, near).select(*[F.col(f"x.{c}").alias(c) for c in ("label", "dim")], F.col("x.box").alias("a"), F.col("y.box").alias("b"))
     meets = written(meets.withColumn("task", F.xxhash64("label", "dim", "a", "b")), "meetings")
     seats = meets.select("label", "dim", "task", F.col("a").alias("box"), F.lit(0).alias("side")).unionByName(meets.where("a <> b").select("label", "dim", "task", F.col("b").alias("box"), F.lit(1).alias("side")))
