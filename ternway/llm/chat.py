@@ -1,7 +1,9 @@
 """Chat formatting with Spark expressions only, and the way back.
 
-A conversation's turns are collected as structs, sorted, and adjacent turns of one role are
-merged by an array aggregation. The output of a message is
+A conversation's turns are collected as structs and sorted. An array aggregation finds the turns
+at which a message starts, those whose role differs from the one before; the turns up to the
+next start are merged into it. Texts are joined once, so a conversation of many turns costs no
+more than its length. The output of a message is
 
     <|role|>line end, text, <|and|>, text of the next merged turn, ..., <|end|>line end
 
@@ -40,18 +42,18 @@ def formatted(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turn = F.struct("turn", "role", "text")
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("out"))
-
-    def add(state: Column, one: Column) -> Column:
-        text = escaped(one.text)
-        role = F.replace(escaped(one.role), F.lit("|"), F.lit("&#124;"))
-        opening = F.concat(F.lit("<|"), role, F.lit("|>\n"), text)
-        same = F.concat(state.out, F.lit(AND), text)
-        other = F.concat(state.out, F.when(state.role.isNull(), F.lit("")).otherwise(F.lit(END)), opening)
-        return F.struct(one.role.alias("role"), F.when(state.role.eqNullSafe(one.role), same).otherwise(other).alias("out"))
-
-    merged = F.aggregate("turns", start, add, lambda state: F.concat(state.out, F.lit(END)))
-    return sorted_turns.select("conv_id", merged.alias("formatted"))
+    role = lambda k: F.get(F.col("turns"), k - 1)["role"]  # noqa: E731  of the k-th turn, from 1; null before the first
+    starts = F.aggregate(F.sequence(F.lit(1), F.size("turns")), F.array().cast("array<int>"), lambda found, k: F.when(role(k).eqNullSafe(role(k - 1)), found).otherwise(F.concat(found, F.array(k))))
+    # the starts are a column of their own, so that they are found once
+    rows = sorted_turns.withColumn("starts", starts)
+
+    def message(k: Column, place: Column) -> Column:
+        stop = F.coalesce(F.get(F.col("starts"), place + 1), F.size("turns") + 1)
+        name = F.replace(escaped(role(k)), F.lit("|"), F.lit("&#124;"))
+        texts = F.transform(F.slice("turns", k, stop - k), lambda t: escaped(t.text))
+        return F.concat(F.lit("<|"), name, F.lit("|>\n"), F.array_join(texts, AND), F.lit(END))
+
+    return rows.select("conv_id", F.array_join(F.transform("starts", message), "").alias("formatted"))
 
 
 def messages(text: Column) -> Column:

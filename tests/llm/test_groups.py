@@ -265,3 +265,9 @@ def test_chats(spark):
     assert got[1].loss == [rows[0][3], ""] and got[1].formatted.count("<|assistant|>") == 1
     assert [tuple(t) for t in got[2].turns] == [("user", "a")] * 2 and len(got) == 3
     assert "Python" not in out._jdf.queryExecution().toString() and chat.formatted(frame.limit(0)).count() == 0
+
+
+def test_a_chat_of_many_turns(spark):
+    rows = spark.range(6000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 3, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    (r,) = chat.formatted(rows).select("formatted", chat.turns_of(F.col("formatted")).alias("turns")).collect()
+    assert [t.text for t in r.turns] == [f"text {k}" for k in range(6000)] and r.formatted.count("<|end|>") == 2400
