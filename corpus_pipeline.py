@@ -34,7 +34,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group the document with the smallest doc_id, once if it is repeated; documents without a doc_id stay."""
+    """Keep of each group the document with the smallest doc_id; of several rows with it the one with the smallest text. Documents without a doc_id stay."""
     ship(spark)
     groups = jaccard.near_duplicates(docs)
     copies = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
@@ -42,7 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = without(docs, "doc_id", copies)
     if repeated.isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    ordered = ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]
+    least = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*ordered)).alias("least")).select("doc_id", "least.*").select(*docs.columns)
+    return least.unionByName(left.where("doc_id is null"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
