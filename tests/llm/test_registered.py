@@ -5,10 +5,12 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from ternway.llm import bpe, queries
+from ternway.llm.common import texts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -74,6 +76,25 @@ def test_pipeline(spark, tables):
     assert len(final) > 0.6 * len(tables["documents"])
 
 
+def test_pipeline_is_its_plain_version(spark, tables):
+    """Stage by stage on the driver: the models' own scores, all pairs of sets, items inside texts, the library's ids."""
+    from test_groups import plain_groups
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    column = lambda rows: texts(pa.array([r.text for r in rows], pa.string()))
+    net, left = queries.toxicity_net(docs, labels), docs.collect()
+    left = [r for r, score in zip(left, net.score(*column(left)), strict=True) if score < 0.7]
+    model = queries.language_model(spark.createDataFrame(left, docs.schema))
+    _, _, share, grams = model.predict(*column(left))
+    left = [r for r, s, n in zip(left, share, grams, strict=True) if (s >= corpus_pipeline.LEAST_SHARE or n == 0) and any(c.isalpha() for c in r.text or "")]
+    groups = plain_groups([(r.doc_id, r.text) for r in left])
+    left = [r for r in left if groups[r.doc_id][1] == r.doc_id]
+    left = [r for r in left if not any(item in (r.text or "") for item in tables["benchmark"].text)]
+    tok = bpe.tokenizer(queries.tokenizer_path())
+    expected = {(r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for r in left for ids in [tok.encode(r.text or "", add_special_tokens=False).ids]}
+    assert {tuple(r)[:3] for r in corpus_pipeline.run(spark, DATA).collect()} == expected
+
+
 def test_stages_on_odd_documents(spark, odd):
     odd = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for docs in (odd, odd.limit(0)):

@@ -248,6 +248,43 @@ def test_languages(prose_docs, odd, empty):
     assert kept.columns == odd.columns and not {3, 4, 5, 9} & {r.doc_id for r in kept.collect()}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    words = {f"l{k}": ["".join(RNG.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(10 * k + i, " ".join(RNG.choice(words[lang]) for _ in range(40)), lang) for k, lang in enumerate(words) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 10 < 2"))
+    held = langid.predict(docs.where("doc_id % 10 >= 2"), model).join(docs, "doc_id")
+    assert len(model.languages) == 70 and held.where("lang_pred = lang").count() == 140
+
+
+def test_filters_hold_the_frequent_grams(prose_docs):
+    """Every n-gram that a plain count finds frequent is known to its language; others are known as often as the false rate says."""
+    model, counts = langid.fit(prose_docs), {}
+    for r in prose_docs.collect():
+        low = re.sub(rb"[^a-z\x80-\xff]", b" ", r.text.lower().encode())
+        own = counts.setdefault(r.lang, {})
+        for k in range(len(low) - 3):
+            if low[k : k + 4].count(b" ") < 2:
+                own[low[k : k + 4]] = own.get(low[k : k + 4], 0) + 1
+    for k, lang in enumerate(model.languages):
+        own, total = counts[lang], sum(counts[lang].values())
+        frequent = np.array([int.from_bytes(g, "little") for g, n in own.items() if n >= langid.SHARE * total], np.uint32)
+        assert ((model.rows(frequent)[:, 0] >> np.uint64(k)) & np.uint64(1)).all()
+        other = np.random.default_rng(k).integers(1 << 31, 1 << 32, 200_000).astype(np.uint32)
+        assert ((model.rows(other)[:, 0] >> np.uint64(k)) & np.uint64(1)).mean() == pytest.approx(model.false_rate[k], abs=0.01)
+
+
+def test_threshold_is_the_best_cut():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        z, toxic = rng.normal(size=80) * 2, rng.random(80) < 0.3
+        z[toxic] += 2
+        at = toxicity.steps(z)
+        cut = toxicity.threshold(*[np.bincount(at[toxic == k], minlength=3000) for k in (False, True)])
+        right = lambda c: (z[~toxic] < c).mean() + (z[toxic] >= c).mean()  # noqa: E731, B023
+        assert right(cut) >= max(right(c) for c in z) - 2 / min(toxic.sum(), (~toxic).sum()) and -30 < cut < 30
+
+
 def test_toxicity(spark, prose_docs, odd, empty):
     bad = ["stinker", "rotzbube", "vilain"]
     rows = [(r.doc_id, r.text + (f" {bad[r.doc_id // 12 % 3]} {prose(r.lang, 4)}" if r.doc_id % 4 == 0 else ""), r.lang) for r in prose_docs.collect()]
