@@ -156,10 +156,10 @@ WITH leg1 AS (
 )"""
 
 
-def pairs(low: int = 1, high: int = 30, where: str = "true", on: str = "city = origin") -> str:
+def pairs(low: int = 1, high: int = 30, where: str = "true", legs: str = "leg1 JOIN leg2 ON city = origin") -> str:
     return f"""{LEGS}, pairs AS (
   SELECT *, CAST(floor((epoch_us(dep2) - epoch_us(arr)) / 86400000000.0) AS BIGINT) AS stay_days, price1 + price2 AS total
-  FROM leg1 JOIN leg2 ON {on} WHERE {where}
+  FROM {legs} WHERE {where}
 ), j AS (SELECT * FROM pairs WHERE stay_days BETWEEN {low} AND {high})
 """
 
@@ -385,7 +385,8 @@ def combinations_negative_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(exact(spark, sf_dir, min_stay=-5, max_stay=5))
 
 
-TRANSFERS = pairs(on="city = origin OR EXISTS (SELECT 1 FROM near WHERE src = city AND dst = origin AND c1 = c2)").replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)
+ALLOWED = "(SELECT iata AS stop, iata AS airport FROM n UNION SELECT src, dst FROM near WHERE c1 = c2)"
+TRANSFERS = pairs(1, 7, legs=f"leg1 JOIN {ALLOWED} ON stop = city JOIN leg2 ON airport = origin").replace("WITH leg1", f"WITH {NATIONS}, leg1", 1)
 
 
 @query(f"""{TRANSFERS}
@@ -393,7 +394,7 @@ SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days,
   CASE WHEN city <> origin THEN src_name END AS from_city, CASE WHEN city <> origin THEN origin END AS to_airport, CASE WHEN city <> origin THEN dst_name END AS to_city, CASE WHEN city <> origin THEN km END AS distance_km
 FROM j LEFT JOIN near ON src = city AND dst = origin""")
 def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir))
+    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir), max_stay=7)
     t = F.col("airport_transfer")
     return found.select(
         "leg1_pos",
@@ -408,7 +409,7 @@ def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TRANSFERS} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
 def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir))
+    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir), max_stay=7)
     return found.groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
 
 
