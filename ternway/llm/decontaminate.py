@@ -32,8 +32,8 @@ LEAK_WINDOWS = 6
 #: Words that count as units after a number.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons lb lbs oz pound pounds ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh kwh w kw v a hz khz mhz ghz".split()
 NUMBER, NAME, UNIT = 1, 2, 3
-#: Bench windows up to this number go to all tasks of the join; beyond, the join shuffles.
-BROADCAST_WINDOWS = 500_000
+#: Bench windows up to this number, some 200 bytes each, go to all tasks of the join; beyond, the join shuffles.
+BROADCAST_WINDOWS = 100_000
 SLOT = "array<struct<t:int,v:long>>"
 
 _kind = np.zeros(256, np.uint8)

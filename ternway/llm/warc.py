@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ternway.llm.common import scratch_path, written
+from ternway.llm.common import scratch_path, small, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -249,7 +249,7 @@ def merged(runs: DataFrame, ranges: int) -> DataFrame:
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     # one row for each range, so one task can add them up
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return placed.join(F.broadcast(starts), "part").withColumn("history_rank", F.col("start") + F.col("place")).drop("part", "place", "start")
+    return placed.join(small(starts, "starts"), "part").withColumn("history_rank", F.col("start") + F.col("place")).drop("part", "place", "start")
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
