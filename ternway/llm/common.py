@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 19
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,10 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, for sessions whose workers have it nowhere on their path. Once a session.
 
-    Arrow batches get 1,000 rows, unless the session says otherwise: batches of whole texts are large.
+    Arrow batches get a megabyte, unless the session says otherwise: rows may be whole texts.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "1m")
     context = spark.sparkContext
     if getattr(context, "_ternway_shipped", False):
         return
@@ -270,6 +271,34 @@ def in_bit_map(have: bytes, values: np.ndarray) -> np.ndarray:
     return ((bits[(low >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
 
+#: Rows of one key from which a join deals them over several tasks, and over how many.
+HOT_ROWS, SALTS = 1000, 64
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
+    """Rows left-joined with a table that has one row for each key, and in `count` how many rows have it.
+
+    A key of more than HOT_ROWS rows doesn't meet in one task: its rows are dealt by a hash of
+    the column `spread`, and its row of the table goes to all SALTS places. A bit map tells both
+    sides which keys these are; a key that it takes for one by chance is dealt too.
+    """
+    h = F.xxhash64(*keys)
+    hot = table.where(F.col(count) > HOT_ROWS).select(h.alias("h"))
+    n = hot.count()
+    if not n:
+        return rows.join(table, keys, "left")
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(hot, filter_bits(n)))
+
+    @F.pandas_udf("boolean")
+    def is_hot(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bit_map(shared.value, h.to_numpy()))
+
+    salt = f"salt_{uuid.uuid4().hex}"
+    rows = rows.withColumn(salt, F.when(is_hot(h), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    table = table.withColumn(salt, F.explode(F.when(is_hot(h), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.join(table, [*keys, salt], "left").drop(salt)
+
+
 def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key, a long, is not among the one column of ids; rows with a null key stay.
 

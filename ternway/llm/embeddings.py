@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ternway.llm.common import small, written
+from ternway.llm.common import joined, small, written
 from ternway.llm.graph import Forest, components
 
 #: Lines, half width of a window in standard deviations of the projections of a pair at the
@@ -188,9 +188,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, n_lines: int = LIN
     counts = found.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "leader")
     parts = components(found.where("b is not null").select("a", "b"), "vector-components").withColumnRenamed("id", "leader")
     known = placed.select("label", "dim", "embedding", "leader", "copies").join(counts, "leader", "left").join(parts, "leader", "left")
-    joined = rows.withColumn("dim", F.size("embedding")).join(known, ["label", "dim", "embedding"], "left")
+    out = joined(rows.withColumn("dim", F.size("embedding")), written(known, "known"), ["label", "dim", "embedding"], "copies", "vec_id")
     linked = F.col("usable") & F.col("leader").isNotNull()
-    out = joined.select(
+    out = out.select(
         "vec_id",
         F.when(linked, F.coalesce("others", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
         F.when(linked, F.coalesce("component", "leader")).otherwise(F.col("vec_id")).alias("component_id"),

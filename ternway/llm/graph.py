@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import written
+from ternway.llm.common import joined, written
 
 
 class Forest:
@@ -69,7 +69,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Alternates the large-star and small-star steps, each one aggregation and one join, until
     every vertex points at its component's smallest; the number of rounds grows with the
-    logarithm of the graph. Each round is written to the shared folder. Edges with a null end
+    logarithm of the graph. Each round is written to the shared folder. The edges of a vertex with
+    many neighbours are dealt over several tasks. Edges with a null end
     and loops are left out; without edges the result is empty.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
@@ -78,8 +79,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         # large star: all larger neighbours of a vertex move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("n")), name)
+        large = joined(both.where("b > a"), least, ["a"], "n", "b").select(F.col("b").alias("a"), F.col("least").alias("b"))
         # small star: a vertex and its smaller neighbours move to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(low, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(low.select("a", F.col("least").alias("b")))

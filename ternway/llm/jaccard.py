@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ternway.llm.common import bit_map, chunks, filter_bits, in_bit_map, release, texts, white_space_words, windows, written
+from ternway.llm.common import bit_map, chunks, filter_bits, in_bit_map, joined, release, texts, white_space_words, windows, written
 from ternway.llm.graph import Forest, components
 
 #: Counts of texts from which a shingle ranks behind those below.
@@ -488,8 +488,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = written(signatures(docs, width), "sets")
     known = sized.where("doc_id is not null and n_shingles > 0")
-    leaders = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies"))
-    copies = leaders.where("copies > 1").select("n_shingles", "s1", "s2", "leader")
+    leaders = written(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies")), "leaders")
 
     named = docs.where("doc_id is not null")
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -504,10 +503,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     edges = found.where("list is null").select("a", "b").unionByName(lists.mapInArrow(partial(compared, percent), "a long, b long"))
     families = components(edges, "families")
     # equal sets are one: only the leader of each stands for them inside a family
-    single = known.join(copies.where(F.lit(True)), ["n_shingles", "s1", "s2"], "left").where("leader is null or leader = doc_id")
-    single = single.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    single = leaders.groupBy(F.col("leader").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
     members = families.join(single, families.id == single.doc_id).select(F.col("id").alias("doc"), F.col("component").alias("family"), "n_shingles")
     links = components(family_links(members, named, width, percent, block), "links")
-    out = sized.join(copies, ["n_shingles", "s1", "s2"], "left").withColumn("leader", F.coalesce("leader", "doc_id"))
+    out = joined(sized, leaders.where("copies > 1"), ["n_shingles", "s1", "s2"], "copies", "doc_id").withColumn("leader", F.coalesce("leader", "doc_id"))
     out = out.join(links.withColumnRenamed("id", "leader"), "leader", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "leader")).alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ternway.llm.common import scratch_path, small, written
+from ternway.llm.common import joined, scratch_path, small, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -60,9 +60,9 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         url = F.replace(url, F.lit(mark), F.lit(code))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1(F.col("payload").cast("binary")))})
-    same = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(same, ["digest", "bytes"], "left")
-    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    same = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    rows = joined(rows, written(same, "payloads"), ["digest", "bytes"], "copies", "page_id")
+    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first", "copies")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ternway.llm import chat, embeddings, jaccard, warc
+from ternway.llm import chat, common, embeddings, jaccard, warc
 from ternway.llm.common import scratch_path, without
 from ternway.llm.graph import components
 
@@ -31,8 +31,19 @@ def reach(ids, links):
     return {x: root(x) for x in ids}
 
 
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.range(400).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("x"))
+    table = rows.where("k % 4 <> 1").groupBy("k").agg(F.min("x").alias("least"), F.count("*").alias("n"))
+    plan = common.joined(rows, table, ["k"], "n", "x")
+    assert sorted(map(str, plan.collect())) == sorted(map(str, rows.join(table, "k", "left").select(*plan.columns).collect()))
+    assert "salt" in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("hot", [1000, 10])
 @pytest.mark.parametrize("shape", ["line", "star", "random"])
-def test_components(spark, shape):
+def test_components(spark, shape, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     ids = list(range(400))
     RNG.shuffle(ids)
     links = {"line": list(zip(ids, ids[1:])), "star": [(ids[0], x) for x in ids[1:]], "random": [(RNG.choice(ids), RNG.choice(ids)) for _ in range(250)]}[shape]
@@ -241,8 +252,8 @@ def test_loser_tree():
 def test_archive_file_is_plain_warc(spark):
     path = scratch_path(spark, "test-warc")
     warc.write(spark.createDataFrame([(1, "http://a.b/", "hé\r\n\r\n")], "page_id long, url string, html string"), path)
-    (r,) = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
-    ((head, block),) = list(warc.records(r.content))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    ((head, block),) = [x for r in files for x in warc.records(r.content)]
     assert head["WARC-Type"] == "response" and block.endswith("\r\n\r\nhé\r\n\r\n".encode()) and int(head["Content-Length"]) == len(block)
 
 
