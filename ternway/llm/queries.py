@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ternway.llm import bpe, chat, decontaminate, embeddings, huffman, jaccard, langid, licenses, toxicity, warc
+from ternway.llm import bpe, chat, decontaminate, divergence, embeddings, huffman, jaccard, langid, licenses, pii, toxicity, warc, whitening
 from ternway.llm.common import remainder, ship
 
 
@@ -190,9 +190,72 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened by their exact covariance. A deviation beyond a long is null."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text, counted and listed."""
+    return pii.digested(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), said AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total FROM groups g LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+own AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (total + 2 * v) AS p
+  FROM totals g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), every AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM counted GROUP BY lang, term
+), summed AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), listed AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN summed s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT o.lang, o.source, 'term', o.term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM own o JOIN every e ON e.lang = o.lang AND e.term = o.term WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM listed)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+REGISTERED = (
+    op1_language_id,
+    op2_licenses,
+    op3_toxicity,
+    op4_token_files,
+    op5_decontaminate,
+    op6_ngram_jaccard,
+    op7_bpe,
+    op8_warc,
+    op9_embedding_near_dup,
+    op10_chat_format,
+    op11_whitening,
+    op12_pii,
+    op13_divergence,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_files, op5_decontaminate, op6_ngram_jaccard, op7_bpe, op8_warc, op9_embedding_near_dup, op10_chat_format)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": JACCARD_SQL, "op8_warc": WARC_SQL, "op9_embedding_near_dup": VECTOR_SQL, "op10_chat_format": CHAT_SQL}
+    return {"op6_ngram_jaccard": JACCARD_SQL, "op8_warc": WARC_SQL, "op9_embedding_near_dup": VECTOR_SQL, "op10_chat_format": CHAT_SQL, "op13_divergence": DIVERGENCE_SQL}
