@@ -17,7 +17,8 @@ from ternway.functions.values import present
 
 DAY = 86_400
 _DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-_TIMED, _AWARE, _DAY = rf"^{_DATE}[T ][0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}$", r"T[0-9:]+Z$", rf"^{_DATE}$"
+_CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+_WHOLE, _AWARE, _DAY = rf"^{_DATE}(T{_CLOCK}Z?| {_CLOCK})?$", r"T[0-9:]+Z$", rf"^{_DATE}$"
 
 
 def without_offset(text: Column) -> Column:
@@ -31,7 +32,8 @@ def date_part(text: Column) -> Column:
 
 def aware(text: Column) -> Column:
     """Whether a date-time ends in Z after a time with T."""
-    return F.coalesce(without_offset(text).rlike(_AWARE), F.lit(False))
+    clean = without_offset(text)
+    return F.when(clean.endswith("Z"), clean.rlike(_AWARE)).otherwise(F.lit(False))
 
 
 def seconds(text: Column) -> Column:
@@ -39,9 +41,11 @@ def seconds(text: Column) -> Column:
 
     The text is read as if it were UTC, whatever the session's zone.
     """
-    clean = F.regexp_replace(without_offset(text), r"(T[0-9:]+)Z$", "$1")
-    whole = F.when(clean.rlike(_TIMED), clean).when(clean.rlike(_DAY), F.concat(clean, F.lit("T00:00:00")))
-    return F.unix_seconds(F.concat(whole, F.lit("Z")).try_cast("timestamp"))
+    clean = without_offset(text)
+    bare = F.when(clean.endswith("Z"), F.left(clean, F.length(clean) - 1)).otherwise(clean)
+    # a cast to timestamp_ntz looks up no zone, unlike one of a text with Z
+    at = F.when(clean.rlike(_WHOLE), bare).try_cast("timestamp_ntz")
+    return (at - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second").cast("long")
 
 
 def parsed(text: Column) -> Column:
@@ -55,10 +59,19 @@ def day_number(text: Column) -> Column:
     return F.unix_date(F.when(day.rlike(_DAY), day).try_cast("date")).cast("long")
 
 
+def day_of(text: Column, sec: Column) -> Column:
+    """`day_number` of a text whose `seconds` are known: their day, unless the text has a blank instead of T."""
+    return F.when(sec.isNull(), day_number(text)).when(~F.contains(text, F.lit(" ")), F.floor(sec / DAY))
+
+
+def _micros(minutes: Column) -> Column:
+    return F.rint(minutes.cast("double") * 60_000_000.0).cast("long")
+
+
 def arrival_seconds(departed: Column, minutes: Column) -> Column:
     """Seconds of a departure (seconds) plus minutes; null where that is no whole second, as its text does not parse then."""
-    exact = (departed + minutes.cast("double") * 60).cast("decimal(18,6)")
-    return F.when(exact == F.floor(exact), exact.cast("long"))
+    micros = _micros(minutes)
+    return F.when(micros % 1_000_000 == 0, departed + F.floor(micros / 1_000_000))
 
 
 def arrival_text(departure: Column, minutes: Column, departed: Column | None = None, marked: Column | None = None) -> Column:
@@ -67,10 +80,9 @@ def arrival_text(departure: Column, minutes: Column, departed: Column | None = N
     departed, marked: `seconds` and `aware` of the departure, if they are at hand.
     """
     at = seconds(departure) if departed is None else departed
-    exact = (at + minutes.cast("double") * 60).cast("decimal(18,6)")
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    text = F.replace((zero + F.make_dt_interval(secs=exact)).cast("string"), F.lit(" "), F.lit("T"))
-    text = F.rpad(text, F.when(F.length(text) > 19, 26).otherwise(19), F.lit("0"))  # fractions have six places
+    text = F.replace(F.timestamp_add("MICROSECOND", at * 1_000_000 + _micros(minutes), zero).cast("string"), F.lit(" "), F.lit("T"))
+    text = F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)  # fractions have six places
     return F.coalesce(F.concat(text, F.when(aware(departure) if marked is None else marked, "+00:00").otherwise("")), departure)
 
 

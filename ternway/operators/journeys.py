@@ -16,7 +16,7 @@ COLUMNS = ("total_price", "stay_days", "intermediate_city", "leg1", "leg2", "air
 
 def _sides(first: DataFrame, second: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     left = first.where("city is not null").withColumn("airport", F.col("city")) if allowed is None else first.join(allowed, "city")
-    left = left.select("city", "airport", F.col("pos").alias("leg1_pos"), F.col("leg").alias("leg1"), *[F.col(c).alias(f"{c}1") for c in TIME])
+    left = left.select("city", "airport", F.col("pos").alias("leg1_pos"), F.col("leg").alias("leg1"), *[F.col(c).alias(f"{c}1") for c in TIME], *[c for c in ("most",) if c in first.columns])
     right = second.where("origin is not null").select(F.col("origin").alias("airport"), F.col("pos").alias("leg2_pos"), F.col("leg").alias("leg2"), *[F.col(c).alias(f"{c}2") for c in TIME])
     return left, right
 
@@ -70,10 +70,13 @@ def journeys(first: DataFrame, second: DataFrame, network: Network | None = None
 
     Legs meet at the first leg's city or, with a network, at an airport near it. airport_transfer
     is null for those that meet in the city; its names and distance are null unless both
-    airports are in the network.
+    airports are in the network. First legs may have a column `most`, the price that their
+    journeys don't exceed.
     """
     allowed = None if network is None else allowed_airports(first, network, max_km, same_country)
     rows = pair(first, second, allowed, min_stay, max_stay, banded)
+    if "most" in first.columns:
+        rows = rows.where(F.col("leg1.price") + F.col("leg2.price") <= F.col("most"))
     shown, tables = transfer(network)
     for table, on in tables:
         rows = rows.join(table, on, "left")

@@ -70,4 +70,4 @@ def second_legs(flights: DataFrame, depart_from: str | None = None, depart_to: s
     rows = _timed((flights if ok is None else flights.where(ok)).where(present(F.col("departure_at")).isNotNull()))
     given, computed = _known()
     leg = _leg(F.when(given, F.col("arrival_at")).when(computed, _computed()).otherwise(F.col("departure_at")))
-    return rows.select("pos", text_or(F.col("origin"), F.col("search_origin")).alias("origin"), leg.alias("leg"), F.col("_sec").alias("sec"), F.col("_aware").alias("aware"), times.day_number(F.col("departure_at")).alias("day"))
+    return rows.select("pos", text_or(F.col("origin"), F.col("search_origin")).alias("origin"), leg.alias("leg"), F.col("_sec").alias("sec"), F.col("_aware").alias("aware"), times.day_of(F.col("departure_at"), F.col("_sec")).alias("day"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from ternway.operators import journeys, legs, prices
+from ternway.operators import legs, prices
+from ternway.operators.meeting import Meeting
 from ternway.sources.files import Flights, Network
 
 
@@ -47,33 +48,40 @@ class Options:
 
 @dataclass
 class Result:
-    """All journeys, and the tables made from them. Cache `journeys` before using several."""
+    """The tables that a search gives. Only `journeys`, `listed` and the median in `statistics` pair all flights."""
 
-    journeys: DataFrame
+    meeting: Meeting
     options: Options
 
+    @property
+    def journeys(self) -> DataFrame:
+        return self.meeting.journeys
+
     @property
     def statistics(self) -> DataFrame:
-        return prices.price_stats(self.journeys)
+        return self.meeting.statistics()
 
     @property
     def cities(self) -> DataFrame:
-        return prices.city_stats_ordered(self.journeys)
+        return self.meeting.cities_ordered()
 
     @property
     def top(self) -> DataFrame:
-        return prices.cheapest(self.journeys, self.options.top, self.options.unique_cities)
+        return self.meeting.cheapest(self.options.top, self.options.unique_cities)
 
     @property
     def listed(self) -> DataFrame:
         """What the result file lists: all journeys, or the cheapest of each city, by price."""
-        rows = prices.cheapest_per_city(self.journeys) if self.options.unique_cities else self.journeys
+        rows = self.meeting.cheapest_per_city() if self.options.unique_cities else self.journeys
         return rows.orderBy(*prices.ORDER)
 
+    def kept(self) -> Result:
+        """The same with what first legs find written, for several tables."""
+        return replace(self, meeting=self.meeting.kept())
+
 
 def search(flights: Flights, network: Network | None = None, options: Options = Options()) -> Result:
     """Pair both legs of collected flights; a network counts only if transfers are on."""
     first = legs.first_legs(flights.leg1, *options.first_range(), via=options.via)
     second = legs.second_legs(flights.leg2, *options.second_range())
-    found = journeys.journeys(first, second, network if options.transfers else None, options.min_stay, options.max_stay, options.max_km, options.same_country)
-    return Result(found, options)
+    return Result(Meeting(first, second, network if options.transfers else None, options.min_stay, options.max_stay, options.max_km, options.same_country), options)

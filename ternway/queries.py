@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ternway.functions import geo, times, values
-from ternway.operators import collection, journeys, legs, network, prices
+from ternway.operators import collection, journeys, legs, network
+from ternway.operators.meeting import Meeting
 from ternway.plans.search import Options
 from ternway.sinks import documents
 from ternway.sources.files import Network, parse_network
@@ -134,11 +135,16 @@ def nations(spark: SparkSession, sf_dir: str) -> Network:
     return network.build_network(nation_airports(spark, sf_dir))
 
 
-def exact(spark: SparkSession, sf_dir: str, banded: bool = True, **o: object) -> DataFrame:
+def meeting(spark: SparkSession, sf_dir: str, network: Network | None = None, **o: object) -> Meeting:
+    """All first and second legs; without a network they meet in the city itself."""
     options = Options(**o)
     first = legs.first_legs(flights1(spark, sf_dir), *options.first_range(), via=options.via)
     second = legs.second_legs(flights2(spark, sf_dir), *options.second_range())
-    return journeys.journeys(first, second, None, options.min_stay, options.max_stay, banded=banded)
+    return Meeting(first, second, network, options.min_stay, options.max_stay)
+
+
+def exact(spark: SparkSession, sf_dir: str, **o: object) -> DataFrame:
+    return meeting(spark, sf_dir, **o).journeys
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -372,7 +378,9 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{pairs()} {FLAT}")
 def combinations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(exact(spark, sf_dir, banded=False))
+    """The join by airport alone."""
+    m = meeting(spark, sf_dir)
+    return flat(journeys.journeys(m.first, m.second, None, m.min_stay, m.max_stay, banded=False))
 
 
 @query(f"{pairs()} {FLAT}")
@@ -394,7 +402,7 @@ SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days,
   CASE WHEN city <> origin THEN src_name END AS from_city, CASE WHEN city <> origin THEN origin END AS to_airport, CASE WHEN city <> origin THEN dst_name END AS to_city, CASE WHEN city <> origin THEN km END AS distance_km
 FROM j LEFT JOIN near ON src = city AND dst = origin""")
 def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir), max_stay=7)
+    found = meeting(spark, sf_dir, nations(spark, sf_dir), max_stay=7).journeys
     t = F.col("airport_transfer")
     return found.select(
         "leg1_pos",
@@ -409,7 +417,7 @@ def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TRANSFERS} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
 def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = journeys.journeys(legs.first_legs(flights1(spark, sf_dir)), legs.second_legs(flights2(spark, sf_dir)), nations(spark, sf_dir), max_stay=7)
+    found = meeting(spark, sf_dir, nations(spark, sf_dir), max_stay=7).journeys
     return found.groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
 
 
@@ -418,28 +426,28 @@ def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{pairs()} SELECT {STATS} FROM j")
 def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.price_stats(exact(spark, sf_dir))
+    return meeting(spark, sf_dir).statistics()
 
 
 @query(f"{pairs(9000, 9001)} SELECT {STATS} FROM j")
 def price_stats_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.price_stats(exact(spark, sf_dir, min_stay=9000, max_stay=9001))
+    return meeting(spark, sf_dir, min_stay=9000, max_stay=9001).statistics()
 
 
 @query(f"{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 2) AS avg_price FROM j GROUP BY city")
 def city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.city_stats(exact(spark, sf_dir))
+    return meeting(spark, sf_dir).cities()
 
 
 @query(f"""{pairs()} SELECT city AS intermediate_city, count(*) AS count, min(total) AS min_price, round(avg(total), 2) AS avg_price,
 row_number() OVER (ORDER BY min(total), min((pos1, pos2))) AS rank FROM j GROUP BY city""")
 def city_stats_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.city_stats_ordered(exact(spark, sf_dir))
+    return meeting(spark, sf_dir).cities_ordered()
 
 
 @query(f"{pairs()} SELECT city AS intermediate_city, {STATS}, CAST(grouping(city) AS BIGINT) AS is_total FROM j GROUP BY GROUPING SETS ((), (city))")
 def price_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.stats_by_city_and_all(exact(spark, sf_dir))
+    return meeting(spark, sf_dir).statistics_by_city_and_all()
 
 
 RANKED = "SELECT row_number() OVER (ORDER BY total, pos1, pos2) AS rank, pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM {0}"
@@ -452,17 +460,17 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 @query(f"{pairs()} {RANKED.format('j')} ORDER BY total, pos1, pos2 LIMIT 10")
 def top_n_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(prices.cheapest(exact(spark, sf_dir), 10))
+    return ranked(meeting(spark, sf_dir).cheapest(10))
 
 
 @query(f"{pairs()}, {FIRST} SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, city AS intermediate_city, stay_days, round(total, 2) AS total_price FROM u")
 def unique_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(prices.cheapest_per_city(exact(spark, sf_dir)))
+    return flat(meeting(spark, sf_dir).cheapest_per_city())
 
 
 @query(f"{pairs()}, {FIRST} {RANKED.format('u')} ORDER BY total, pos1, pos2 LIMIT 5")
 def unique_cities_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(prices.cheapest(exact(spark, sf_dir), 5, unique_cities=True))
+    return ranked(meeting(spark, sf_dir).cheapest(5, unique_cities=True))
 
 
 # --- collection, files and reports
@@ -486,7 +494,7 @@ def union_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 origin || ' (' || n_name || ') → END' AS leg2_route, strftime(dep2, '%Y-%m-%dT%H:%M:%S') AS leg2_departure, strftime(dep2, '%Y-%m-%dT%H:%M:%S') AS leg2_arrival, '' AS leg2_duration, '' AS leg2_flight, '' AS transfer
 FROM j JOIN n ON iata = city ORDER BY 1 LIMIT 10""")
 def format_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents.report_rows(prices.cheapest(exact(spark, sf_dir), 10), nations(spark, sf_dir))
+    rows = documents.report_rows(meeting(spark, sf_dir).cheapest(10), nations(spark, sf_dir))
     return rows.drop("leg1_price", "leg2_price", "leg1_airline", "leg2_airline")
 
 

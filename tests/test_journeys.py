@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ternway.functions import geo, times, values
-from ternway.operators import collection, journeys, legs, network, prices
+from ternway.operators import collection, journeys, legs, network, partners, prices
+from ternway.operators.meeting import Meeting
 from ternway.plans.search import Options, search
 from ternway.sinks import documents
 from ternway.sources.files import Network, parse_network, read_flight_file, read_network, write_network_tables
@@ -91,6 +92,8 @@ def test_plans(flights, near):
     assert "CartesianProduct" not in plan(result.journeys) and "BroadcastNestedLoopJoin" not in plan(result.journeys)
     assert "TakeOrderedAndProject" in plan(result.top)
     assert "WindowGroupLimit" in plan(prices.cheapest_per_city(result.journeys))
+    # figures of cities come from sums by second: no row has both flights
+    assert "total_price" not in plan(result.cities)
 
 
 def test_result_document_and_report(flights, near, tmp_path):
@@ -120,16 +123,80 @@ def test_upper_median(spark, n):
     assert prices.price_stats(rows).first().median_price == float(n // 2)
 
 
-def test_medians_between_bounds_of_a_sketch(spark, monkeypatch):
-    """With a coarse sketch the bounds are far apart and hold ties; the median is still that of the sorted prices."""
-    monkeypatch.setattr(prices, "ACCURACY", 20)
+@pytest.mark.parametrize(("radix", "shares", "deviations"), [(4096, prices.SHARES, 4), (2, prices.SHARES, 4), (3, (0.0005, 0.001), 0.0)])
+def test_medians_by_selection(spark, monkeypatch, radix, shares, deviations):
+    """Few parts a round, and bounds so near that they miss the median: it is still that of the sorted prices."""
+    for name, value in (("RADIX", radix), ("SHARES", shares), ("DEVIATIONS", deviations), ("SAMPLE", 4)):
+        monkeypatch.setattr(prices, name, value)
     rng = random.Random(1)
-    for n in (1, 2, 9, 500, 4001):
-        rows = [(rng.choice("abc"), float(rng.choice([rng.randrange(-50, 50), 7]))) for _ in range(n)]
-        frame = spark.createDataFrame(rows, "intermediate_city string, total_price double")
+    for n in (1, 2, 301):
+        rows = [(rng.choice("abc"), float(rng.choice([rng.randrange(-50, 50), 7, 0.1, 1e300, -1e-300])), rng.randrange(40)) for _ in range(n)]
+        frame = spark.createDataFrame(rows, "intermediate_city string, total_price double, leg1_pos long")
         got = {r.intermediate_city: r.median_price for r in prices.stats_by_city_and_all(frame).collect()}
         middle = lambda x: sorted(x)[len(x) // 2]
-        assert got == {None: middle([p for _, p in rows])} | {c: middle([p for d, p in rows if d == c]) for c in {c for c, _ in rows}}
+        assert got == {None: middle([p for _, p, _ in rows])} | {c: middle([p for d, p, _ in rows if d == c]) for c in {c for c, _, _ in rows}}
+
+
+def test_median_has_no_window_over_everything(spark):
+    import inspect
+
+    assert "Window.orderBy" not in inspect.getsource(prices.summary) + inspect.getsource(prices._selected)
+    rows = spark.createDataFrame([(7.0, k) for k in range(300)], "total_price double, leg1_pos long")
+    assert prices.price_stats(rows).first().median_price == 7.0
+
+
+def odd_legs(spark, seed, n):
+    """Both legs with every kind of time, many ties and repeated places."""
+    rng = random.Random(seed)
+
+    def text():
+        day, clock = f"2026-{rng.choice([2, 3]):02}-{rng.randrange(1, 29):02}", f"{rng.choice([0, 0, 9, 23]):02}:{rng.choice([0, 59]):02}:{rng.choice([0, 1]):02}"
+        return rng.choice([f"{day}T{clock}", f"{day}T{clock}", f"{day}T{clock}+03:00", f"{day}T{clock}Z", f"{day} {clock}", day, f"{day}T09:00", "soon", f"x T{clock}"])
+
+    flight = lambda k, **o: {"pos": rng.randrange(n) if k % 5 == 0 else k, "departure_at": text(), "price": float(rng.choice([5, 5, 7, 20, 0.1])), "duration": rng.choice([None, 60.0, 0.5, 90.0]), **o}
+    kind = "pos long, origin string, destination string, search_origin string, search_destination string, departure_at string, arrival_at string, duration double, price double, value double, airline string, flight_number string, link string"
+    first = [flight(k, destination=rng.choice(["IST", "SVO", "DXB"]), arrival_at=rng.choice([None, text()])) for k in range(n)]
+    second = [flight(k, origin=rng.choice(["IST", "DME", "SVO", "VKO"])) for k in range(n)]
+    return [spark.createDataFrame(rows, kind) for rows in (first, second)]
+
+
+@pytest.mark.parametrize(("seed", "stay"), [(2, (0, 0)), (3, (-4, 9)), (6, (5, 4))])
+def test_pieces_are_the_pairs(spark, near, monkeypatch, seed, stay):
+    """Figures and rankings from pieces are those of all pairs, also where places repeat."""
+    leg1, leg2 = odd_legs(spark, seed, 120)
+    m = Meeting(legs.first_legs(leg1), legs.second_legs(leg2), near, *stay, same_country=False).kept()
+    rows = sorted((r.total_price, r.leg1_pos, r.leg2_pos, r.intermediate_city) for r in m.journeys.collect())
+    by_city = {}
+    for r in rows:
+        by_city.setdefault(r[3], []).append(r)
+    got = {r.city: r for r in partners.figures(m.pieces, "city", first=True).collect()}
+    assert {c: r["count"] for c, r in got.items()} == {c: len(x) for c, x in by_city.items()}
+    for c, x in by_city.items():
+        assert got[c].min_price == x[0][0] and got[c].max_price == x[-1][0] and got[c].avg_price == pytest.approx(sum(r[0] for r in x) / len(x), abs=0.006)
+        assert tuple(got[c].first) == min(r[1:3] for r in x)
+    ranked = lambda q: [(r.total_price, r.leg1_pos, r.leg2_pos) for r in q.orderBy("rank").collect()]
+    for n, many in ((7, 100), (50, -1000)):
+        monkeypatch.setattr(partners, "MANY", many)
+        assert ranked(m.cheapest(n)) == [r[:3] for r in rows[:n]]
+    firsts = sorted(x[0] for x in by_city.values())
+    assert sorted((r.total_price, r.leg1_pos, r.leg2_pos) for r in m.cheapest_per_city().collect()) == [r[:3] for r in firsts]
+    assert ranked(m.cheapest(2, unique_cities=True)) == [r[:3] for r in firsts[:2]]
+    stats = m.statistics().first()
+    assert stats.total_combinations == len(rows) and stats.median_price == (rows[len(rows) // 2][0] if rows else 0)
+
+
+def test_rankings_pair_few_flights(spark):
+    """Of many pairs only those of the best first legs, no dearer than the last that is listed, are ever made."""
+    at = lambda k: F.date_format(F.timestamp_seconds(F.lit(1_770_000_000) + k), "yyyy-MM-dd'T'HH:mm:ss")
+    flights = spark.range(3000).select(F.col("id").alias("pos"), F.lit("IST").alias("origin"), F.lit("IST").alias("destination"), at(F.col("id") * 977).alias("departure_at"), at(F.col("id") * 977).alias("arrival_at"), (F.col("id") * 7919 % 10007 + 1).cast("double").alias("price"))
+    flights = flights.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("duration", "double"), ("value", "double"), ("search_origin", "string"), ("search_destination", "string"), ("airline", "string"), ("flight_number", "string"), ("link", "string"))])
+    m = Meeting(legs.first_legs(flights), legs.second_legs(flights)).kept()
+    total = partners.figures(m.pieces).first()["count"]
+    for few, one in ([f(n) for n in (10, None)] for f in (m._leaders, lambda n: partners.leaders(m.first, m.pieces, n))):
+        assert total > 300_000 and few.count() <= 20 and one.count() <= 2
+        assert 10 <= m._journeys(few).count() <= 100 and m._journeys(one).count() == 1
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "total_price" not in plan(m.cities_ordered())
 
 
 def test_network_round_trips(spark, near, tmp_path):
