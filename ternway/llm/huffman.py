@@ -140,8 +140,8 @@ def read_block(block: bytes, ids: np.ndarray, size: np.ndarray) -> tuple[list[in
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None:
     """Encode texts with the tokenizers library, end each with end_id, and write them in ascending order of doc_id.
 
-    A null text is empty and has the end alone; null doc_ids come first, equal ones next to each
-    other. Other columns don't matter. The ids are computed once: they go, compressed, to ranges of doc_id
+    A null text is empty and has the end alone; null doc_ids come first. Rows of one
+    doc_id stand by the bytes of their compressed ids, so their order follows from their texts alone. Other columns don't matter. The ids are computed once: they go, compressed, to ranges of doc_id
     found from quantiles, and are kept in the shared folder between the two passes, counting and
     coding. A document lies in one block, so the longest one sets the size of the largest block.
     An empty table gives empty tables; more than 2**MAX_LENGTH different ids are a ValueError.
@@ -171,7 +171,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
         release()
 
     rows = docs.mapInArrow(encoded, "doc_id long, part int, ids binary")
-    rows = rows.repartitionById(len(ranges) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = rows.repartitionById(len(ranges) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     shared_folder(spark)
     rows = rows.checkpoint()
 

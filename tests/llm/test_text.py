@@ -405,3 +405,14 @@ def test_leaks(spark, odd, empty):
     assert set(found) == plain_leaks({(d, t) for d, t in docs}, items)
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_token_files_do_not_depend_on_the_order_of_rows(spark):
+    """Rows of one doc_id with different texts, dealt and ordered in several ways."""
+    rows = [(k // 4, f"text {k % 3} of {k}") for k in range(12)] + [(None, "a"), (None, "b"), (2, None)]
+    answers = set()
+    for seed in range(4):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        frame = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(1 + seed)
+        answers.add(str(sorted(map(str, map(tuple, huffman.round_trip(frame, PATH).collect())))))
+    assert len(answers) == 1
