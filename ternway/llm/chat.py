@@ -1,9 +1,9 @@
 """Chat formatting with Spark expressions only, and the way back.
 
-A conversation's turns are collected as structs and sorted. An array aggregation finds the turns
-at which a message starts, those whose role differs from the one before; the turns up to the
-next start are merged into it. Texts are joined once, so a conversation of many turns costs no
-more than its length. The output of a message is
+A conversation's turns are collected as structs and sorted. Messages start at the turns whose role
+differs from the one before; the turns up to the next start are merged into one by an array
+aggregation. Each turn is looked at a fixed number of times and each text is joined once, so a
+conversation of many turns costs no more than its length. The output of a message is
 
     <|role|>line end, text, <|and|>, text of the next merged turn, ..., <|end|>line end
 
@@ -43,7 +43,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     turn = F.struct("turn", "role", "text")
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     role = lambda k: F.get(F.col("turns"), k - 1)["role"]  # noqa: E731  of the k-th turn, from 1; null before the first
-    starts = F.aggregate(F.sequence(F.lit(1), F.size("turns")), F.array().cast("array<int>"), lambda found, k: F.when(role(k).eqNullSafe(role(k - 1)), found).otherwise(F.concat(found, F.array(k))))
+    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: ~role(k).eqNullSafe(role(k - 1)))
     # the starts are a column of their own, so that they are found once
     rows = sorted_turns.withColumn("starts", starts)
 

@@ -282,3 +282,20 @@ def test_a_chat_of_many_turns(spark):
     rows = spark.range(6000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 3, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     (r,) = chat.formatted(rows).select("formatted", chat.turns_of(F.col("formatted")).alias("turns")).collect()
     assert [t.text for t in r.turns] == [f"text {k}" for k in range(6000)] and r.formatted.count("<|end|>") == 2400
+
+
+def test_long_conversations_take_linear_time(spark):
+    """Alternating turns: each is a message of its own."""
+    import time
+
+    from ternway.llm import chat
+
+    def took(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("text"))
+        began = time.time()
+        text = chat.formatted(turns).first().formatted
+        assert text.count(chat.END) == n
+        return time.time() - began
+
+    took(1000)
+    assert took(80_000) < 3 * took(40_000) + 2
