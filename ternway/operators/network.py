@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ternway.functions import geo
@@ -18,19 +20,37 @@ def upserted(airports: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("iata_code").alias("iata")).agg(last, F.min("pos").alias("pos")).select("iata", "last.name", "last.municipality", "last.country", "last.coordinates", "last.at.lat", "last.at.lon", "pos")
 
 
+def _cells(band: Column, height: float, max_km: float) -> Column:
+    """Into how many cells of equal longitude a band of latitude is cut, so that no two places max_km apart are further away than the next cell.
+
+    Places of the band may be near places of the bands beside it, so the latitude nearest to a
+    pole of all three counts. Where it comes too near the pole the band is one cell.
+    """
+    highest = F.greatest(F.abs(band - 1), F.abs(band + 2)) * height
+    reach = math.sin(min(max(max_km, 0.0) / geo.RADIUS_KM / 2, math.pi / 2))
+    part = reach / F.cos(F.radians(F.least(highest, F.lit(89.999))))
+    width = F.degrees(2 * F.asin(F.least(part, F.lit(1.0)))) * 1.0001 + 1e-6
+    return F.when((highest >= 89.999) | (part >= 1), F.lit(1)).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+
 def within_radius(airports: DataFrame, max_km: float) -> DataFrame:
     """(src, dst, distance_km, dst_pos) of all ordered pairs of airports (iata, lat, lon, pos) at most max_km apart.
 
-    Airports are dealt to bands of latitude a little higher than max_km; one side stands in its
-    band and the two next to it, so each pair meets once. The exact distance decides.
+    Airports are dealt to bands of latitude a little higher than max_km and within them to cells
+    of longitude a little wider, fewer towards the poles, around the globe. One side stands in
+    its cell; the other looks in its own, the next ones, and those of the bands beside it, so
+    each pair meets once. The exact distance decides.
     """
     rows = airports.where(geo.finite(F.col("lat")) & geo.finite(F.col("lon"))).select("iata", "lat", "lon", "pos")
     height = max(max_km, 0.0) / geo.KM_PER_DEGREE * 1.0001 + 1e-6
-    band = F.floor(F.col("lat") / height)
-    here = rows.select(F.col("iata").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    there = rows.select(F.col("iata").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("pos").alias("dst_pos"), band.alias("band"))
+    band, n = F.floor(F.col("lat") / height), _cells(F.col("band"), height, max_km)
+    cell = F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 360.0 * n)
+    there = rows.withColumn("band", band).select(F.col("iata").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("pos").alias("dst_pos"), "band", F.least(cell, n - 1).alias("cell"))
+    here = rows.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    near = F.array_distinct(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda k: F.pmod(F.least(cell, n - 1) + k, n)))
+    here = here.select(F.col("iata").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", F.explode(near).alias("cell"))
     km = geo.distance_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return here.join(there, "band").where("src <> dst").withColumn("km", km).where(F.col("km") <= max_km).select("src", "dst", F.round("km", 2).alias("distance_km"), "dst_pos")
+    return here.join(there, ["band", "cell"]).where("src <> dst").withColumn("km", km).where(F.col("km") <= max_km).select("src", "dst", F.round("km", 2).alias("distance_km"), "dst_pos")
 
 
 def within_radius_brute(airports: DataFrame, max_km: float) -> DataFrame:

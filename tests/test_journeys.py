@@ -217,10 +217,12 @@ def test_country_rules(spark):
     assert got(same_country=False) == [("LED", "HEL"), ("LED", "LED"), ("LED", "NOT"), ("NEW", "NEW"), ("XXX", "HEL"), ("XXX", "XXX")]
 
 
-def test_bands_of_latitude_are_brute_force(spark):
+def test_cells_of_the_sphere_are_brute_force(spark):
     rows = spark.range(300).select(F.concat(F.lit("A"), "id").alias("iata"), (F.rand(3) * 180 - 90).alias("lat"), (F.rand(4) * 360 - 180).alias("lon"), F.col("id").alias("pos"))
-    rows = rows.union(spark.createDataFrame([("NAN", float("nan"), 0.0, 900), ("SAME", 1.0, 1.0, 901), ("TWIN", 1.0, 1.0, 902)], rows.schema)).cache()
-    for km in (0.0, 100.0, 1500.0, 30000.0):
+    edge = [("E", 10.0, 179.9), ("W", 10.2, -179.9), ("FAR", 10.1, 540.1), ("N1", 89.9, 5.0), ("N2", 89.8, -170.0), ("POLE", 90.0, 77.0), ("S1", -89.95, 0.0), ("S2", -89.9, 180.0), ("HIGH", 81.0, 0.0), ("NEXT", 81.2, 5.0)]
+    odd = [("NAN", float("nan"), 0.0), ("SAME", 1.0, 1.0), ("TWIN", 1.0, 1.0), *edge]
+    rows = rows.union(spark.createDataFrame([(*r, 900 + k) for k, r in enumerate(odd)], rows.schema)).cache()
+    for km in (0.0, 100.0, 1500.0, 9000.0, 30000.0):
         a, b = (sorted(map(tuple, f(rows, km).select("src", "dst", "distance_km").collect())) for f in (network.within_radius, network.within_radius_brute))
         assert a == b and ("SAME", "TWIN", 0.0) in a
 
