@@ -249,57 +249,57 @@ def stay_days_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), times.stay_days(F.lit("1998-01-01T11:00:00"), _text("o_orderdate")).alias("stay_days"))
 
 
-PARSED = [
-    (1, "2026-02-19T10:00:00+03:00", "2026-02-19 10:00:00", False),
-    (2, "2026-02-19T10:00:00-03:00", "2026-02-19 10:00:00", False),
-    (3, "2026-02-19T10:00:00Z", "2026-02-19 10:00:00", True),
-    (4, "2026-02-19T10:00:00", "2026-02-19 10:00:00", False),
-    (5, "2026-02-19 10:00:00", "2026-02-19 10:00:00", False),
-    (6, "2026-02-19", "2026-02-19 00:00:00", False),
-    (7, "2026-2-9T1:2:3", "2026-02-09 01:02:03", False),
-    (8, "2026-02-19T10:00:00.5", None, False),
-    (9, "2026-02-19T10:00", None, False),
-    (10, "2026-02-30T10:00:00", None, False),
-    (11, "", None, False),
-    (12, "soon", None, False),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, " + (f"CAST(epoch(TIMESTAMP '{t}') AS BIGINT)" if t else "CAST(NULL AS BIGINT)") + f", {str(z).lower()})" for k, _, t, z in PARSED) + ") AS t(id, sec, aware)")
-def parse_datetime_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, ", ".join(f"({k}, '{s}')" for k, s, _, _ in PARSED), "id, text").withColumn("at", times.parsed(F.col("text")))
-    return rows.select("id", F.col("at.sec").alias("sec"), F.col("at.aware").alias("aware"))
+def chosen(key: str, forms: list[F.Column]) -> F.Column:
+    """One of the forms for each row, by a key modulo their number."""
+    out = F.lit(None)
+    for k, form in enumerate(forms):
+        out = F.when(F.col(key) % len(forms) == k, form).otherwise(out)
+    return out
+
 
+ORDERED = "CAST(floor(epoch(o_orderdate)) AS BIGINT)"
 
-STAYS = [
-    ("2026-02-19T14:00:00", "2026-02-20T13:00:00+03:00", 0),
-    ("2026-02-20T14:00:00", "2026-02-20T13:00:00", -1),
-    ("2026-02-20T06:00:00+04:00", "2026-02-22T05:59:59+04:00", 1),
-    ("2026-02-19T14:00:00", "2026-02-22T14:00:00Z", 3),
-    ("2026-02-19T14:00:00Z", "2026-02-22T13:00:00Z", 2),
-    ("2026-02-19T23:00:00", "2026-02-20T01:00:00", 0),
-    ("2026-02-19T23:00", "2026-02-20T01:00:00", 1),
-    ("never", "2026-02-20T01:00:00", 0),
-]
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN k <= 5 THEN {ORDERED} WHEN k = 6 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) END AS sec, k = 2 AS aware
+FROM (SELECT *, o_orderkey % 10 AS k FROM orders)""")
+def parse_datetime_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of all orders in all forms that are read, and in some that aren't."""
+    at, day = _text("o_orderdate"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    with_mark = lambda mark: F.concat(at, F.lit(mark))
+    forms = [with_mark("+03:00"), with_mark("-03:00"), with_mark("Z"), at, F.replace(at, F.lit("T"), F.lit(" ")), F.date_format("o_orderdate", "yyyy-M-d'T'H:m:s"), day, with_mark(".5"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"), F.concat(F.lit("soon "), day)]
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), times.parsed(chosen("o_orderkey", forms)).alias("at"))
+    return rows.select("id", "at.sec", "at.aware")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({d} AS BIGINT))" for k, (_, _, d) in enumerate(STAYS)) + ") AS t(id, days)")
+@query(f"""SELECT o_orderkey AS id, CAST(CASE WHEN k IN (0, 2) THEN floor(({ORDERED} - epoch(TIMESTAMP '1998-01-01 11:00:00')) / 86400) WHEN k IN (1, 3) THEN date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE))
+WHEN k = 4 THEN 0 ELSE floor((epoch(CAST(o_orderdate AS DATE)) - epoch(TIMESTAMP '1998-01-01 11:00:00')) / 86400) END AS BIGINT) AS days FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""")
 def stay_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b, _) in enumerate(STAYS)), "id, a, b")
-    return rows.select("id", times.stay_days(F.col("a"), F.col("b")).alias("days"))
+    """Stays up to all orders' dates: by times, by dates where one is marked Z or has no seconds, 0 where nothing is known."""
+    at, day, since = _text("o_orderdate"), F.date_format("o_orderdate", "yyyy-MM-dd"), "1998-01-01T11:00:00"
+    arrivals = [F.lit(x) for x in (since, f"{since}Z", f"{since}Z", since[:16], "never", since)]
+    departures = [at, at, F.concat(at, F.lit("Z")), at, at, day]
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), times.stay_days(chosen("o_orderkey", arrivals), chosen("o_orderkey", departures)).alias("days"))
 
 
-@query("SELECT * FROM (VALUES (1, 5.0::DOUBLE, 'X'), (2, 7.0::DOUBLE, 'Y'), (3, 7.0::DOUBLE, 'Y'), (4, 0.0::DOUBLE, NULL), (5, 0.0::DOUBLE, '')) AS t(id, price, city)")
+@query("""SELECT id, CASE WHEN p IS NOT NULL AND p <> 0 THEN p ELSE coalesce(v, 0) END AS price, CASE WHEN a <> '' THEN a ELSE b END AS city FROM (
+  SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN NULL ELSE c_acctbal END AS p, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.0::DOUBLE ELSE 7.5::DOUBLE END AS v,
+    CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c_mktsegment END AS a, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS b FROM customer)""")
 def falsy_coalesce_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = "(1, 5D, 7D, 'X', 'Y'), (2, 0D, 7D, '', 'Y'), (3, CAST(NULL AS DOUBLE), 7D, CAST(NULL AS STRING), 'Y'), (4, 0D, NULL, '', NULL), (5, NULL, 0D, NULL, '')"
-    rows = literals(spark, given, "id, p, v, a, b")
-    return rows.select("id", values.price_of(F.col("p"), F.col("v")).alias("price"), values.text_or(F.col("a"), F.col("b")).alias("city"))
+    """Prices and cities of which some are absent, zero or empty, for all customers."""
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    price = values.price_of(chosen("c_custkey", [zero, none, F.col("c_acctbal"), F.col("c_acctbal")]), chosen("c_custkey", [none, zero, F.lit(7.5)]))
+    segment = F.col("c_mktsegment")
+    city = values.text_or(chosen("c_custkey", [F.lit(""), F.lit(None).cast("string"), segment, segment, segment]), chosen("c_custkey", [F.col("c_name"), F.lit(None).cast("string")]))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), price.alias("price"), city.alias("city"))
 
 
-@query("SELECT * FROM (VALUES (1, 55.97::DOUBLE, 37.41::DOUBLE), (2, -1.5::DOUBLE, 200.0::DOUBLE), (3, NULL, NULL), (4, NULL, NULL), (5, 1.0::DOUBLE, 2.0::DOUBLE), (6, NULL, NULL), (7, 10.0::DOUBLE, 0.5::DOUBLE)) AS t(id, lat, lon)")
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 6 IN (0, 1, 4) THEN s_acctbal END AS lat, CASE WHEN s_suppkey % 6 IN (0, 1, 4) THEN s_suppkey * 0.5::DOUBLE END AS lon FROM supplier")
 def parse_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, "(1, '55.97, 37.41'), (2, ' -1.5 ,200'), (3, '12'), (4, 'x, 3'), (5, '1,2,3'), (6, '1d, 2'), (7, '1e1, .5')", "id, c")
-    return rows.withColumn("at", geo.located(F.col("c"))).select("id", "at.lat", "at.lon")
+    """Two numbers of each supplier as coordinates, some with blanks, a third part, a missing one, or what is no number."""
+    x, y = F.col("s_acctbal").cast("string"), (F.col("s_suppkey") * F.lit(0.5)).cast("string")
+    part = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [part(x, ", ", y), part(" ", x, " ,", y), x, part(x, ", north"), part(x, ",", y, ",3"), part(x, "d, ", y)]
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), geo.located(chosen("s_suppkey", forms)).alias("at")).select("id", "at.lat", "at.lon")
 
 
 PLACES = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 90 AS lat, CAST(embedding[2] AS DOUBLE) * 180 AS lon, label FROM embeddings"
@@ -315,10 +315,15 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, F.col("y.pos") == F.col("x.pos") + 1).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"), F.round(km, 2).alias("km"))
 
 
-@query("SELECT * FROM (VALUES (1, '12,345', '12345.00', '2ч 5м', 'SVO (Moscow)'), (2, '2', '2.50', '', 'SVO'), (3, '4', '3.50', '0ч 59м', 'SVO')) AS t(id, a, b, c, d)")
+@query("""SELECT c_custkey AS id, format('{:,}', CAST(round_even(abs(c_acctbal), 0) AS BIGINT)) AS a, printf('%.2f', c_acctbal) AS b,
+CASE WHEN c_custkey % 200 = 0 THEN '' ELSE (c_custkey % 200) // 60 || 'ч ' || (c_custkey % 200) % 60 || 'м' END AS c,
+CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || ' (' || c_mktsegment || ')' END AS d FROM customer""")
 def format_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, "(1, 12345D, 125D, 'Moscow'), (2, 2.5D, 0D, ''), (3, 3.5D, 59D, NULL)", "id, x, m, city")
-    return rows.select("id", values.thousands(F.col("x")).alias("a"), values.two_places(F.col("x")).alias("b"), values.hours_minutes(F.col("m")).alias("c"), values.labelled(F.lit("SVO"), F.col("city")).alias("d"))
+    """What a report shows of numbers, durations and names, for all customers."""
+    city = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise(F.when(F.col("c_custkey") % 2 == 0, ""))
+    minutes = (F.col("c_custkey") % 200).cast("double")
+    shown = {"a": values.thousands(F.abs("c_acctbal")), "b": values.two_places(F.col("c_acctbal")), "c": values.hours_minutes(minutes), "d": values.labelled(F.col("c_name"), city)}
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[c.alias(k) for k, c in shown.items()])
 
 
 # --- the network

@@ -258,3 +258,46 @@ def test_requests(spark):
     with pytest.raises(ValueError):
         collection.date_series(spark, "20260219x", "2026-02-20")
     assert collection.requests(spark, "MOW", None, ("2026-02-19", "2026-02-20"), ("2026-02-25", "2026-02-26")).count() == 2
+
+
+PARSED = [
+    (1, "2026-02-19T10:00:00+03:00", "2026-02-19 10:00:00", False),
+    (2, "2026-02-19T10:00:00-03:00", "2026-02-19 10:00:00", False),
+    (3, "2026-02-19T10:00:00Z", "2026-02-19 10:00:00", True),
+    (4, "2026-02-19T10:00:00", "2026-02-19 10:00:00", False),
+    (5, "2026-02-19 10:00:00", "2026-02-19 10:00:00", False),
+    (6, "2026-02-19", "2026-02-19 00:00:00", False),
+    (7, "2026-2-9T1:2:3", "2026-02-09 01:02:03", False),
+    (8, "2026-02-19T10:00:00.5", None, False),
+    (9, "2026-02-19T10:00", None, False),
+    (10, "2026-02-30T10:00:00", None, False),
+    (11, "", None, False),
+    (12, "soon", None, False),
+]
+
+
+def test_forms_of_times(spark):
+    rows = spark.createDataFrame([(k, t) for k, t, _, _ in PARSED], "id int, t string").withColumn("at", times.parsed(F.col("t"))).select("id", F.timestamp_seconds("at.sec").cast("string").alias("s"), "at.aware")
+    assert sorted(map(tuple, rows.collect())) == [(k, s, aware) for k, _, s, aware in PARSED]
+
+
+STAYS = [
+    ("2026-02-19T14:00:00", "2026-02-20T13:00:00+03:00", 0),
+    ("2026-02-20T14:00:00", "2026-02-20T13:00:00", -1),
+    ("2026-02-20T06:00:00+04:00", "2026-02-22T05:59:59+04:00", 1),
+    ("2026-02-19T14:00:00", "2026-02-22T14:00:00Z", 3),
+    ("2026-02-19T14:00:00Z", "2026-02-22T13:00:00Z", 2),
+    ("2026-02-19T23:00:00", "2026-02-20T01:00:00", 0),
+    ("2026-02-19T23:00", "2026-02-20T01:00:00", 1),
+    ("never", "2026-02-20T01:00:00", 0),
+]
+
+
+def test_stays_that_times_or_dates_tell(spark):
+    rows = spark.createDataFrame(STAYS, "a string, b string, d long")
+    assert [r.got for r in rows.select(times.stay_days(F.col("a"), F.col("b")).alias("got")).collect()] == [d for _, _, d in STAYS]
+
+
+def test_coordinates(spark):
+    rows = spark.createDataFrame([("55.97, 37.41",), (" -1.5 ,200",), ("12",), ("x, 3",), ("1,2,3",), ("1d, 2",), ("1e1, .5",)], "c string")
+    assert [tuple(r.at) for r in rows.select(geo.located(F.col("c")).alias("at")).collect()] == [(55.97, 37.41), (-1.5, 200.0), (None, None), (None, None), (1.0, 2.0), (None, None), (10.0, 0.5)]
