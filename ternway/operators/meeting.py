@@ -70,6 +70,8 @@ class Meeting:
         Bounds by day leave few of them. A stay of exactly one length has no whole day inside, and
         with many equal prices many are left; then pieces tell them apart.
         """
+        if n == 0:
+            return self.first.withColumn("most", F.lit(0.0)).where(F.lit(False))
         if self.max_stay > self.min_stay:
             found = kept(partners.candidates(self.first, self.second, self._allowed(), self.min_stay, self.max_stay, n), "candidates")
             if found.count() <= partners.MANY + 10 * (n or 0):

@@ -115,6 +115,7 @@ def test_result_document_and_report(flights, near, tmp_path):
 def test_negative_top(flights):
     with pytest.raises(ValueError):
         search(flights, None, Options(top=-1)).top  # noqa: B018
+    assert search(flights, None, Options(top=0)).top.count() == 0
 
 
 @pytest.mark.parametrize("n", range(1, 7))
