@@ -8,24 +8,6 @@ FLIGHT = (
 )
 RANGE = "struct<start: string, end: string>"
 METADATA = f"origin string, destination string, intermediate_airports array<string>, leg1_date_range {RANGE}, currency string, collected_at string, total_flights bigint, leg2_date_range {RANGE}"
-
-
-def struct(fields: str) -> str:
-    return "struct<" + ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in _split(fields))) + ">"
-
-
-def _split(fields: str) -> list[str]:
-    """Fields of a DDL list at its top level."""
-    out, depth, start = [], 0, 0
-    for k, c in enumerate(fields):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            out.append(fields[start:k])
-            start = k + 1
-    return [*out, fields[start:]]
-
-
-FLIGHT_FILE = f"metadata {struct(METADATA)}, leg1_flights array<{struct(FLIGHT)}>, leg2_flights array<{struct(FLIGHT)}>"
 AIRPORT = "iata_code string, coordinates string, name string, municipality string, iso_country string"
 #: Neighbours are read as text, as older files list bare codes.
 NETWORK = "map<string, struct<name: string, municipality: string, country: string, coordinates: string, nearby_airports: array<string>>>"

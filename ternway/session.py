@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,20 @@ def session(name: str = "ternway", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may have it nowhere on their path. Once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_ternway_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="ternway-")) / "ternway.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(bundle))
+    context._ternway_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; where it is unset, in a folder of its own, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ternway import schemas
 from ternway.functions.values import present
+from ternway.sources import ranges
 
 
 @dataclass
@@ -21,18 +22,19 @@ class Flights:
     metadata: DataFrame
 
 
-def read_flight_file(spark: SparkSession, path: str) -> Flights:
-    """Read flight files: one JSON document with the flights of both legs each.
+def read_flight_file(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> Flights:
+    """Read flight files: one JSON document with the flights of both legs each, by many tasks each.
 
-    A missing path raises AnalysisException; a missing list of flights is an empty one. A
-    document is one row, so write large collections as tables (`write_flight_tables`) instead.
+    A missing path raises AnalysisException, a document that is no JSON object ValueError; a
+    missing list of flights is an empty one, and what isn't an object in a list is no flight.
     """
-    document = spark.read.schema(schemas.FLIGHT_FILE).option("multiLine", True).json(path)
+    found = ranges.documents(spark, path, range_bytes)
 
     def leg(name: str) -> DataFrame:
-        return document.select(F.posexplode(F.coalesce(F.col(name), F.array().cast(f"array<{schemas.struct(schemas.FLIGHT)}>"))).alias("pos", "flight")).select(F.col("pos").cast("long"), "flight.*")
+        return ranges.objects(spark, found, name).select("pos", F.from_json("value", schemas.FLIGHT).alias("flight")).select("pos", "flight.*")
 
-    return Flights(leg("leg1_flights"), leg("leg2_flights"), document.select("metadata.*"))
+    metadata = ranges.member(spark, found, "metadata").select(F.from_json("value", schemas.METADATA).alias("m")).select("m.*")
+    return Flights(leg("leg1_flights"), leg("leg2_flights"), metadata)
 
 
 def read_flight_tables(spark: SparkSession, path: str) -> Flights:
