@@ -7,7 +7,6 @@ nations airports.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -191,13 +190,16 @@ def scan_leg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs.second_legs(flights2(spark, sf_dir)).select("pos", "origin", "leg.departure_at", "leg.price")
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-19', TIMESTAMP '2026-03-02', INTERVAL 1 DAY) AS t(d)")
+@query("SELECT o_orderkey AS pos, strftime(o_orderdate + to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS day FROM orders, LATERAL (SELECT unnest(range(o_orderkey % 5)) AS k)")
 def date_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.date_series(spark, "2026-02-19", "2026-03-02").unionByName(collection.date_series(spark, "2026-02-19", "2026-02-01"))
+    """All days from an order's on: as many as its key says, none for a reversed range."""
+    first = F.col("o_orderdate").cast("date")
+    days = times.days(first, F.date_add(first, (F.col("o_orderkey") % 5 - 1).cast("int")))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.explode(days).alias("day")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 REQUESTS_SQL = """
-WITH s AS (SELECT unnest(['IST', 'DXB']) AS stop),
+WITH s AS (SELECT 'T' || c_custkey AS stop FROM customer),
 d1 AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-19', TIMESTAMP '2026-02-24', INTERVAL 1 DAY) AS t(d)),
 d2 AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM generate_series(TIMESTAMP '2026-02-25', TIMESTAMP '2026-03-05', INTERVAL 1 DAY) AS t(d))
 SELECT 'leg1' AS leg, 'MOW' AS origin, stop AS destination, day AS date FROM s, d1
@@ -207,13 +209,17 @@ UNION ALL SELECT 'leg2', stop, 'BKK', day FROM s, d2
 
 @query(REQUESTS_SQL)
 def route_date_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.requests(spark, "MOW", "BKK", ("2026-02-19", "2026-02-24"), ("2026-02-25", "2026-03-05"), ["IST", "DXB"])
+    """Requests by way of each customer's town, which stand in a table."""
+    towns = _table(spark, sf_dir, "customer").select(F.concat(F.lit("T"), "c_custkey").alias("town"))
+    return collection.requests(spark, "MOW", "BKK", ("2026-02-19", "2026-02-24"), ("2026-02-25", "2026-03-05"), towns)
 
 
-@query("SELECT 15 AS requests, 6 AS leg1, 9 AS leg2")
+@query("WITH d AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), n AS (SELECT b - a + 1 AS n FROM d) SELECT 2 * n AS requests, n AS leg1, n AS leg2 FROM n")
 def request_counts_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = collection.requests(spark, "MOW", "BKK", ("2026-02-19", "2026-02-24"), ("2026-02-25", "2026-03-05"))
-    return asked.agg(F.count("*").cast("int").alias("requests"), F.count_if(F.col("leg") == "leg1").cast("int").alias("leg1"), F.count_if(F.col("leg") == "leg2").cast("int").alias("leg2"))
+    """Requests to and from anywhere for all days from the first order's to the last one's."""
+    a, b = _table(spark, sf_dir, "orders").agg(*[F.date_format(f("o_orderdate"), "yyyy-MM-dd") for f in (F.min, F.max)]).first()
+    asked = collection.requests(spark, "MOW", "BKK", (a, b), (a, b))
+    return asked.agg(F.count("*").alias("requests"), F.count_if(F.col("leg") == "leg1").alias("leg1"), F.count_if(F.col("leg") == "leg2").alias("leg2"))
 
 
 # --- filters
@@ -503,12 +509,16 @@ def format_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("leg1_price", "leg2_price", "leg1_airline", "leg2_airline")
 
 
-LEGACY = {"SVO": {"name": "Sheremetyevo", "municipality": "Moscow", "country": "RU", "coordinates": "55.97, 37.41", "nearby_airports": ["CKL", "VKO"]}, "LED": {"name": "Pulkovo", "country": "RU", "nearby_airports": [{"iata": "HEL", "distance_km": 95.5}]}}
-
-
-@query("SELECT * FROM (VALUES ('SVO', 'CKL', 0.0::DOUBLE, CAST(0 AS BIGINT)), ('SVO', 'VKO', 0.0::DOUBLE, CAST(1 AS BIGINT)), ('LED', 'HEL', 95.5::DOUBLE, CAST(0 AS BIGINT))) AS t(src, dst, distance_km, pos)")
+@query("SELECT 'T' || c_custkey AS src, 'N' || (c_nationkey + k) AS dst, CASE WHEN (c_custkey + k) % 2 = 0 THEN 0.0 ELSE k * 1.5 END::DOUBLE AS distance_km, k AS pos FROM customer, LATERAL (SELECT unnest(range(c_custkey % 4)) AS k)")
 def legacy_network_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_network(spark.createDataFrame([(json.dumps(LEGACY),)], "value string")).edges
+    """Networks as JSON text, one for each customer's town, whose neighbours are bare codes, at distance 0, beside objects."""
+    rows = _table(spark, sf_dir, "customer")
+    code = lambda k: F.concat(F.lit("N"), F.col("c_nationkey") + k)
+    bare = lambda k: F.concat(F.lit('"'), code(k), F.lit('"'))
+    near = lambda k: F.when((F.col("c_custkey") + k) % 2 == 0, bare(k)).otherwise(F.to_json(F.struct(code(k).alias("iata"), (k * 1.5).alias("distance_km"))))
+    places = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k < F.col("c_custkey") % 4)
+    text = F.concat(F.lit('{"T'), "c_custkey", F.lit('": {"name": "'), "c_name", F.lit('", "nearby_airports": ['), F.array_join(F.transform(places, near), ", "), F.lit("]}}"))
+    return parse_network(rows.select(text.alias("value"))).edges
 
 
 @query(f"{pairs()} SELECT pos1 AS leg1_pos, pos2 AS leg2_pos, total AS total_price, city AS destination FROM j")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import os
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +16,12 @@ from ternway.plans.collect import collect, request_counts
 from ternway.plans.network import network_at
 from ternway.plans.search import Options, search
 from ternway.queries import SQL, literals, query
-from ternway.session import shared_path
+from ternway.session import shared_path, ship
 from ternway.sinks import documents
+from ternway.sinks.pieces import Part, write_document
 from ternway.sources.fares import FaresReader
 from ternway.sources.files import Flights, read_airports, read_flight_file, read_network
-
-
-def folder() -> str:
-    """A new folder of the driver, for documents that the driver itself writes and reads."""
-    return tempfile.mkdtemp(prefix="ternway-")
+from ternway.storage import located
 
 
 def flights_of(frame: DataFrame, **columns: F.Column) -> DataFrame:
@@ -64,7 +61,7 @@ WITH first AS (
 
 
 def saved(spark: SparkSession, sf_dir: str) -> str:
-    path = f"{folder()}/flights.json"
+    path = shared_path(spark, "flights")
     documents.save_flights(shop_flights(spark, sf_dir), path)
     return path
 
@@ -83,20 +80,24 @@ def flight_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_flight_file(spark, saved(spark, sf_dir)).metadata.select("origin", "destination", F.array_join("intermediate_airports", ",").alias("stops"), F.col("leg1_date_range.start").alias("first_day"), F.col("leg2_date_range.end").alias("last_day"), "total_flights")
 
 
-@query("SELECT * FROM (VALUES ('no list', CAST(0 AS BIGINT)), ('empty list', CAST(0 AS BIGINT)), ('missing file', CAST(-1 AS BIGINT))) AS t(file, flights)")
+@query("SELECT 'no list' AS file, CAST(0 AS BIGINT) AS leg1, count(*) AS leg2 FROM customer UNION ALL SELECT 'empty list', CAST(0 AS BIGINT), count(*) FROM customer UNION ALL SELECT 'missing file', CAST(-1 AS BIGINT), CAST(-1 AS BIGINT)")
 def flight_file_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A missing and an empty list of flights, and a missing file."""
-    at, rows = folder(), []
-    for name, text in (("no list", '{"metadata": {}}'), ("empty list", '{"leg1_flights": []}'), ("missing file", None)):
-        path = f"{at}/{name.replace(' ', '-')}.json"
-        if text:
-            with open(path, "w") as f:
-                f.write(text)
+    """Flight files with a missing and with an empty list of first legs beside all second ones, and a file that isn't there."""
+    second = shop_flights(spark, sf_dir).leg2
+    texts = second.select("pos", F.to_json(F.struct(*[c for c in second.columns if c != "pos"])).alias("value"))
+    heads = {"no list": '{"leg2_flights": [', "empty list": '{"leg1_flights": [], "leg2_flights": [', "missing file": None}
+    out = []
+    for name, head in heads.items():
+        path = shared_path(spark, "gaps")
+        if head:
+            write_document(spark, [Part(head, texts, ("pos",))], "]}", path)
         try:
-            rows.append((name, read_flight_file(spark, path).leg1.count()))
+            found = read_flight_file(spark, path)
+            counts = found.leg1.agg(F.count("*").alias("leg1")).crossJoin(found.leg2.agg(F.count("*").alias("leg2")))
         except AnalysisException:
-            rows.append((name, -1))
-    return spark.createDataFrame(rows, "file string, flights long")
+            counts = spark.range(1).select(F.lit(-1).cast("long").alias("leg1"), F.lit(-1).cast("long").alias("leg2"))
+        out.append(counts.select(F.lit(name).alias("file"), "leg1", "leg2"))
+    return collection.union_all(out)
 
 
 # --- second legs
@@ -133,26 +134,49 @@ def date_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> str:
-    """Answers, as files, to requests from HUB to a nation's code on two days, and from anywhere to END on one: the nation's customers are flights. N3 has no answer, N4's is no JSON."""
-    at = folder()
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 3").orderBy("c_custkey").collect()  # small: a fixture
-    for day in ("2026-02-19", "2026-02-20"):
-        for k in range(3):
-            flights = [{"origin": "HUB", "destination": f"N{k}", "departure_at": f"{day}T10:00:00", "price": r.c_acctbal, "flight_number": r.c_custkey} for r in rows if r.c_nationkey == k and (day.endswith("19") or k)]
-            with open(f"{at}/HUB-N{k}-{day}.json", "w") as f:
-                json.dump({"data": flights}, f)
-        with open(f"{at}/HUB-N4-{day}.json", "w") as f:
-            f.write("{")
+    """Answers, as files, to requests from HUB to all nations' codes on two days: the nation's customers are flights.
+
+    N0 has flights on the first day only. N3's answers are no JSON, N4 has none.
+    """
+    at, days = shared_path(spark, "answers"), F.array(F.lit("2026-02-19"), F.lit("2026-02-20"))
+    code = F.concat(F.lit("N"), "c_nationkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey <> 4").withColumn("day", F.explode(days)).where("c_nationkey > 0 or day = '2026-02-19'")
+    flight = F.to_json(F.struct(F.lit("HUB").alias("origin"), code.alias("destination"), F.col("c_acctbal").alias("price"), F.col("c_custkey").alias("flight_number")))
+    named = rows.select(F.concat(F.lit("HUB-"), code, F.lit("-"), "day", F.lit(".json")).alias("file"), "c_custkey", F.when(F.col("c_nationkey") == 3, "{").otherwise(flight).alias("flight"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = located(at)
+        system.create_dir(folder, recursive=True)
+        out, current = None, None
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("flight").to_pylist(), strict=True):
+                if file != current:
+                    if out:
+                        out.write(b"]}")
+                        out.close()
+                    out, current = system.open_output_stream(f"{folder}/{file}"), file
+                    out.write(b'{"data": [' + text.encode())
+                else:
+                    out.write(b",\n" + text.encode())
+            yield batch.select(["file"]).slice(0, 0)
+        if out:
+            out.write(b"]}")
+            out.close()
+
+    ship(spark)
+    named.repartition("file").sortWithinPartitions("file", "c_custkey").select("file", "flight").mapInArrow(write, "file string").count()
     return at
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return collection.requests(spark, "HUB", None, ("2026-02-19", "2026-02-20"), None, [f"N{k}" for k in range(5)])
+    return collection.requests(spark, "HUB", None, ("2026-02-19", "2026-02-20"), None, STOPS)
 
 
+STOPS = [f"N{k}" for k in range(25)]
+#: An answer has a thousand flights at most, unless asked otherwise.
 ANSWERS = """WITH d AS (SELECT unnest(['2026-02-19', '2026-02-20']) AS day), f AS (
   SELECT c_custkey, c_nationkey, c_acctbal, day, row_number() OVER (PARTITION BY c_nationkey, day ORDER BY c_custkey) AS place
-  FROM customer, d WHERE c_nationkey < 3 AND (day = '2026-02-19' OR c_nationkey > 0))"""
+  FROM customer, d WHERE c_nationkey NOT IN (3, 4) AND (day = '2026-02-19' OR c_nationkey > 0) QUALIFY place <= 1000)"""
 
 
 @query(f"{ANSWERS} SELECT 'leg1' AS leg, 'HUB' AS search_origin, 'N' || c_nationkey AS search_destination, day AS search_date, 'N' || c_nationkey AS destination, CAST(c_custkey AS VARCHAR) AS flight_number, c_acctbal AS price FROM f WHERE place <= 4")
@@ -162,7 +186,7 @@ def recorded_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("leg", "search_origin", "search_destination", "search_date", "destination", "flight_number", "price")
 
 
-@query(f"{ANSWERS}, s AS (SELECT unnest(range(5)) AS k) SELECT 'N' || k AS destination, d.day AS date, count(c_custkey) AS flights FROM s CROSS JOIN d LEFT JOIN f ON c_nationkey = k AND f.day = d.day GROUP BY k, d.day")
+@query(f"{ANSWERS}, s AS (SELECT unnest(range(25)) AS k) SELECT 'N' || k AS destination, d.day AS date, count(c_custkey) AS flights FROM s CROSS JOIN d LEFT JOIN f ON c_nationkey = k AND f.day = d.day GROUP BY k, d.day")
 def flights_by_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collection.fetched(asked(spark), recorded=recorded(spark, sf_dir), errors="empty")
     return request_counts(asked(spark), found).select("destination", "date", "flights")
@@ -171,23 +195,24 @@ def flights_by_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ANSWERS} SELECT 'HUB' AS origin, string_agg(DISTINCT 'N' || c_nationkey, ',' ORDER BY 'N' || c_nationkey) AS stops, count(*) AS total_flights, true AS dated, CAST(0 AS BIGINT) AS leg2 FROM f")
 def collected_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection whose second leg is left out, as its days are reversed."""
-    found = collect(spark, "HUB", "END", ("2026-02-19", "2026-02-20"), ("2026-02-22", "2026-02-21"), [f"N{k}" for k in range(5)], recorded=recorded(spark, sf_dir), errors="empty")
+    found = collect(spark, "HUB", "END", ("2026-02-19", "2026-02-20"), ("2026-02-22", "2026-02-21"), STOPS, recorded=recorded(spark, sf_dir), errors="empty")
     stops = collection.discovered(found.leg1).first().intermediate_airports
     return found.metadata.select("origin", F.lit(",".join(stops)).alias("stops"), "total_flights", F.col("collected_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("dated"), F.lit(found.leg2.count()).alias("leg2"))
 
 
-@query("SELECT * FROM (VALUES ('both', CAST(2 AS BIGINT), CAST(3 AS BIGINT)), ('no destination', 2, 0), ('no days', 2, 0), ('reversed second days', 2, 0), ('reversed first days', -1, -1)) AS t(asked, leg1, leg2)")
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT asked, CAST(leg1 * n AS BIGINT) AS leg1, CAST(leg2 * n AS BIGINT) AS leg2 FROM n, (VALUES ('both', 2, 3), ('no destination', 2, 0), ('no days', 2, 0), ('reversed second days', 2, 0), ('reversed first days', 0, 0)) AS t(asked, leg1, leg2)")
 def second_leg_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many requests there are with and without what second legs need; reversed first days are an error."""
+    """How many requests there are by way of each customer's town, with and without what second legs need; reversed first days are an error and ask nothing."""
     two, three = ("2026-02-19", "2026-02-20"), ("2026-02-21", "2026-02-23")
+    towns = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("T"), "c_custkey").alias("town"))
     rows = []
     for name, destination, days1, days2 in (("both", "END", two, three), ("no destination", None, two, three), ("no days", "END", two, None), ("reversed second days", "END", two, three[::-1]), ("reversed first days", "END", two[::-1], three)):
         try:
-            found = {r.leg: r["count"] for r in collection.requests(spark, "HUB", destination, days1, days2).groupBy("leg").count().collect()}
-            rows.append((name, found.get("leg1", 0), found.get("leg2", 0)))
+            found = collection.requests(spark, "HUB", destination, days1, days2, towns)
         except ValueError:
-            rows.append((name, -1, -1))
-    return spark.createDataFrame(rows, "asked string, leg1 long, leg2 long")
+            found = spark.createDataFrame([], "leg string")
+        rows.append(found.agg(F.lit(name).alias("asked"), F.count_if(F.col("leg") == "leg1").alias("leg1"), F.count_if(F.col("leg") == "leg2").alias("leg2")))
+    return collection.union_all(rows)
 
 
 @query("SELECT 'secret' AS token, '' AS without")
@@ -212,7 +237,7 @@ def airports_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {queries.NATIONS} SELECT src, dst, km AS distance_km FROM near")
 def network_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A network written as a JSON document and read again."""
-    path = f"{folder()}/network.json"
+    path = f"{shared_path(spark, 'network')}.json"
     documents.save_network(queries.nations(spark, sf_dir), path)
     return read_network(spark, path).edges.select("src", "dst", "distance_km")
 
@@ -245,7 +270,7 @@ CHEAP = f"{SHOP}, j AS (SELECT f.pos AS pos1, s.pos AS pos2, city, f.price + s.p
 @query(f"{CHEAP} SELECT round(total, 2) AS total_price, stay_days, city AS intermediate_city, 'SU' AS airline FROM j WHERE stay_days BETWEEN 1 AND 5")
 def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command line's search, whose result document is read again: it lists all journeys."""
-    flights, out = saved(spark, sf_dir), f"{folder()}/result.json"
+    flights, out = saved(spark, sf_dir), shared_path(spark, "result")
     if cli.main(["search", flights, "--max-stay", "5", "--disable-airport-transfers", "--output", out]):
         raise AssertionError("the search failed")
     rows = spark.read.schema("combinations array<struct<total_price:double,stay_days:long,intermediate_city:string,leg1:struct<airline:string>>>").option("multiLine", True).json(out)
@@ -263,11 +288,11 @@ def report_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ANSWERS}, {queries.NATIONS} SELECT 'collect' AS task, count(*) AS n FROM f UNION ALL SELECT 'network', count(*) FROM near UNION ALL SELECT 'search', CAST(0 AS BIGINT)")
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three tasks of the command line, and how many flights, neighbours and journeys their documents hold."""
-    at = folder()
+    at = shared_path(spark, "tasks")
     airports, flights, near, result = shared_path(spark, "airports"), f"{at}/f.json", f"{at}/n.json", f"{at}/r.json"
     queries.nation_airports(spark, sf_dir).drop("pos").write.parquet(airports)
     tasks = [
-        ["collect", "HUB", "--leg1-dates", "2026-02-19", "2026-02-20", "--intermediate", *[f"N{k}" for k in range(5)], "--recorded", recorded(spark, sf_dir), "--output", flights],
+        ["collect", "HUB", "--leg1-dates", "2026-02-19", "2026-02-20", "--intermediate", *STOPS, "--recorded", recorded(spark, sf_dir), "--output", flights],
         ["network", airports, "--output", near],
         ["search", flights, "--airport-network", near, "--output", result],
     ]
