@@ -71,7 +71,7 @@ def build_network(airports: DataFrame, max_km: float = 100.0) -> Network:
     order = F.struct("distance_km", "dst_pos", "dst")
     near = within_radius(nodes, max_km).groupBy("src").agg(F.array_sort(F.collect_list(order)).alias("near"))
     edges = near.select("src", F.posexplode("near").alias("pos", "n")).select("src", "n.dst", "n.distance_km", F.col("pos").cast("long").alias("pos"))
-    return Network(nodes.select("iata", "name", "municipality", "country", "coordinates", "pos"), edges)
+    return Network(nodes.select("iata", "name", "municipality", "country", "coordinates", "pos"), edges, max_km)
 
 
 def nested(network: Network) -> DataFrame:

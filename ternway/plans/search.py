@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from ternway.operators import legs, prices
 from ternway.operators.meeting import Meeting
 from ternway.sources.files import Flights, Network
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Options:
@@ -81,7 +84,12 @@ class Result:
 
 
 def search(flights: Flights, network: Network | None = None, options: Options = Options()) -> Result:
-    """Pair both legs of collected flights; a network counts only if transfers are on."""
+    """Pair both legs of collected flights; a network counts only if transfers are on.
+
+    A warning is logged if airports are asked for that are farther apart than the network tells of.
+    """
+    if options.transfers and network is not None and network.max_km is not None and options.max_km > network.max_km:
+        log.warning("the network holds airports up to %g km from each other, not %g", network.max_km, options.max_km)
     first = legs.first_legs(flights.leg1, *options.first_range(), via=options.via)
     second = legs.second_legs(flights.leg2, *options.second_range())
     return Result(Meeting(first, second, network if options.transfers else None, options.min_stay, options.max_stay, options.max_km, options.same_country), options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -62,10 +63,15 @@ def read_airports(spark: SparkSession, path: str, format: str = "parquet", **opt
 
 @dataclass
 class Network:
-    """Airports (iata, name, municipality, country, coordinates, pos) and their neighbours (src, dst, distance_km, pos)."""
+    """Airports (iata, name, municipality, country, coordinates, pos) and their neighbours (src, dst, distance_km, pos), up to max_km where that is known."""
 
     airports: DataFrame
     edges: DataFrame
+    max_km: float | None = None
+
+
+#: What tells of a finished build.
+MANIFEST = "build string, max_km double, built_at timestamp"
 
 
 def parse_network(document: DataFrame) -> Network:
@@ -83,13 +89,33 @@ def parse_network(document: DataFrame) -> Network:
 
 
 def read_network(spark: SparkSession, path: str) -> Network:
-    """Read a network: the tables of `write_network_tables`, or a JSON document."""
+    """Read a network: the newest of those that `write_network_tables` finished, or a JSON document.
+
+    Where there is neither, AnalysisException or, if builds were begun and none finished, FileNotFoundError is raised.
+    """
     try:
-        return Network(spark.read.parquet(f"{path}/airports"), spark.read.parquet(f"{path}/edges"))
+        manifests = spark.read.schema(MANIFEST).parquet(f"{path}/build-*/manifest")
+        newest = manifests.orderBy(F.desc("built_at"), F.desc("build")).first()
     except AnalysisException:
-        return parse_network(spark.read.text(path, wholetext=True))
+        newest = None
+    if newest is None:
+        document = spark.read.text(path, wholetext=True)
+        if document.select(F.lit(1)).isEmpty():
+            raise FileNotFoundError(f"{path} has no finished network")
+        return parse_network(document)
+    build = f"{path}/{newest.build}"
+    return Network(spark.read.parquet(f"{build}/airports"), spark.read.parquet(f"{build}/edges"), newest.max_km)
 
 
 def write_network_tables(network: Network, path: str) -> None:
-    network.airports.write.mode("overwrite").parquet(f"{path}/airports")
-    network.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Write a network into a new folder of its own at the path, and at last its manifest, one row.
+
+    Readers take builds with a manifest only, so they never see one that is half written or was
+    given up, and builders at the same time don't disturb each other. Older builds stay.
+    """
+    build = f"build-{uuid.uuid4().hex}"
+    network.airports.write.parquet(f"{path}/{build}/airports")
+    network.edges.write.parquet(f"{path}/{build}/edges")
+    spark = network.airports.sparkSession
+    row = spark.range(1).select(F.lit(build).alias("build"), F.lit(network.max_km).cast("double").alias("max_km"), F.current_timestamp().alias("built_at"))
+    row.coalesce(1).write.parquet(f"{path}/{build}/manifest")

@@ -11,6 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+    os.environ["TERNWAY_TEST_TOKEN"] = "secret"  # Spark's processes have what is set before they start
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
