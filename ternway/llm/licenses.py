@@ -51,8 +51,6 @@ _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BEFORE = re.compile(r"[ \t:=\"']*")
 _BLANKS = re.compile(r"[ \t]*")
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
-#: Choices that are multiplied out; where there would be more, both sides of an `and` stay as factors.
-MOST_CHOICES = 4096
 
 
 class Bad(ValueError):
@@ -108,34 +106,33 @@ def label(identifier: str) -> str:
     return next((v for k, v in FAMILIES.items() if low.startswith(k)), low)
 
 
-def factor(choices: frozenset[frozenset[str]]) -> frozenset[str]:
-    """What stands for all choices inside a larger one: the only choice, or the alternatives in brackets."""
-    if len(choices) == 1:
-        return next(iter(choices))
-    return frozenset(["(" + " or ".join(sorted("+".join(sorted(c)) for c in choices)) + ")"])
+def evaluate(postfix: list[str]) -> set[str]:
+    """The choices that an expression leaves, one for each side of its outermost `or`s.
 
+    A choice is what holds together, sorted and joined by +; a part that leaves a choice of its
+    own stands in brackets, its sides sorted and joined by ` or `. Nothing is multiplied out, so
+    a choice is as long as its part of the expression. An exception after `with` adds nothing.
+    """
+    stack: list[tuple[str, set[str]]] = []
 
-def evaluate(postfix: list[str]) -> frozenset[frozenset[str]]:
-    """The choices that an expression leaves: sets of labels that hold together. An exception after `with` adds nothing.
+    def inside(node: tuple[str, set[str]], operator: str) -> set[str]:
+        """What a node adds to one of another operator."""
+        own, parts = node
+        if own == operator or len(parts) == 1:
+            return parts
+        return {"(" + " or ".join(sorted(parts)) + ")"} if own == "or" else {"+".join(sorted(parts))}
 
-    Where `and` would leave more than MOST_CHOICES, its sides stay as factors: alternatives in brackets instead of a label.
-    """
-    stack: list[tuple[frozenset[frozenset[str]], bool]] = []
     for x in postfix:
         if x not in PRECEDENCE:
-            stack.append((frozenset([frozenset([label(x)])]), False))
+            stack.append(("", {label(x)}))
             continue
-        (b, b_factored), (a, a_factored) = stack.pop(), stack.pop()
-        factored = a_factored or b_factored
-        if x == "with":
-            stack.append((a, a_factored))
-        elif x == "or":
-            stack.append((a | b, factored))
-        elif factored or len(a) * len(b) > MOST_CHOICES:
-            stack.append((frozenset([factor(a) | factor(b)]), True))
-        else:
-            stack.append((frozenset(p | q for p in a for q in b), False))
-    return stack.pop()[0]
+        b, a = stack.pop(), stack.pop()
+        if x != "with":
+            less, more = sorted((inside(a, x), inside(b, x)), key=len)
+            more |= less
+            a = (x, more)
+        stack.append(a)
+    return inside(stack.pop(), "or")
 
 
 def named(postfix: list[str]) -> set[str]:
@@ -167,7 +164,7 @@ def scan(raw: bytes, inner: bytes) -> tuple:
     """Finds in one text: raw is the text, inner its words in lower case with one blank around each."""
     n_words = inner.count(b" ") - 1
     line = inner.decode("latin-1")
-    base, first, last, base_labels, labels, doubt, choices = 0, None, None, set(), set(), 1.0, []
+    base, first, last, base_labels, labels, doubt, choices = 0, None, None, set(), set(), 1.0, set()
     start = at = 0
     plain, ends = "", []
     for end, (kind, name, size) in automaton().iter(line):
@@ -182,7 +179,7 @@ def scan(raw: bytes, inner: bytes) -> tuple:
                 postfix, _ = parse(plain, _BEFORE.match(plain, ends[at + line.count(" ", begin, end) - 1]).end())
             except Bad:
                 continue
-            choices += evaluate(postfix)
+            choices |= evaluate(postfix)
             labels |= named(postfix)
             continue
         labels.add(name)
@@ -191,7 +188,7 @@ def scan(raw: bytes, inner: bytes) -> tuple:
             first = at if first is None else min(first, at)
             last = at if last is None else max(last, at)
             base_labels.add(name)
-    return n_words, base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1 - doubt, sorted({"+".join(sorted(c)) for c in choices})
+    return n_words, base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), 1 - doubt, sorted(choices)
 
 
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, choices array<string>"
@@ -204,9 +201,8 @@ def licenses(docs: DataFrame) -> DataFrame:
     empty. n_base counts all places of base phrases, first_word and last_word are the smallest
     and largest word at which one starts, null without one. labels hold those of all finds,
     identifiers of tagged expressions included; choices lists what the expressions leave to
-    choose between, licences that hold together joined by +; beyond MOST_CHOICES a part that
-    leaves a choice of its own stands in brackets, its alternatives joined by ` or `. score grows with the number and
-    weight of the finds, 0 without any. Rows are kept as they are.
+    choose between, as evaluate says. score grows with the number and weight of the finds, 0
+    without any. Rows are kept as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
