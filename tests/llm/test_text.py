@@ -1,6 +1,8 @@
 """Tokenizer, token files, licences, languages, toxicity and decontamination against plain versions."""
 
+import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -321,7 +323,9 @@ def test_scores_do_not_depend_on_a_texts_neighbours(block, monkeypatch):
 
 def plain_tokens(text):
     """(placeholder or None, value) of a text's tokens, names of several words as one; and the tokens as they are."""
-    words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[\u3000-\u9fff\u0e00-\u0eff]|(?:(?![\u3000-\u9fff\u0e00-\u0eff])[A-Za-z\u0080-\U0010ffff])+", text)]
+    words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|(?<=[0-9)+*/^=<>\- \t\n\r\v\f])[+*/^=<>-]+(?=[ \t\n\r\v\f+*/^=<>-]*[0-9(])|[\u3000-\u9fff\u0e00-\u0eff]|(?:(?![\u3000-\u9fff\u0e00-\u0eff])[A-Za-z\u0080-\U0010ffff])+", text)]
+    sign = lambda w: w[0] in "+-*/^=<>"
+    words = [(a, b, w) for a, b, w in words if not sign(w) or re.search(r"[0-9)][ \t\n\r\v\f+*/^=<>-]*$", text[:a])]
     lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
     out, before = [], None
     for a, b, w in words:
@@ -340,9 +344,19 @@ def plain_tokens(text):
     return out, [(None, lower(w)) for _, _, w in words]
 
 
-def plain_leaks(docs, items, width=8, least=3, enough=6):
+def plain_leaks(docs, items, width=8, least=3, enough=6, least_bits=30):
     """All items against all documents, token by token."""
     found = set()
+    seen = [t for _, text in docs if text is not None for t in plain_tokens(text)[0]]
+    often = collections.Counter(v for kind, v in seen if kind is None)
+
+    def stands(window):
+        literal = [v for kind, v in window if kind is None]
+        if 8 * len(literal) >= 3 * len(window):
+            return True
+        bits = sum(np.log2((len(seen) + 65536) / (often[v] + 1)) for v in literal) + sum({1: 3, 2: 2, 3: 4}.get(kind, 0) for kind, _ in window)
+        return bool(literal) and bits >= least_bits
+
     for d, text in docs:
         for i, item in items:
             if text is None or item is None:
@@ -351,9 +365,10 @@ def plain_leaks(docs, items, width=8, least=3, enough=6):
                 size = min(width, len(theirs))
                 if len(theirs) < least:
                     continue
-                windows = [k for k in range(len(theirs) - size + 1) if not template or 8 * sum(t[0] is None for t in theirs[k : k + size]) >= 3 * size]
+                every = [k for k in range(len(theirs) - size + 1) if not template or stands(theirs[k : k + size])]
+                sure = [k for k in every if not template or 8 * sum(t[0] is None for t in theirs[k : k + size]) >= 3 * size]
                 shape = lambda t: t if t[0] is None else t[0]
-                for offset in range(-len(theirs), len(own)):
+                for offset, windows in itertools.product(range(-len(theirs), len(own)), (every, sure)):
                     hit = [k for k in windows if 0 <= k + offset <= len(own) - size and [*map(shape, own[k + offset : k + offset + size])] == [*map(shape, theirs[k : k + size])]]
                     pairs = {(t[0], t[1], own[j + offset][1]) for k in hit for j, t in enumerate(theirs[k : k + size], k) if t[0] is not None}
                     if hit and len(hit) >= min(enough, len(windows)) and len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs}):
@@ -362,7 +377,7 @@ def plain_leaks(docs, items, width=8, least=3, enough=6):
 
 
 def test_leaks_are_those_of_the_plain_version(spark):
-    words = "the a train Paris Lyon New York goes 3 12 4.5 km hours and It back É 東 京 pears gives to".split()
+    words = "the a train Paris Lyon New York goes 3 12 4.5 km hours and It back É 東 京 pears gives to + - (3 12) * <=".split()
     items = [(k, " ".join(RNG.choice(words) for _ in range(RNG.randint(2, 14)))) for k in range(40)]
     docs = []
     for k in range(60):
@@ -384,6 +399,9 @@ def test_leaks(spark, odd, empty):
         (6, "12 Paris 34 Lyon 56 Rome 78 Milan 90 Bonn 11 Ulm 13"),
         (7, "北京是中国的首都有很多人住在那里"),
         (8, "New Title Of A Very Short Book"),
+        (9, "Anna Smith ran 5 km in 20 min"),
+        (10, "Compute 12 + 34 * 56"),
+        (11, "Paris 12, 34, 56 Rome"),
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = [
@@ -401,13 +419,22 @@ def test_leaks(spark, odd, empty):
         (11, "据说北京是中国的首都有很多人住在那里。"),
         (12, "THE NEW TITLE OF A VERY SHORT BOOK"),
         (13, "Anna has 5 pears and gives 2 of them to a friend."),
+        (14, "so: Boris Miller ran 12 km in 70 min, he said"),
+        (15, "so: Boris Miller ran 12 km in 12 min, he said"),
+        (16, "they say: Evaluate 7+8*9 now"),
+        (17, "they say: Evaluate 7 - 8 * 9 now, or call 7 8 9"),
+        (18, "Lyon 7, 8, 9 Milan"),
     ]
     found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    assert set(found) == {(1, 1), (2, 1), (5, 4), (6, 5), (7, 5), (8, 1), (9, 6), (11, 7), (12, 8)}
+    assert set(found) == {(1, 1), (2, 1), (5, 4), (6, 5), (7, 5), (8, 1), (9, 6), (11, 7), (12, 8), (14, 9), (16, 10)}
     assert {k for k, r in found.items() if r.verbatim} == {(1, 1), (5, 4), (9, 6), (11, 7), (12, 8)}
     assert set(found) == plain_leaks({(d, t) for d, t in docs}, items)
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
+    # where the words of a template are common it says little
+    common = docs + [(100 + k, "Anna ran in 3 km. " * 200) for k in range(8)]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(common, "doc_id long, text string"), bench).collect()}
+    assert (16, 10) in found and (14, 9) not in found and found == plain_leaks(common, items)
 
 
 def test_token_files_do_not_depend_on_the_order_of_rows(spark):
