@@ -27,24 +27,38 @@ from pyspark.sql import functions as F
 from ternway.llm import bpe
 from ternway.llm.common import chunks, release, scratch_path, shared_folder, texts
 
-MAX_LENGTH, CHECKPOINT, BLOCK_IDS = 18, 128, 1 << 17
+#: Bits of the longest code while the ids leave room in them, else two more than the ids need.
+MAX_LENGTH = 18
+CHECKPOINT, BLOCK_IDS = 128, 1 << 17
+#: Bits that a reader has of a code: ids of vocabularies up to 33 million.
+MOST_BITS = 25
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most `limit` bits by package-merge; 0 for ids that never occur."""
+def most_bits(n: int) -> int:
+    """The limit of code lengths for n different ids."""
+    if n > 1 << MOST_BITS:
+        raise ValueError(f"{n} ids don't fit codes of {MOST_BITS} bits")
+    return min(MOST_BITS, max(MAX_LENGTH, (n - 1).bit_length() + 2)) if n else MAX_LENGTH
+
+
+def table_bits(lengths: np.ndarray) -> int:
+    """log2 of the entries of a decoding table."""
+    return max(MAX_LENGTH, int(lengths.max(initial=0)))
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of an optimal prefix code of at most `most_bits` by package-merge; 0 for ids that never occur."""
     lengths = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     n = len(used)
     if n < 2:
         lengths[used] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids don't fit codes of {limit} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     packages = np.zeros(0, np.int64)
     levels = []
-    for _ in range(limit):
+    for _ in range(most_bits(n)):
         both = np.concatenate([leaves, packages])
         rank = np.argsort(both, kind="stable")
         both = both[rank]
@@ -60,22 +74,23 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes in the order of length, then id."""
-    codes = np.zeros(len(lengths), np.uint64)
+    codes, bits = np.zeros(len(lengths), np.uint64), np.uint64(table_bits(lengths))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     own = lengths[order]
     if len(order):
-        room = np.uint64(1) << (np.uint64(MAX_LENGTH) - own.astype(np.uint64))
-        codes[order] = (np.cumsum(room) - room) >> (np.uint64(MAX_LENGTH) - own.astype(np.uint64))
+        room = np.uint64(1) << (bits - own.astype(np.uint64))
+        codes[order] = (np.cumsum(room) - room) >> (bits - own.astype(np.uint64))
     return codes
 
 
 def lookup(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each MAX_LENGTH bits the id that they start with and the length of its code."""
+    """For each number of `table_bits` bits the id whose code it starts with and the length of that code."""
+    bits = table_bits(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    room = 1 << (MAX_LENGTH - lengths[order])
-    ids, size = np.zeros(1 << MAX_LENGTH, np.uint32), np.ones(1 << MAX_LENGTH, np.uint8)
+    room = 1 << (bits - lengths[order])
+    ids, size = np.zeros(1 << bits, np.uint32), np.ones(1 << bits, np.uint8)
     ids[: room.sum()], size[: room.sum()] = np.repeat(order, room), np.repeat(lengths[order], room)
     return ids, size
 
@@ -104,8 +119,9 @@ def unpack(offsets: np.ndarray, data: bytes, n: int, step: int, ids: np.ndarray,
     near = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     out = np.zeros((len(offsets), step), np.uint32)
     at, last = offsets.astype(np.int64), 8 * len(data)
+    unused = np.uint32(33 - len(ids).bit_length())
     for k in range(min(step, n)):
-        code = (near[np.minimum(at, last) >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - MAX_LENGTH)
+        code = (near[np.minimum(at, last) >> 3] << (at & 7).astype(np.uint32)) >> unused
         out[:, k] = ids[code]
         at += size[code]
     return out.ravel()[:n]
@@ -144,7 +160,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None
     doc_id stand by the bytes of their compressed ids, so their order follows from their texts alone. Other columns don't matter. The ids are computed once: they go, compressed, to ranges of doc_id
     found from quantiles, and are kept in the shared folder between the two passes, counting and
     coding. A document lies in one block, so the longest one sets the size of the largest block.
-    An empty table gives empty tables; more than 2**MAX_LENGTH different ids are a ValueError.
+    An empty table gives empty tables; more than 2**MOST_BITS different ids are a ValueError.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

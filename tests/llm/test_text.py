@@ -106,6 +106,15 @@ def test_length_limit():
     assert lengths.max() == huffman.MAX_LENGTH and sum(2.0 ** -int(x) for x in lengths) == 1
 
 
+def test_codes_of_large_vocabularies():
+    counts = np.random.default_rng(1).zipf(1.3, 300_000).clip(1, 1 << 40)
+    lengths = huffman.code_lengths(counts)
+    assert huffman.MAX_LENGTH < lengths.max() <= huffman.most_bits(300_000) and sum(2.0 ** -int(x) for x in lengths) == 1
+    ids = np.random.default_rng(2).integers(0, 300_000, 20_000).astype(np.uint32)
+    marks, data = huffman.pack(ids, huffman.canonical(lengths), lengths)
+    assert (huffman.unpack(marks, data, len(ids), huffman.CHECKPOINT, *huffman.lookup(lengths)) == ids).all()
+
+
 def test_token_files(spark, odd, empty):
     got = sorted(map(tuple, huffman.round_trip(odd, PATH).collect()), key=lambda r: r[1])
     rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
