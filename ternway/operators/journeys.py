@@ -8,11 +8,43 @@ from pyspark.sql import functions as F
 from ternway.functions import times
 from ternway.operators.legs import TIME
 from ternway.operators.network import allowed_airports
+from ternway.session import kept
 from ternway.sources.files import Network
 
 #: Columns of a journey; the positions of its flights break ties.
 COLUMNS = ("total_price", "stay_days", "intermediate_city", "leg1", "leg2", "airport_transfer", "leg1_pos", "leg2_pos")
 
+#: Pairs of flights that one key of the join makes; keys of more are cut into parts of about so many.
+PAIRS = 1 << 22
+#: Hot keys, some 50 bytes each, up to which all tasks get them; beyond, they are joined by shuffling.
+BROADCAST_KEYS = 100_000
+
+
+def balanced(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left.join(right, keys), where keys of more than PAIRS pairs are cut into a grid.
+
+    One pass counts both sides by key. A hot key's first legs are dealt over the rows of its grid
+    and its second legs over the columns, by their places; each leg is copied along its own row
+    or column, so a pair meets in one part. Parts are as square as the counts allow, so a leg
+    has about as many copies as the other side has times the root of PAIRS. Without hot keys it
+    is the plain join. How many there are is known before the join is planned.
+    """
+    one = [left.select(*keys, F.lit(1).alias("n1"), F.lit(0).alias("n2")), right.select(*keys, F.lit(0).alias("n1"), F.lit(1).alias("n2"))]
+    counts = one[0].unionByName(one[1]).dropna(subset=keys).groupBy(keys).agg(*[F.sum(n).cast("double").alias(n) for n in ("n1", "n2")])
+    side = lambda own, other: F.ceil(F.col(own) / F.greatest(F.lit(PAIRS**0.5), F.lit(float(PAIRS)) / F.col(other)))
+    hot = kept(counts.where(F.col("n1") * F.col("n2") > PAIRS).select(*keys, side("n1", "n2").alias("rows"), side("n2", "n1").alias("columns")), "hot")
+    n = hot.count()
+    if not n:
+        return left.join(right, keys)
+    if n <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    rows, columns = (F.coalesce(c, F.lit(1).cast("long")) for c in ("rows", "columns"))
+    every = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    place = lambda pos, k: F.pmod(F.xxhash64(pos), k)
+    left = left.join(hot, keys, "left").withColumn("part", F.explode(F.transform(every(columns), lambda c: place("leg1_pos", rows) * columns + c))).drop("rows", "columns")
+    right = right.join(hot, keys, "left").withColumn("part", F.explode(F.transform(every(rows), lambda r: r * columns + place("leg2_pos", columns)))).drop("rows", "columns")
+    return left.join(right, [*keys, "part"]).drop("part")
+
 
 def _sides(first: DataFrame, second: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     left = first.where("city is not null").withColumn("airport", F.col("city")) if allowed is None else first.join(allowed, "city")
@@ -21,15 +53,19 @@ def _sides(first: DataFrame, second: DataFrame, allowed: DataFrame | None) -> tu
     return left, right
 
 
-def pair(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_stay: int, max_stay: int, banded: bool = True) -> DataFrame:
+def pair(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_stay: int, max_stay: int, banded: bool = True, few: bool = False) -> DataFrame:
     """Pairs of first and second legs at an allowed airport, or at the city itself without any, with a stay of min_stay to max_stay days.
 
     banded: the days of arrival and departure take part in the join's key, so a busy airport is
     many keys. A second leg stands in one band of the stays' length, a first leg in all bands
     that its stays can reach, with a day to spare for stays that only dates tell; so each pair
     meets once. A stay that neither times nor dates tell is 0; where 0 is wanted, flights without
-    a date are also joined by airport alone.
+    a date are also joined by airport alone. Busy days of an airport are cut up (`balanced`).
+
+    few: the first legs are few, as those of a ranking, and need no counting: Spark sends them to
+    all tasks, so no key is hot.
     """
+    meet = (lambda a, b, keys: a.join(b, keys)) if few else balanced
     left, right = _sides(first, second, allowed)
     exact, dates = times.stay_parts(*[F.col(f"{c}{k}") for k in (1, 2) for c in TIME])
     told = F.coalesce(exact, dates)
@@ -40,11 +76,11 @@ def pair(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_sta
     width = max_stay - min_stay + 1
     day1, day2 = (F.coalesce(F.floor(F.col(f"sec{k}") / times.DAY), F.col(f"day{k}")) for k in (1, 2))
     bands = F.sequence(F.floor((day1 + (min_stay - 1)) / width), F.floor((day1 + (max_stay + 2)) / width))
-    near = left.withColumn("band", F.explode(bands)).join(right.withColumn("band", F.floor(day2 / width)), ["airport", "band"]).drop("band")
+    near = meet(left.withColumn("band", F.explode(bands)), right.withColumn("band", F.floor(day2 / width)), ["airport", "band"]).drop("band")
     near = near.withColumn("stay_days", told.cast("long")).where(F.col("stay_days").between(min_stay, max_stay))
     if not min_stay <= 0 <= max_stay:
         return near
-    undated = left.where("day1 is null").join(right, "airport").unionByName(left.where("day1 is not null").join(right.where("day2 is null"), "airport"))
+    undated = meet(left.where("day1 is null"), right, ["airport"]).unionByName(meet(left.where("day1 is not null"), right.where("day2 is null"), ["airport"]))
     return near.unionByName(undated.where(told.isNull()).withColumn("stay_days", F.lit(0).cast("long")))
 
 
@@ -74,7 +110,7 @@ def journeys(first: DataFrame, second: DataFrame, network: Network | None = None
     journeys don't exceed.
     """
     allowed = None if network is None else allowed_airports(first, network, max_km, same_country)
-    rows = pair(first, second, allowed, min_stay, max_stay, banded)
+    rows = pair(first, second, allowed, min_stay, max_stay, banded, few="most" in first.columns)
     if "most" in first.columns:
         rows = rows.where(F.col("leg1.price") + F.col("leg2.price") <= F.col("most"))
     shown, tables = transfer(network)

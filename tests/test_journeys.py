@@ -86,6 +86,37 @@ def test_banded_join_is_the_plain_join(flights, near, band):
     assert a == b
 
 
+@pytest.mark.parametrize(("pairs", "keys", "stay"), [(1, 0, (0, 9)), (4, 100_000, (-4, 2))])
+def test_busy_keys_are_cut_up(spark, near, monkeypatch, pairs, keys, stay):
+    """Times that only dates tell and none at all, repeated places: each pair once, however finely keys are cut."""
+    monkeypatch.setattr(journeys, "PAIRS", pairs)
+    monkeypatch.setattr(journeys, "BROADCAST_KEYS", keys)
+    leg1, leg2 = odd_legs(spark, pairs, 120)
+    first, second = legs.first_legs(leg1), legs.second_legs(leg2)
+    a, b = (sorted(map(str, journeys.journeys(first, second, near, *stay, banded=x).collect())) for x in (True, False))
+    assert a == b and len(a) > 50
+
+
+def test_a_busy_airport_is_many_tasks(spark, monkeypatch):
+    """Nine tenths of the flights at one airport in one month: no task has three times the mean of pairs."""
+    flights = spark.range(3000).select(
+        F.col("id").alias("pos"), F.when(F.col("id") % 10 > 0, "AAA").otherwise(F.concat(F.lit("B"), F.col("id") % 90)).alias("airport"),
+        (F.when(F.col("id") % 10 > 0, F.col("id") % 30).otherwise(F.col("id") % 900) / F.lit(30)).cast("long").alias("band"),
+    )
+    first, second = (flights.select("airport", "band", F.col("pos").alias(f"leg{k}_pos")) for k in (1, 2))
+    monkeypatch.setattr(journeys, "PAIRS", 20_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [sorted(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) for rows in (journeys.balanced(first, second, ["airport", "band"]), first.join(second, ["airport", "band"]))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes[0]) == sum(sizes[1]) > 7_000_000
+    assert max(sizes[0]) <= 3 * sum(sizes[0]) / parts < max(sizes[1])
+
+
 def test_plans(flights, near):
     result = search(flights, near)
     plan = lambda df: df._jdf.queryExecution().toString()
