@@ -1,6 +1,7 @@
 """The hand-made data set under all option sets, and what the joins must keep true."""
 
 import json
+import math
 import random
 
 import pytest
@@ -117,6 +118,33 @@ def test_a_busy_airport_is_many_tasks(spark, monkeypatch):
     assert max(sizes[0]) <= 3 * sum(sizes[0]) / parts < max(sizes[1])
 
 
+def test_copies_grow_with_the_legs(spark, monkeypatch):
+    """Ten times the flights at a busy airport: the join writes about ten times as many legs, not a hundred."""
+    copies = []
+    for n in (1000, 10_000):
+        legs_of = lambda k: spark.range(n).select(F.lit("AAA").alias("airport"), F.lit(1).alias("band"), F.col("id").alias(f"leg{k}_pos"))  # noqa: B023, E731
+        monkeypatch.setattr(journeys, "PAIRS", 1000)
+        monkeypatch.setattr(journeys, "PARTS", 16)
+        rows = journeys.balanced(legs_of(1), legs_of(2), ["airport", "band"]).groupBy(F.spark_partition_id()).agg(F.approx_count_distinct("leg1_pos", 0.01).alias("a"), F.approx_count_distinct("leg2_pos", 0.01).alias("b"))
+        copies.append(rows.agg(F.sum("a") + F.sum("b")).first()[0])
+    assert copies[1] <= 12 * copies[0]
+
+
+def test_exact_combinations_meet_by_day(spark):
+    """The registered query doesn't compare all flights of an airport."""
+    from ternway import queries
+
+    plan = queries.queries()["combinations_exact"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "band" in plan and "BigDecimal" not in plan
+
+
+@pytest.mark.parametrize("x", [0.0, -0.005, 0.125, 12.345678, -7.5, 1e17, 123456789.015625])
+def test_cents(spark, x):
+    far = math.floor(abs(x) * 100 + 0.5) / 100
+    got = spark.createDataFrame([(x,)], "x double").select(values.cents(F.col("x"))).first()[0]
+    assert got == pytest.approx(math.copysign(far, x) if x else 0.0, abs=1e-9)
+
+
 def test_plans(flights, near):
     result = search(flights, near)
     plan = lambda df: df._jdf.queryExecution().toString()
