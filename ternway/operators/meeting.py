@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternway.operators import journeys, partners, prices
+from ternway.operators import journeys, medians, partners, prices
 from ternway.operators.network import allowed_airports
 from ternway.session import kept
 from ternway.sources.files import Network
@@ -16,7 +16,7 @@ from ternway.sources.files import Network
 
 @dataclass
 class Meeting:
-    """Prepared legs (`operators.legs`), a network or none, and the stay. Only `journeys` and medians pair all flights."""
+    """Prepared legs (`operators.legs`), a network or none, and the stay. Only `journeys` pairs all flights."""
 
     first: DataFrame
     second: DataFrame
@@ -48,12 +48,21 @@ class Meeting:
         """The same with its pieces written, for several questions."""
         return replace(self, known=kept(self.pieces, "pieces"))
 
+    def _figures(self, cities: bool) -> DataFrame:
+        """Figures and medians of all journeys, and of each city's if asked for; no flights are paired (`operators.medians`)."""
+        found = medians.blocks(self.first, self.second, self._allowed(), self.min_stay, self.max_stay)
+        rows = [] if found is None else medians.summary(found, cities, True)
+        return self.first.sparkSession.createDataFrame(rows, "intermediate_city string, total_combinations long, min_price double, max_price double, avg_price double, median_price double")
+
     def statistics(self) -> DataFrame:
         """One row of figures over all journeys, all 0 if there are none."""
-        return prices.price_stats(self.journeys)
+        one = self.first.sparkSession.range(1).select(F.lit(0).alias("whole"))
+        found = self._figures(False).drop("intermediate_city").withColumn("whole", F.lit(0))
+        return one.join(found, "whole", "left").drop("whole").na.fill(0)
 
     def statistics_by_city_and_all(self) -> DataFrame:
-        return prices.stats_by_city_and_all(self.journeys)
+        """Figures for all journeys (is_total 1, no city) and for each city."""
+        return self._figures(True).withColumn("is_total", F.col("intermediate_city").isNull().cast("long"))
 
     def cities(self) -> DataFrame:
         """Number, least and mean price for each stopover city."""

@@ -36,10 +36,14 @@ def _kind() -> Column:
     return F.when(F.col("sec").isNull() & F.col("day").isNull(), NOTHING).when(F.col("sec").isNull(), DATE).when(F.col("day").isNull(), CLOCK).when(F.col("aware"), AWARE).otherwise(PLAIN)
 
 
+def kind_and_time() -> list[Column]:
+    """kind and at: what a second leg's time is, and the second at which it leaves, null where the time tells nothing."""
+    return [_kind().alias("kind"), F.when(_kind() == DATE, F.col("day") * DAY).otherwise(F.col("sec")).alias("at")]
+
+
 def points(second: DataFrame) -> DataFrame:
     """(airport, kind, day, tau, sums) of second legs by the second at which they leave; day and tau are null where the time tells nothing."""
-    at = F.when(_kind() == DATE, F.col("day") * DAY).otherwise(F.col("sec"))
-    rows = second.where("origin is not null").select(F.col("origin").alias("airport"), _kind().alias("kind"), at.alias("at"), F.col("leg.price").alias("price"), "pos")
+    rows = second.where("origin is not null").select(F.col("origin").alias("airport"), *kind_and_time(), F.col("leg.price").alias("price"), "pos")
     sums = rows.groupBy("airport", "kind", "at").agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.min("price").alias("low"), F.max("price").alias("high"), F.min("pos").alias("place"))
     day = F.floor(F.col("at") / DAY)
     return sums.select("airport", "kind", day.alias("day"), (F.col("at") - day * DAY).alias("tau"), *_SUMS)
@@ -52,7 +56,7 @@ def arrivals(first: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return rows.withColumn("airport", F.col("city")) if allowed is None else rows.join(allowed, "city")
 
 
-def _asked(kinds: list[int], min_stay: int, max_stay: int) -> Column:
+def asked_by_kind(kinds: list[int], min_stay: int, max_stay: int) -> Column:
     """array<struct<kind, at>>: for each kind of second legs the second from which a group of first legs looks; null for all of the airport's."""
     each = []
     for k in kinds:
@@ -87,7 +91,7 @@ def pieces(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_s
     groups, stops = kept(arrivals(first, allowed), "arrivals"), kept(points(second), "departures")
     kinds = [r.kind for r in stops.select("kind").distinct().collect()] if max_stay >= min_stay else []  # five at most
     own = F.struct("city", "sec", "aware", F.col("day").alias("day1"), "n1", "total1", "low1", "high1", "place1").alias("own")
-    asked = groups.select("airport", own, F.explode(_asked(sorted(kinds), min_stay, max_stay)).alias("ask")) if kinds else groups.select("airport", own, F.lit(None).cast("struct<kind:int,at:long>").alias("ask")).where(F.lit(False))
+    asked = groups.select("airport", own, F.explode(asked_by_kind(sorted(kinds), min_stay, max_stay)).alias("ask")) if kinds else groups.select("airport", own, F.lit(None).cast("struct<kind:int,at:long>").alias("ask")).where(F.lit(False))
     day = F.floor(F.col("ask.at") / DAY)
     asked = asked.select("airport", "own", F.col("ask.kind").alias("kind"), day.alias("day"), (F.col("ask.at") - day * DAY).alias("tau"))
 

@@ -51,7 +51,7 @@ class Options:
 
 @dataclass
 class Result:
-    """The tables that a search gives. Only `journeys`, `listed` and the median in `statistics` pair all flights."""
+    """The tables that a search gives. Only `journeys` and `listed` pair all flights."""
 
     meeting: Meeting
     options: Options

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ternway.functions import geo, times, values
-from ternway.operators import collection, journeys, legs, network, partners, prices
+from ternway.operators import collection, journeys, legs, medians, network, partners, prices
 from ternway.operators.meeting import Meeting
 from ternway.plans.search import Options, search
 from ternway.sinks import documents
@@ -245,6 +245,23 @@ def test_pieces_are_the_pairs(spark, near, monkeypatch, seed, stay):
     assert stats.total_combinations == len(rows) and stats.median_price == (rows[len(rows) // 2][0] if rows else 0)
 
 
+@pytest.mark.parametrize(("seed", "stay", "most", "drawn", "block"), [(7, (-4, 9), 60, 40, 16)])
+def test_medians_without_pairs(spark, near, monkeypatch, seed, stay, most, drawn, block):
+    """Few prices drawn, many passes, blocks cut up: figures and medians of all and of each city are those of all pairs, which are never made."""
+    leg1, leg2 = odd_legs(spark, seed, 120)
+    m = Meeting(legs.first_legs(leg1), legs.second_legs(leg2), near, *stay, same_country=False)
+    rows = [(r.intermediate_city, r.total_price) for r in m.journeys.select("intermediate_city", "total_price").collect()]
+    for name, value in (("ALL", most), ("DRAWN", drawn), ("BLOCK", block)):
+        monkeypatch.setattr(medians, name, value)
+    monkeypatch.setattr(journeys, "journeys", None)
+    got = {r.intermediate_city: (r.is_total, r.total_combinations, r.min_price, r.max_price, r.median_price) for r in m.statistics_by_city_and_all().collect()}
+    expected = {}
+    for city in {None} | {c for c, _ in rows}:
+        x = sorted(p for c, p in rows if city in (None, c))
+        expected[city] = (int(city is None), len(x), x[0], x[-1], x[len(x) // 2])
+    assert len(rows) > 50 and got == expected
+
+
 def test_rankings_pair_few_flights(spark):
     """Of many pairs only those of the best first legs, no dearer than the last that is listed, are ever made."""
     at = lambda k: F.date_format(F.timestamp_seconds(F.lit(1_770_000_000) + k), "yyyy-MM-dd'T'HH:mm:ss")
