@@ -64,6 +64,10 @@ class Meeting:
         """Figures for all journeys (is_total 1, no city) and for each city."""
         return self._figures(True).withColumn("is_total", F.col("intermediate_city").isNull().cast("long"))
 
+    def journeys_of_each(self) -> DataFrame:
+        """How many journeys each first leg has, and how many of them by another airport; no flights are paired."""
+        return partners.journeys_of_each(self.first, self.pieces)
+
     def cities(self) -> DataFrame:
         """Number, least and mean price for each stopover city."""
         return partners.figures(self.pieces, "city").select(F.col("city").alias("intermediate_city"), "count", "min_price", "avg_price")

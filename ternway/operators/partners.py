@@ -84,13 +84,13 @@ def _covering(days: int) -> Column:
 
 
 def pieces(first: DataFrame, second: DataFrame, allowed: DataFrame | None, min_stay: int, max_stay: int) -> DataFrame:
-    """Pieces that hold any pair: (city, sec, aware, day, n1, total1, low1, high1, place1) of the first legs and `_SUMS` of their partners.
+    """Pieces that hold any pair: (city, airport, sec, aware, day, n1, total1, low1, high1, place1) of the first legs and `_SUMS` of their partners.
 
     The sums by second of both legs are written first, as several steps read them.
     """
     groups, stops = kept(arrivals(first, allowed), "arrivals"), kept(points(second), "departures")
     kinds = [r.kind for r in stops.select("kind").distinct().collect()] if max_stay >= min_stay else []  # five at most
-    own = F.struct("city", "sec", "aware", F.col("day").alias("day1"), "n1", "total1", "low1", "high1", "place1").alias("own")
+    own = F.struct("city", "airport", "sec", "aware", F.col("day").alias("day1"), "n1", "total1", "low1", "high1", "place1").alias("own")
     asked = groups.select("airport", own, F.explode(asked_by_kind(sorted(kinds), min_stay, max_stay)).alias("ask")) if kinds else groups.select("airport", own, F.lit(None).cast("struct<kind:int,at:long>").alias("ask")).where(F.lit(False))
     day = F.floor(F.col("ask.at") / DAY)
     asked = asked.select("airport", "own", F.col("ask.kind").alias("kind"), day.alias("day"), (F.col("ask.at") - day * DAY).alias("tau"))
@@ -164,6 +164,14 @@ def _with_groups(first: DataFrame, groups: DataFrame) -> DataFrame:
     return first.join(g, same).drop(*[f"_{c}" for c in _GROUP])
 
 
+def journeys_of_each(first: DataFrame, found: DataFrame) -> DataFrame:
+    """(leg1_pos, n, transfers): how many journeys each first leg has, and how many of them by another airport, from pieces; first legs without any are left out."""
+    moved = F.sum(F.when(F.col("airport") != F.col("city"), F.col("n")).otherwise(0))
+    groups = found.groupBy(*_GROUP).agg(F.sum("n").alias("n"), moved.alias("transfers"))
+    own = _with_groups(first.select("pos", *_GROUP), groups)
+    return own.groupBy(F.col("pos").alias("leg1_pos")).agg(F.sum("n").alias("n"), F.sum("transfers").alias("transfers"))
+
+
 def leaders(first: DataFrame, found: DataFrame, n: int | None) -> DataFrame:
     """The first legs of the n cheapest pairs, or with None of the cheapest pair of each city, and `most`, the price that these don't exceed.
 

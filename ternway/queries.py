@@ -428,8 +428,7 @@ def combinations_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TRANSFERS} SELECT pos1 AS leg1_pos, count(*) AS n, count(*) FILTER (origin <> city) AS transfers FROM j GROUP BY pos1")
 def transfer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = meeting(spark, sf_dir, nations(spark, sf_dir), max_stay=7).journeys
-    return found.groupBy("leg1_pos").agg(F.count("*").alias("n"), F.count("airport_transfer").alias("transfers"))
+    return meeting(spark, sf_dir, nations(spark, sf_dir), max_stay=7).journeys_of_each()
 
 
 # --- statistics and rankings

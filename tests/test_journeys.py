@@ -262,6 +262,18 @@ def test_medians_without_pairs(spark, near, monkeypatch, seed, stay, most, drawn
     assert len(rows) > 50 and got == expected
 
 
+def test_journeys_of_each_first_leg(spark, near, monkeypatch):
+    """Counted without pairs they are those of all pairs, also where places repeat."""
+    leg1, leg2 = odd_legs(spark, 9, 120)
+    m = Meeting(legs.first_legs(leg1), legs.second_legs(leg2), near, -2, 5, same_country=False)
+    expected = {}
+    for r in m.journeys.select("leg1_pos", F.col("airport_transfer").isNotNull().alias("moved")).collect():
+        n, moved = expected.get(r.leg1_pos, (0, 0))
+        expected[r.leg1_pos] = (n + 1, moved + r.moved)
+    monkeypatch.setattr(journeys, "journeys", None)
+    assert {r.leg1_pos: (r.n, r.transfers) for r in m.journeys_of_each().collect()} == expected and any(x for _, x in expected.values())
+
+
 def test_rankings_pair_few_flights(spark):
     """Of many pairs only those of the best first legs, no dearer than the last that is listed, are ever made."""
     at = lambda k: F.date_format(F.timestamp_seconds(F.lit(1_770_000_000) + k), "yyyy-MM-dd'T'HH:mm:ss")
