@@ -171,6 +171,13 @@ def test_result_document_and_report(flights, near, tmp_path):
     assert documents.report(empty) == "No journeys found."
 
 
+def test_texts_of_legs_make_those_of_journeys(flights, near):
+    first, second = legs.first_legs(flights.leg1), legs.second_legs(flights.leg2)
+    whole = documents.journey_json(journeys.journeys(first, second, near))
+    parts = documents.journey_json(journeys.journeys(documents.with_texts(first), documents.with_texts(second), near))
+    assert sorted(r.value for r in whole.collect()) == sorted(r.value for r in parts.collect())
+
+
 def test_negative_top(flights):
     with pytest.raises(ValueError):
         search(flights, None, Options(top=-1)).top  # noqa: B018
