@@ -138,6 +138,17 @@ def test_exact_combinations_meet_by_day(spark):
     assert "band" in plan and "BigDecimal" not in plan
 
 
+def test_few_pairs_that_meet_are_out_of_the_stays(spark, monkeypatch):
+    """Legs spread evenly over a year: well over half of the pairs that the join compares are journeys."""
+    flights = [spark.range(2000).select(F.col("id").alias("pos"), F.lit("AAA").alias(city), F.lit("").alias("leg"), F.floor(F.col("id") * times.DAY / 5).alias("sec"), F.lit(False).alias("aware"), F.floor(F.col("id") / 5).alias("day")) for city in ("city", "origin")]
+    met, balanced = [], journeys.balanced
+    monkeypatch.setattr(journeys, "balanced", lambda *a: met.append(balanced(*a)) or met[-1])
+    for stay in ((1, 30), (2, 8)):
+        n = journeys.pair(*flights, None, *stay).count()
+        assert n == journeys.pair(*flights, None, *stay, banded=False).count() > 0
+        assert n >= 0.55 * met[-1].count()
+
+
 @pytest.mark.parametrize("x", [0.0, -0.005, 0.125, 12.345678, -7.5, 1e17, 123456789.015625])
 def test_cents(spark, x):
     far = math.floor(abs(x) * 100 + 0.5) / 100
