@@ -4,10 +4,12 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ternway.sinks import pieces
 from ternway.sinks.pieces import Part, write_document
 from ternway.sources import ranges
 from ternway.sources.files import read_flight_file
@@ -84,3 +86,19 @@ def test_failed_task_leaves_the_old_document(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_document(spark, [Part("[", bad, ("id",))], "]", path)
     assert json.loads(open(path).read()) == list(range(1000)) and os.listdir(tmp_path) == ["d.json"]
+
+
+def test_pieces_are_copied_by_tasks_once(spark, tmp_path):
+    """Tasks put the pieces together and empty them; an attempt that comes later finds them empty, and one that is cut short is an error."""
+    (tmp_path / "0-7").write_bytes(b"aabbb")
+    (tmp_path / "1-8").write_bytes(b"cc")
+    whole = str(tmp_path / "whole")
+    layout = lambda: pieces.laid_out([("0-7", [(0, 0, 2), (1, 2, 5)]), ("1-8", [(1, 0, 2)])], ["{", "|"], "}")
+    pieces.copied_by_tasks(spark, str(tmp_path), whole, layout())
+    assert open(whole, "rb").read() == b"{\naa|\nbbb,\ncc\n}"
+    assert [(tmp_path / p).stat().st_size for p in ("0-7", "1-8")] == [0, 0]
+    row = pa.RecordBatch.from_pylist([{"piece": str(tmp_path / "0-7"), "whole": whole, "spans": [{"start": 0, "stop": 2, "at": 2}]}])
+    assert len(list(pieces._copied([row]))) == 1 and open(whole, "rb").read() == b"{\naa|\nbbb,\ncc\n}"
+    (tmp_path / "0-7").write_bytes(b"a")
+    with pytest.raises(OSError):
+        list(pieces._copied([row]))

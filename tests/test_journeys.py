@@ -11,8 +11,8 @@ from ternway.functions import geo, times, values
 from ternway.operators import collection, journeys, legs, medians, network, partners, prices
 from ternway.operators.meeting import Meeting
 from ternway.plans.search import Options, search
-from ternway.sinks import documents
-from ternway.sources.files import Network, parse_network, read_flight_file, read_network, write_network_tables
+from ternway.sinks import documents, pieces
+from ternway.sources.files import Network, parse_network, read_flight_file, read_journeys, read_network, write_network_tables
 
 LEG1 = [
     {"origin": "MOW", "destination": "IST", "departure_at": "2026-02-19T10:00:00+03:00", "duration": 240, "price": 10000},
@@ -182,6 +182,25 @@ def test_result_document_and_report(flights, near, tmp_path):
     assert documents.report(empty) == "No journeys found."
 
 
+def test_result_documents_are_written_and_read_by_tasks(spark, flights, near, tmp_path, monkeypatch):
+    """The figures are found once; the list is written by as many tasks as its length asks for, in order, and read by ranges of bytes."""
+    asked, summary = [], medians.summary
+    monkeypatch.setattr(medians, "summary", lambda *a: asked.append(a) or summary(*a))
+    monkeypatch.setattr(pieces, "ROWS", 2)
+    path = str(tmp_path / "r.json")
+    result = search(flights, near).kept()
+    documents.report(result)
+    documents.save_result(result, path)
+    assert len(asked) == 1
+    saved = json.loads((tmp_path / "r.json").read_text())
+    assert [c["total_price"] for c in saved["combinations"]] == [20000, 33000, 34000, 35000, 35000, 36000]
+    kind = "total_price double, stay_days long, leg2 struct<departure_at:string>"
+    for size in (97, 1 << 20):
+        rows = read_journeys(spark, path, kind, size)
+        assert sorted((r.total_price, r.stay_days, r.leg2.departure_at) for r in rows.collect()) == sorted((c["total_price"], c["stay_days"], c["leg2"]["departure_at"]) for c in saved["combinations"])
+    assert read_journeys(spark, path, kind, 97).rdd.getNumPartitions() > 1
+
+
 def test_texts_of_legs_make_those_of_journeys(flights, near):
     first, second = legs.first_legs(flights.leg1), legs.second_legs(flights.leg2)
     whole = documents.journey_json(journeys.journeys(first, second, near))
