@@ -4,15 +4,19 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ternway.functions import geo, times, values
 from ternway.operators import collection, journeys, legs, medians, network, partners, prices
 from ternway.operators.meeting import Meeting
 from ternway.plans.search import Options, search
 from ternway.sinks import documents, pieces
-from ternway.sources.files import Network, parse_network, read_flight_file, read_journeys, read_network, write_network_tables
+from ternway.sources import files
+from ternway.sources.files import Network, parse_journeys, parse_network, read_flight_file, read_journeys, read_network, write_network_tables
 
 LEG1 = [
     {"origin": "MOW", "destination": "IST", "departure_at": "2026-02-19T10:00:00+03:00", "duration": 240, "price": 10000},
@@ -208,6 +212,36 @@ def test_texts_of_legs_make_those_of_journeys(flights, near):
     assert sorted(r.value for r in whole.collect()) == sorted(r.value for r in parts.collect())
 
 
+@pytest.mark.parametrize("price", [7.25, float("nan")])
+def test_journeys_are_parsed_from_their_texts(spark, near, monkeypatch, price):
+    """What Arrow batches parse is what from_json does, with odd texts, transfers, numbers that JSON has not, and other orders; a flight's text is parsed once a batch."""
+    leg1, leg2 = odd_legs(spark, 4, 60)
+    odd = F.when(F.col("pos") % 3 == 0, ',"leg1":{"}\n').when(F.col("pos") % 3 == 1, ',"leg2":')
+    first = legs.first_legs(leg1.withColumns({"airline": odd, "link": F.col("pos").cast("string"), "price": F.when(F.col("pos") == 5, price).otherwise(F.col("price"))}))
+    second = legs.second_legs(leg2.withColumn("flight_number", odd))
+    made = journeys.journeys(documents.with_texts(first), documents.with_texts(second), near, 0, 9, same_country=False)
+    lines = documents.journey_json(made).cache()
+    kind = "leg2 struct<flight_number:string,duration:double>, total_price double, nothing long, airport_transfer struct<to_city:string,distance_km:double>, intermediate_city string, leg1 struct<airline:string,price:double,link:string>, stay_days long"
+    shown = lambda rows: sorted(str(r.asDict(True)) for r in rows.collect())
+    expected = shown(lines.select(F.from_json("value", kind).alias("j")).select("j.*"))
+    assert len(expected) > 50 and shown(parse_journeys(lines, kind)) == expected
+    other = lines.select(F.to_json(F.from_json("value", "leg2 struct<flight_number:string>, leg1 struct<airline:string>"), {"ignoreNullFields": "false"}).alias("value"))
+    few = "leg1 struct<airline:string>, leg2 struct<flight_number:string>"
+    assert shown(parse_journeys(other, few)) == shown(other.select(F.from_json("value", few).alias("j")).select("j.*"))
+    asked, objects = [], files._objects
+    monkeypatch.setattr(files, "_objects", lambda texts, schema: asked.append((schema.names, len(texts))) or objects(texts, schema))
+    texts = pa.array([r.value for r in lines.collect()])
+    files._journeys(texts, to_arrow_schema(StructType.fromDDL(kind)))
+    assert {tuple(names): n < len(texts) for names, n in asked} == {("total_price", "nothing", "intermediate_city", "stay_days"): False, ("leg1",): True, ("leg2", "airport_transfer"): True}
+
+
+def test_json_lines_are_not_parsed_one_by_one(spark):
+    from ternway import queries
+
+    plan = queries.queries()["journey_json_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "from_json" not in plan and "MapInArrow" in plan
+
+
 def test_negative_top(flights):
     with pytest.raises(ValueError):
         search(flights, None, Options(top=-1)).top  # noqa: B018
